@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.byte_bpe import round_trip_digest
 from loomwork.llm.common import table
+from loomwork.llm.lm_scoring import score_texts
+from loomwork.llm.packing import pack_documents
 from loomwork.llm.quality_rules import quality_rules
 from loomwork.llm.token_counts import token_counts
 
@@ -24,14 +26,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
