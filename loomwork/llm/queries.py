@@ -11,6 +11,7 @@ from loomwork.llm.byte_bpe import round_trip_digest
 from loomwork.llm.common import table
 from loomwork.llm.lm_scoring import score_texts
 from loomwork.llm.packing import pack_documents
+from loomwork.llm.pii import pii_digest
 from loomwork.llm.quality_rules import quality_rules
 from loomwork.llm.token_counts import token_counts
 
@@ -38,12 +39,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
