@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm.byte_bpe import round_trip_digest
 from loomwork.llm.common import table
 from loomwork.llm.lm_scoring import score_texts
+from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.packing import pack_documents
 from loomwork.llm.pii import pii_digest
 from loomwork.llm.quality_rules import quality_rules
@@ -31,6 +32,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_minhash": op5_minhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op10_pii": op10_pii,
