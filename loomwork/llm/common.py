@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 400
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +63,23 @@ def discard(*frames: DataFrame | None) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Python workers need this package: send it unless their search path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or root == Path.cwd().resolve() or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="loomwork-")) / "loomwork.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (root / "loomwork").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Rows per Arrow batch from here on; every operator that runs Python calls this first."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

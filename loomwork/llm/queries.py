@@ -14,6 +14,7 @@ from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.packing import pack_documents
 from loomwork.llm.pii import pii_digest
 from loomwork.llm.quality_rules import quality_rules
+from loomwork.llm.suffix_dedup import repeat_digest
 from loomwork.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op5_minhash": op5_minhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
 
