@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.byte_bpe import round_trip_digest
 from loomwork.llm.common import table
+from loomwork.llm.embedding_dedup import near_duplicate_vectors
 from loomwork.llm.lm_scoring import score_texts
 from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,6 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash": op5_minhash,
