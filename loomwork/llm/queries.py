@@ -17,6 +17,7 @@ from loomwork.llm.pii import pii_digest
 from loomwork.llm.quality_rules import quality_rules
 from loomwork.llm.suffix_dedup import repeat_digest
 from loomwork.llm.token_counts import token_counts
+from loomwork.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -66,8 +71,22 @@ QUERIES: dict[str, Query] = {
     "op5_minhash": op5_minhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # bytes of a text are counted by strlen(), characters by length()
+    "op8_warc": """
+WITH r AS (
+  SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, min(page_id) AS first FROM r WHERE strlen(h) >= 100 GROUP BY d
+)
+SELECT page_id, strlen(h) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM r LEFT JOIN f USING (d)
+""",
+}
