@@ -145,10 +145,10 @@ def calibrate(features: DataFrame, labels: DataFrame, stratum: str = "stratum",
     held = features.where(~base_failed()).join(good, "doc_id", "left_semi").select(stratum, *[values[r].alias(r) for r in rules])
     counts = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r in rules for i, c in enumerate(rules[r])])
     tests = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r in rules for i, c in enumerate(rules[r])]
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
+    strata = counts.agg(F.count(F.lit(1))).scalar()
     share = alpha / len(rules)
-    tested = counts.crossJoin(F.broadcast(strata)).select(stratum, "n", "strata", F.explode(F.array(*tests)).alias("t")).select(stratum, "n", "strata", "t.*")
-    proved = tested.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), share) <= F.lit(delta / len(rules)) / F.col("strata"))
+    tested = counts.select(stratum, "n", F.explode(F.array(*tests)).alias("t")).select(stratum, "n", "t.*")
+    proved = tested.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), share) <= F.lit(delta / len(rules)) / strata)
     # the strictest candidate before the first failure
     cut = proved.groupBy(stratum, "rule").agg(
         F.min(F.when(~F.col("passed"), F.col("step"))).alias("failed"),
@@ -175,3 +175,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     source = keep_id(docs, *dict.fromkeys(["doc_id", "text", stratum])).withColumn("stratum", F.col(stratum).cast("string")).select("doc_id", "text", "stratum")
     features = materialize(text_features(source, ["doc_id", "stratum"]), "quality")
     return judge(features, calibrate(features, labels, alpha=alpha, delta=delta))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The documents that pass, with all their columns. The verdict is a function of the row's
+    text and stratum, so the rows are judged where they are and texts are not shuffled; only the
+    cutoffs, a row per stratum, are joined to them."""
+    source = keep_id(docs, *dict.fromkeys(["doc_id", "text", stratum])).withColumn("stratum", F.col(stratum).cast("string")).select("doc_id", "text", "stratum")
+    own = [c for c in docs.columns]
+    held = source.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    cutoffs = materialize(calibrate(materialize(text_features(held, ["doc_id", "stratum"]), "holdout"), labels), "cutoffs")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text").alias("text"), F.col(f"`{stratum}`").cast("string").alias("stratum"))
+    judged = judge(text_features(whole, ["row", "stratum"]), cutoffs)
+    return judged.where("kept").select("row.*")
