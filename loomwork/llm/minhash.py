@@ -7,14 +7,15 @@ against the shingles, so two permutations give all coordinates, and a shingle's
 of them is one contiguous slice.
 
 Documents with equal sets form a class, stood for by one of them; only representatives go on, so
-copies cost nothing beyond being counted. Representatives that agree in a band share a bucket.
-Every member of a bucket is compared with one pivot of it, drawn by hash, which links most of a
-group of near copies at linear cost. Buckets whose members are in one component by then are done;
-what remains is drawn a second pivot, and after that all pairs of different components within a
-bucket are compared, each member outside the bucket's largest component with all others. So no
-candidate pair is left out unless its two ends are already connected. Before texts are fetched, a
-pair must agree in at least MIN_AGREE of the coordinates (five standard deviations below the
-threshold); then both full sets are built and compared.
+copies cost nothing beyond being counted. Representatives that agree in a band share a bucket, and
+a bucket ties its members to one of them; what is tied together is a group, and all candidate pairs
+lie within groups. A group is cut into blocks of at most BLOCK_MEMBERS members and BLOCK_SHINGLES
+shingles, and a task compares two blocks (or many small groups): first their sketches, the
+signatures' low bytes, in matrices, which leaves members with a partner that agrees in MIN_AGREE of
+the coordinates (five standard deviations below the threshold); then, for those alone, texts are
+fetched, full sets built, and plausible pairs compared, best first, unless already connected. A
+task returns a label per member, so no list of pairs ever grows with the square of a group. Groups
+of over MAX_GROUP members are compared bucket by bucket instead, by the same tasks.
 
 Defined cases: null and empty texts and texts without words have an empty set, link with nothing
 and are kept; fewer words than a shingle count as one shingle; rows with a null doc_id are
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, keep_id, map_batches, materialize, mix64, small_batches
+from loomwork.llm.common import discard, keep_id, map_batches, materialize, mix64, shuffle_partitions, small_batches
 from loomwork.llm.components import connected_components
 from loomwork.llm.ngram_hash import word_hashes
 
@@ -45,6 +46,8 @@ THRESHOLD = 85  # per cent
 MIN_AGREE = 0.70
 #: With fewer shingles no different set can reach the threshold: 5 of 6 is less than 85 %.
 LEAST_SHINGLES = 6
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+MAX_GROUP = 50_000
 
 
 @lru_cache(maxsize=1)
@@ -106,68 +109,86 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose sizes allow the threshold and whose signatures agree enough."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-        sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sa", "sb"))
-        ok = (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)) & ((sa == sb).mean(axis=1) >= MIN_AGREE)
-        yield b.select(["a", "b"]).filter(pa.array(ok))
-
-
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """100 * intersection >= THRESHOLD * union, for sorted distinct hashes."""
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= THRESHOLD * (len(x) + len(y) - common)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, ta, tb) whose full sets are similar. Rows come sorted by b, so its set is kept."""
-    last, kept = None, None
-    for batch in batches:
-        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        good = []
-        for i in range(0, len(a), 64):
-            for k, x in enumerate(shingle_sets(ta[i : i + 64]), i):
-                if b[k] != last:
-                    last, kept = b[k], shingle_sets([tb[k]])[0]
-                if similar(x, kept):
-                    good.append(k)
-        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-
-class _Linker:
-    """Compares candidate pairs of representatives and keeps the links found."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame):
-        self.docs, self.reps = docs, reps
-        self.facts = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
-        self.links: list[DataFrame] = []
-
-    def _with_facts(self, pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(self.facts.withColumnsRenamed({"id": end, "n": f"n{end}", "s": f"s{end}"}), end)
-        return pairs.select("a", "b", "na", "nb", "sa", "sb")
-
-    def compare(self, pairs: DataFrame, with_facts: bool = False) -> None:
-        spark = pairs.sparkSession
-        small_batches(spark, 200)
-        full = pairs if with_facts else self._with_facts(pairs.distinct())
-        likely = materialize(full.mapInArrow(_plausible, "a long, b long").distinct(), "candidates")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = keep_id(self.docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-        one = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-        ready = likely.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        self.links.append(materialize(ready.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links"))
-        discard(likely)
-
-    def components(self) -> DataFrame:
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.unionByName(more)
-        return connected_components(links)
+def _agreeing(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, agreement) of pairs whose sizes allow the threshold and whose sketches agree
+    enough, 64 rows at a time."""
+    out = []
+    for k in range(0, len(x), 64):
+        size = 100 * np.minimum(nx[k : k + 64, None], ny) >= THRESHOLD * np.maximum(nx[k : k + 64, None], ny)
+        i, j = np.nonzero(size)
+        share = (x[k + i] == y[j]).mean(axis=1) if len(i) <= 1 << 15 else np.concatenate([(x[k + i[c : c + (1 << 15)]] == y[j[c : c + (1 << 15)]]).mean(axis=1) for c in range(0, len(i), 1 << 15)])
+        good = share >= MIN_AGREE
+        out.append((i[good] + k, j[good], share[good]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)  # type: ignore[return-value]
+
+
+def _pairs_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Plausible pairs (row numbers and agreement) of each group in a task's table."""
+    group, block = table["grp"].to_numpy(), table["blk"].to_numpy()
+    n = table["n"].to_numpy()
+    sketch = np.frombuffer(b"".join(table["s"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    order = np.argsort(group, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        low = rows[block[rows] == block[rows].min()]
+        high = rows[block[rows] != block[rows].min()]
+        within = not len(high)
+        other = low if within else high
+        i, j, share = _agreeing(sketch[low], sketch[other], n[low], n[other])
+        if within:
+            i, j, share = i[i < j], j[i < j], share[i < j]
+        if len(i):
+            yield low[i], other[j], share
+
+
+def _screen(table: pa.Table) -> pa.Table:
+    """Members of a task with a plausible partner."""
+    found = [x for i, j, _ in _pairs_of(table) for x in (i, j)]
+    return pa.table({"rep": table["rep"].take(pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)))})
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """(id, label): members of a task that are linked within it, with the smallest id they reach."""
+    text = table["text"].to_pylist()
+    sets = [s for k in range(0, len(text), 64) for s in shingle_sets(text[k : k + 64])]
+    # rows that share a doc_id: only the one with the class's set counts
+    own = np.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d for x, d in zip(sets, table["digest"].to_pylist())], bool)
+    rep = table["rep"].to_numpy()
+    parent = {int(r): int(r) for r in rep}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j, share in _pairs_of(table):
+        for k in np.argsort(-share, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            if own[x] and own[y] and (a := find(int(rep[x]))) != (b := find(int(rep[y]))) and similar(sets[x], sets[y]):
+                parent[max(a, b)] = min(a, b)
+    linked = [(x, find(x)) for x in parent]
+    linked = [(x, r) for x, r in linked if x != r]
+    return pa.table({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([r for _, r in linked], pa.int64())})
+
+
+def _tasks(members: DataFrame, *extra: str) -> DataFrame:
+    """Deal (grp, rep, n, s, ...) to tasks t1, t2, t3: a large group's pairs of blocks, or a pack of
+    small groups. A member goes to as many tasks as its group has blocks."""
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
+    sizes = sizes.select("grp", F.ceil(F.greatest(F.col("m") / float(BLOCK_MEMBERS), F.col("w") / float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(0)
+    rows = members.join(sizes, "grp").withColumn("blk", own)
+    packs = F.pmod(F.xxhash64("grp"), F.lit(max(64, 16 * shuffle_partitions(members.sparkSession))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = F.col("blocks") > 1
+    place = [F.when(large, F.col("grp")).otherwise(packs).alias("t1"), F.when(large, F.least("blk", "other")).otherwise(-1).alias("t2"), F.when(large, F.greatest("blk", "other")).otherwise(-1).alias("t3")]
+    return rows.select(*place, "grp", "blk", "rep", "n", "s", *extra)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,39 +199,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = feats.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.where(F.col("n_shingles") >= LEAST_SHINGLES).join(classes, "digest").where("doc_id = rep").dropDuplicates(["digest"])
-    reps = materialize(reps.select("rep", "n_shingles", "bands", "sketch"), "reps")
+    reps = materialize(reps.select("rep", F.col("n_shingles").alias("n"), "bands", F.col("sketch").alias("s"), "digest"), "reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
-    linker = _Linker(docs, reps)
-
-    def pivots(rows: DataFrame, seed: int) -> DataFrame:
-        draw = F.struct(F.xxhash64("rep", F.lit(seed)).alias("draw"), "rep")
-        return rows.groupBy("key").agg(F.min(draw)["rep"].alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-
-    shared = materialize(members.join(pivots(members, 0), "key").select("key", F.col("rep"), "b"), "buckets")
-    linker.compare(shared.where("rep <> b").select(F.col("rep").alias("a"), "b"))
-    for turn in (1, 2):
-        comps = linker.components()
-        own = shared.select("key", "rep").join(comps.withColumnsRenamed({"id": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size")).where("parts > 1")
-        active = materialize(own.join(split, "key"), "active")
-        discard(comps)
-        if not active.limit(1).count():
-            break
-        if turn == 1:
-            # two members were each other's pivot; larger buckets draw again
-            again = active.where("size > 2")
-            drawn = again.join(pivots(again.select("key", "rep"), turn).select("key", "b"), "key")
-            other = again.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            linker.compare(drawn.join(other, ["key", "b"]).where("comp <> comp_b").select(F.col("rep").alias("a"), "b"))
-        else:
-            rest = active.where("size > 2").join(linker.facts.withColumnRenamed("id", "rep"), "rep")
-            minor = rest.where("comp <> major").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-            every = rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"), "major")
-            pairs = minor.join(every, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD))
-            linker.compare(pairs.select("a", "b", "na", "nb", "sa", "sb"), with_facts=True)
-        discard(active)
-    comps = linker.components()
+    tied = members.groupBy("key").agg(F.min("rep").alias("tie"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "tie")
+    buckets = materialize(members.join(tied, "key").select("key", "rep", "tie"), "buckets")
+    groups = connected_components(buckets.select(F.col("rep").alias("a"), F.col("tie").alias("b")).where("a <> b"))
+    huge = groups.groupBy("root").count().where(F.col("count") > MAX_GROUP).select("root")
+    usual = groups.join(huge, "root", "left_anti").select(F.col("root").alias("grp"), F.col("id").alias("rep"))
+    by_bucket = buckets.join(groups.join(huge, "root", "left_semi"), F.col("rep") == F.col("id"), "left_semi").select(F.col("key").alias("grp"), "rep")
+    grouped = materialize(usual.unionByName(by_bucket), "groups")
+    facts = reps.select("rep", "n", "s", "digest")
+    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(_screen, "rep long").distinct()
+    likely = materialize(likely, "likely")
+    chosen = grouped.join(likely, "rep", "left_semi").join(facts, "rep")
+    texts = keep_id(docs, "doc_id", "text").join(likely, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    ready = _tasks(chosen, "digest").join(texts, "rep")
+    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(_verify, "a long, b long"), "links")
+    discard(buckets, likely, grouped)
+    comps = connected_components(links)
     roots = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     slim = feats.select("doc_id", "n_shingles", "digest")
     out = slim.join(roots, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
