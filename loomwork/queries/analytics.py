@@ -45,7 +45,7 @@ def live_buffers(spark, sf_dir):
     return T.live_buffers(rows.select((F.col("l_suppkey") % 20).alias("g"), F.col("l_quantity").cast("long").alias("bytes"), F.col("l_orderkey").alias("created"), released.alias("released")), ["g"])
 
 
-@query("q_byte_totals", "SELECT event_type, CASE WHEN count(*) FILTER (event_id % 11 = 0) = 0 THEN sum(user_id) END AS payload, CAST(coalesce(sum(user_id) FILTER (event_id % 11 <> 0), 0) AS BIGINT) AS payload_known, count(*) FILTER (event_id % 11 = 0) AS payload_missing FROM events GROUP BY event_type")
+@query("q_byte_totals", "SELECT event_type, CASE WHEN count(*) FILTER (event_id % 11 = 0) = 0 THEN CAST(sum(user_id) AS BIGINT) END AS payload, CAST(coalesce(sum(user_id) FILTER (event_id % 11 <> 0), 0) AS BIGINT) AS payload_known, count(*) FILTER (event_id % 11 = 0) AS payload_missing FROM events GROUP BY event_type")
 def byte_totals(spark, sf_dir):
     rows = t(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("payload"))
     return T.byte_totals(rows, ["event_type"], ["payload"])
@@ -179,3 +179,104 @@ def streaming_counts(spark, sf_dir):
     from loomwork.streaming.events import daily_counts
 
     return daily_counts(spark, f"{sf_dir}/events.parquet")
+
+
+# --- scoring and reuse -----------------------------------------------------------------------
+#: Expected records: orders below 4001, dealt to two models; some never ran, some were cut short.
+_SCORED = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, o_custkey % 3 AS family,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'MISSING_EVIDENCE' WHEN o_orderkey % 11 = 0 THEN 'TIMEOUT' ELSE 'COMPLETED' END AS status,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN false ELSE o_orderstatus <> 'P' END AS s,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN false WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_custkey > 1000 THEN false END ELSE o_custkey <= 1000 END AS b
+FROM orders WHERE o_orderkey <= 4000"""
+
+
+def scored(spark, sf_dir):
+    from loomwork.functions import metrology as Y
+
+    o = t(spark, sf_dir, "orders").where("o_orderkey <= 4000")
+    k = F.col("o_orderkey")
+    levels = [F.lit(0).alias(c) for c in Y.LEVELS[1:]]
+    expected = o.select(k.alias("record_id"), F.when(k % 2 == 0, "m0").otherwise("m1").alias("model"), F.lit("p").alias("protocol"), k.alias("case_id"), F.lit(1000.0).alias("wall_budget"), F.lit(None).cast("double").alias("memory_budget"), (F.col("o_custkey") % 3).alias("family"), *levels)
+    seen = o.where("o_orderkey % 13 <> 0").select(k.alias("record_id"), F.when(k % 11 == 0, "TIMEOUT").otherwise("COMPLETED").alias("status"), (F.col("o_orderstatus") != "P").alias("semantic_pass"), F.col("o_custkey").cast("double").alias("wall_s"), F.when(k % 7 == 0, "CENSORED").otherwise("MEASURED").alias("wall_status"), F.lit(1.0).alias("memory"), F.lit("MEASURED").alias("memory_status"))
+    refs = o.where("o_orderkey % 5 = 0").select(k.alias("case_id"), F.lit(400.0).alias("time_s"))
+    return Y.score_repeats(expected, seen, refs)
+
+
+query("q_score_repeats", f"SELECT o_orderkey AS record_id, status, s AS S, b AS B, CASE WHEN status <> 'MISSING_EVIDENCE' THEN s AND b END AS V FROM ({_SCORED})".replace(" AS S", ' AS "S"').replace(" AS B", ' AS "B"').replace(" AS V", ' AS "V"'))(lambda s, d: scored(s, d).select("record_id", "status", "S", "B", "V"))
+query("q_score_panels", f"WITH v AS (SELECT model, family, CASE WHEN status <> 'MISSING_EVIDENCE' THEN s AND b END AS v FROM ({_SCORED})), f AS (SELECT model, family, avg(CASE WHEN v THEN 1.0 ELSE 0 END) AS lo, avg(CASE WHEN v OR v IS NULL THEN 1.0 ELSE 0 END) AS hi, count(*) AS n FROM v GROUP BY ALL) SELECT model, round(avg(lo), 6) AS low, round(avg(hi), 6) AS high, CAST(sum(n) AS BIGINT) AS expected FROM f GROUP BY model")(lambda s, d: _panels(s, d))
+
+
+def _panels(spark, sf_dir):
+    from loomwork.functions import metrology as Y
+
+    return Y.score_panels(scored(spark, sf_dir)).select("model", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "expected")
+
+
+@query("q_compatible_view", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey <= 500 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 10 = 0)")
+def compatible(spark, sf_dir):
+    """Orders that hold a part divisible by ten changed; the others' lines stay usable."""
+    from loomwork.functions.metrology import compatible_view
+
+    rows = t(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    new = rows.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 10 == 0, -1.0).otherwise(F.col("l_quantity")).alias("l_quantity"))
+    return compatible_view(rows.select("l_orderkey", "l_linenumber", "l_quantity"), new, ["l_orderkey"])
+
+
+@query("q_replay_fidelity", "SELECT l_orderkey AS run, count(*) FILTER (l_partkey % 10 = 0) = 0 AS same FROM lineitem WHERE l_orderkey <= 500 GROUP BY l_orderkey")
+def replay_fidelity(spark, sf_dir):
+    from loomwork.functions.metrology import replay_fidelity as check
+
+    rows = t(spark, sf_dir, "lineitem").where("l_orderkey <= 500").select(F.col("l_orderkey").alias("run"), "l_linenumber", "l_quantity", "l_partkey")
+    new = rows.withColumn("l_quantity", F.when(F.col("l_partkey") % 10 == 0, -1.0).otherwise(F.col("l_quantity")))
+    return check(rows, new.repartition(3), ["run"])
+
+
+@query("q_claim_support", "SELECT c_custkey AS claim, CASE WHEN c_custkey % 3 = 0 THEN 'contradicted' WHEN c_custkey % 7 = 0 THEN 'pending' ELSE 'supported' END AS status FROM customer")
+def claim_support(spark, sf_dir):
+    from loomwork.functions.metrology import claim_support as check
+
+    c = t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    claims = c.select(k.alias("claim"), k.alias("entity"), F.lit("segment").alias("field"), F.when(k % 3 == 0, "none").otherwise(F.col("c_mktsegment")).alias("value"))
+    facts = c.where("not (c_custkey % 7 = 0 and c_custkey % 3 <> 0)").select(k.alias("entity"), F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value"))
+    return check(claims, facts)
+
+
+query("q_refresh_matrix", "SELECT o_orderstatus, o_orderkey % 2 = 0 AS answer, o_custkey % 2 = 0 AS evidence, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS updated, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS rate FROM orders GROUP BY ALL")(lambda s, d: _refresh(s, d))
+
+
+def _refresh(spark, sf_dir):
+    from loomwork.functions.metrology import refresh_matrix
+
+    rows = t(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_orderkey") % 2 == 0).alias("answer"), (F.col("o_custkey") % 2 == 0).alias("evidence"), (F.col("o_orderkey") % 3 == 0).alias("valid"))
+    return refresh_matrix(rows, ["o_orderstatus"], "answer", "evidence", "valid").withColumn("rate", F.round("rate", 6))
+
+
+query("q_pairwise_delta", f"WITH r AS ({RUNS}) SELECT a.model AS a, b.model AS b, count(*) AS n, CAST(sum(CAST(a.valid AS INT)) AS BIGINT) AS valid_a, CAST(sum(CAST(b.valid AS INT)) AS BIGINT) AS valid_b, round(avg(CAST(a.valid AS INT) - CAST(b.valid AS INT)), 6) AS delta FROM r a JOIN r b ON a.cell = b.cell AND a.model < b.model GROUP BY ALL")(lambda s, d: _delta(s, d))
+
+
+def _delta(spark, sf_dir):
+    from loomwork.functions.metrology import pairwise_delta
+
+    return pairwise_delta(runs(spark, sf_dir), ["cell"], "model", "valid").withColumn("delta", F.round("delta", 6))
+
+
+@query("q_component_savings", f"{_PAIRS} SELECT cell, model_a, model_b, round(CASE WHEN greatest(a1, b1) > 0 THEN 1 - least(a1, b1) / greatest(a1, b1) END, 6) AS w1, round(CASE WHEN greatest(a2, b2) > 0 THEN 1 - least(a2, b2) / greatest(a2, b2) END, 6) AS w2 FROM p")
+def component_savings(spark, sf_dir):
+    from loomwork.functions.metrology import component_savings as pivot
+
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"{u}_a").cast("double").alias("work_a"), F.col(f"{u}_b").cast("double").alias("work_b")) for u in ("w1", "w2")])).alias("x")
+    keys = ["cell", "model_a", "model_b"]
+    out = pivot(pairs(spark, sf_dir).select(*keys, units).select(*keys, "x.*"), keys)
+    return out.select(*keys, F.round("w1", 6).alias("w1"), F.round("w2", 6).alias("w2"))
+
+
+query("q_outcome_campaign", "SELECT coalesce(CASE WHEN quality = 1 THEN 'COMPLETED' WHEN quality = 0 THEN 'MODEL_FAILURE' END, 'MISSING') AS status, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY 1")(lambda s, d: _campaign(s, d))
+
+
+def _campaign(spark, sf_dir):
+    from loomwork.functions.metrology import outcome_counts
+
+    attempts = t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "COMPLETED").otherwise("MODEL_FAILURE").alias("status"))
+    return outcome_counts(attempts, t(spark, sf_dir, "documents"), ["doc_id"])

@@ -119,3 +119,36 @@ def test_stream_pairing(spark, tmp_path):
     spark.createDataFrame(rows, "task_id string, t double, kind string").coalesce(1).write.json(str(tmp_path / "log"))
     out = run_to_end(pair_starts_and_ends(read_log(spark, str(tmp_path / "log"), "task_id string, t double, kind string")), "pairs")
     assert sorted(tuple(r) for r in out.collect()) == [("x", 1.0, 2.0, "worker_finished"), ("x", 3.0, 4.5, "worker_failed")]
+
+
+def test_faults_and_recovery(spark):
+    from loomwork.plans.workflow import Faults
+
+    state: dict[str, int] = {}
+    read = Faults(lambda: len(state), fail_first=1)
+    write = Faults(lambda key, amount: state.update({key: amount}), lose_reply=1)
+    w = Workflow(spark, {"read": read, "write": write})
+    w.edit([Node("r", "read", {}), Node("p", "write", {"key": "a", "amount": 5})])
+    assert w.dispatch() == {"r": FAILED, "p": FAILED}
+    assert set(w.latest_failures()) == {"r", "p"} and state == {"a": 5}  # the reply was lost, not the write
+    w.edit(revise={"r": {"arguments": {}}, "p": {"arguments": {"key": "a", "amount": 5}}})
+    assert set(w.dispatch().values()) == {COMPLETED} and state == {"a": 5} and w.results["r"] in (0, 1)
+
+
+def test_shapes_and_symbols():
+    from loomwork.functions import metrology as Y
+
+    assert Y.normalize_shape([[["a", 1], ["b", 2]]], ["k", "v"]) == [["a", 1], ["b", 2]]
+    assert Y.normalize_shape({"a": 1, "b": 2}, ["k", "v"]) == [["a", 1], ["b", 2]]
+    assert Y.normalize_shape({"k": "a", "v": 1}, ["k", "v"]) == [["a", 1]]
+    assert Y.normalize_shape(["a", 1], ["k", "v"]) == [["a", 1]]
+    assert Y.contains({"x": [{"a": 1, "b": 2}]}, {"a": 1}) and not Y.contains({"a": True}, {"a": 1})
+    assert Y.symbol("`pkg/mod.py::Class.method(x)`") == "pkg.mod.py.Class.method"
+
+
+def test_equal_results(spark):
+    from loomwork.functions import metrology as Y
+
+    a = spark.range(5).selectExpr("id as Customer_ID", "id * 2 as total")
+    assert Y.equal_results(a, a.selectExpr("total", "Customer_ID as customerid"))
+    assert not Y.equal_results(a, a.limit(4).selectExpr("total", "Customer_ID as customerid"))
