@@ -120,9 +120,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rows_of(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of documents, from Parquet footers."""
-    return table(spark, sf_dir, "documents").count()
+def bounded_sample(df: DataFrame, key: list[str], size: int, rows: int) -> DataFrame:
+    """At most size rows, those of the lowest key hashes. df has about `rows` rows: a filter first
+    leaves a few times size of them, so that tasks do not each send size rows to the driver."""
+    h = F.xxhash64(*key)
+    if rows > 4 * size:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 4 * size / rows))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), h, *key).limit(size)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize, mix64, small_batches
+from loomwork.llm.common import bounded_sample, materialize, mix64, small_batches
 from loomwork.llm.ngram_hash import prefix_sums
 
 WINDOW, GRAM = 100, 50
 REACH = WINDOW - GRAM + 1  # suffix anchors in a window
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 SAMPLE_KEYS = 64
 MAX_SAMPLE = 200_000
@@ -292,10 +292,10 @@ class _Steps:
         repeat = _told(answers, 3, asked, self.splitters, 1)[0]
         b, anchors = self.block, np.concatenate(self.repeats)
         places = np.concatenate([self.again, self.heads[repeat]])
-        edge = np.zeros(int(b.sizes.sum()) + 1, np.int64)
+        edge = np.zeros(int(b.sizes.sum()) + 1, np.int32)
         np.add.at(edge, np.concatenate([b.first[anchors], places]), 1)
         np.add.at(edge, np.concatenate([b.last[anchors] + WINDOW, places + WINDOW]), -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -334,7 +334,8 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     _pack_blocks(docs, block_bytes).repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     small_batches(spark, 4)
     blocks = spark.table(name)
-    n, sampled = blocks.count(), [r[0] for r in blocks.select(F.explode(F.slice("sample", 1, SAMPLE_KEYS))).orderBy(F.xxhash64("col")).limit(MAX_SAMPLE).collect()]
+    n = blocks.count()
+    sampled = [r[0] for r in bounded_sample(blocks.select(F.explode("sample").alias("key")), ["key"], MAX_SAMPLE, n * SAMPLE_KEYS).collect()]
     keys = np.sort(np.array(sampled, np.int64).view(np.uint64))
     owners = max(1, n)
     splitters = np.unique(keys[np.arange(1, owners) * len(keys) // owners]) if len(keys) else np.zeros(0, np.uint64)
