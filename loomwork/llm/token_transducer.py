@@ -35,7 +35,7 @@ MAX_STATES = 200_000
 #: So few words of more than as many symbols left are finished one by one.
 FEW = 32
 CHUNK = 1 << 16
-_SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The contractions split off, then letters, single digits and the rest.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\n\p{L}\p{N}]+|\n")
