@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, materialize, scratch_path, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, materialize, scratch_path, small_batches
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -205,8 +205,8 @@ def decide_revisits(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages as archives under folder; returns the stored list (file, records)."""
     small_batches(pages.sparkSession)
-    sample = keep_id(pages, "page_id", "html").where("html is not null").orderBy(F.xxhash64("html"), "page_id").limit(SAMPLE_PAGES)
-    dictionary = dictionary_of([r[0].encode() for r in sample.select(F.substring("html", 1, SAMPLE_BYTES)).collect()])
+    pool = keep_id(pages, "page_id", "html").where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("head"))
+    dictionary = dictionary_of([r[0].encode() for r in bounded_sample(pool, ["page_id", "head"], SAMPLE_PAGES, pages.count()).select("head").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, number = TaskContext.get(), None, 0
@@ -267,4 +267,5 @@ def _rows(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back."""
     folder = scratch_path(pages.sparkSession, "warc")
-    return read_archives(pages.sparkSession, folder, write_archives(pages, folder))
+    # stored at once: later changes of the batch size must not reach the reading of whole archives
+    return materialize(read_archives(pages.sparkSession, folder, write_archives(pages, folder)), "pages")
