@@ -7,9 +7,11 @@
     packed      the texts' tokens are packed into sequences; one row per piece
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the
-columns of documents, the last one the places of the pieces. Rows of docs that share a doc_id and
-differ in text are judged each for itself; a null text counts as empty, and the quality rules
-reject it. Results are written as Parquet and read again between stages.
+columns of documents, the last one the places of the pieces. A null or empty text counts as empty
+and the quality rules reject it; rows with a null doc_id pass near_dups and repeats unchanged; rows
+that share a doc_id leave near_dups together, if any of them is a near duplicate of a smaller id.
+An empty table gives no rows at any stage. Results are written as Parquet and read again between
+stages; run() deletes a stage's table once the next one is stored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize, table
+from loomwork.llm.common import discard, materialize, table
 from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.packing import pack_documents
 from loomwork.llm.pii import redact
@@ -70,5 +72,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
