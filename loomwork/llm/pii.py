@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, map_batches, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, map_batches, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 20_000
@@ -231,8 +231,7 @@ def find_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[tuple[list[Sp
 def fit_on(docs: DataFrame) -> dict[str, np.ndarray]:
     """Fit on a bounded sample of the documents that hold candidates."""
     pool = keep_id(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = pool.select("text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
-    texts = [r[0] for r in rows]
+    texts = [r[0] for r in bounded_sample(pool, ["doc_id", "text"], SAMPLE_DOCS, docs.count()).select("text").collect()]
     graph = Graph(texts)
     return fit(graph, graph.labels([pattern_spans(t) for t in texts]))
 
