@@ -3,8 +3,6 @@ are stood for by orders and customers."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from loomwork.operators import graph as G
@@ -72,7 +70,7 @@ query("q_graph_filter_node", f"{_E} SELECT e.* FROM e JOIN customer a ON e.sourc
 )
 
 
-@query("q_subgraph_induced", f"{_E} SELECT * FROM e WHERE source < 300 AND target < 300")
+@query("q_subgraph_induced", f"{_E} SELECT * FROM e WHERE source < 300 AND target IN (SELECT c_custkey FROM customer WHERE c_custkey < 300)")
 def induced(spark, sf_dir):
     g = customers(spark, sf_dir)
     return op("graph_subgraph", "induced", {"graph": g, "nodes": seeds(g, "id < 300")}, {"mode": "induced"}).data.edges
@@ -120,12 +118,9 @@ def dossier(spark, sf_dir):
     return others.join(c, F.col("author") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name").distinct()
 
 
-@query("q_lineage_closure", "WITH RECURSIVE r(id) AS (SELECT CAST(999 AS BIGINT) UNION SELECT CAST(floor(id / 2) AS BIGINT) FROM r WHERE id > 0) SELECT id FROM r")
+@query("q_lineage_closure", "WITH RECURSIVE r(id) AS (SELECT max(c_custkey) FROM customer UNION SELECT CAST(floor(id / 2) AS BIGINT) FROM r WHERE id > 0) SELECT id FROM r")
 def lineage(spark, sf_dir):
-    """Each artifact comes from that of half its number."""
-    edges = t(spark, sf_dir, "customer").where("c_custkey between 1 and 999").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 2).alias("parent"))
-    return G.ancestors(edges, spark.range(999, 1000).select("id"))
-
-
-def view_of(graph: Value) -> Value:
-    return replace(graph, type=replace(graph.type, kind="GraphView"))
+    """Each artifact comes from that of half its number; the closure of the last one."""
+    c = t(spark, sf_dir, "customer")
+    edges = c.where("c_custkey >= 1").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 2).alias("parent"))
+    return G.ancestors(edges, c.agg(F.max("c_custkey").alias("id")))
