@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, map_batches, materialize, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, map_batches, materialize, small_batches
 from loomwork.llm.components import connected_components
 
 THRESHOLD = 0.9
 SAMPLE_ROWS = 20_000
-CELL_ROWS, MAX_CELLS = 512, 4096
-BLOCK_ROWS = 2048
+CELL_ROWS, MAX_CELLS = 4096, 4096
+BLOCK_ROWS = 4096
+#: Rows of a product at a time.
+SLICE = 512
 ROUNDS = 12
 
 
@@ -52,30 +54,44 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = ROUNDS, seed: int =
     return np.unique(centroids, axis=0)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
-    return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square overflows."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bytes_of(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Vectors as little-endian doubles; null where a vector links with nothing."""
-    out = []
-    for v in b.column(1).to_pylist():
-        x = None if not v or None in v else np.array(v, "<f8")
-        out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "raw"])
+def _bytes_of(kind: str):
+    """Vectors as little-endian numbers; null where a vector links with nothing."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for v in b.column(1).to_pylist():
+            x = None if not v or None in v else np.array(v, kind)
+            out.append((x + 0.0).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)  # one zero
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "raw"])
+
+    return run
 
 
 def _labels(hits: np.ndarray, guests: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id reachable from each vector over the block's links."""
+    """The smallest id reachable from each vector over the block's links; only rows and columns
+    with a link take part, a slice of rows at a time."""
     a, b = guests.copy(), owners.copy()
-    top = np.iinfo(np.int64).max
+    rows, cols = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+    if not len(rows):
+        return a, b
+    part, top = hits[np.ix_(rows, cols)], np.iinfo(np.int64).max
+    x, y = a[rows], b[cols]
     while True:
-        new_a = np.minimum(a, np.where(hits, b, top).min(1, initial=top))
-        new_b = np.minimum(b, np.where(hits, new_a[:, None], top).min(0, initial=top))
-        if (new_a == a).all() and (new_b == b).all():
+        old = (x.copy(), y.copy())
+        for k in range(0, len(rows), SLICE):
+            piece = part[k : k + SLICE]
+            x[k : k + SLICE] = np.minimum(x[k : k + SLICE], np.where(piece, y, top).min(axis=1))
+            y = np.minimum(y, np.where(piece, x[k : k + SLICE, None], top).min(axis=0))
+        if (x == old[0]).all() and (y == old[1]).all():
+            a[rows], b[cols] = x, y
             return a, b
-        a, b = new_a, new_b
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -83,14 +99,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     spark = vectors.sparkSession
     small_batches(spark, 2000)
     source = keep_id(vectors, id_col, vector_col).toDF("vec_id", "embedding")
-    base = materialize(map_batches(source, _bytes_of, "vec_id long, raw binary"), "vectors")
+    kind = "<f4" if source.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    base = materialize(map_batches(source, _bytes_of(kind), "vec_id long, raw binary"), "vectors")
     usable = base.where("vec_id is not null and raw is not null")
     classes = materialize(usable.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    sample = [r[0] for r in classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE_ROWS).collect()]
+    n = classes.count()
+    sample = [r[0] for r in bounded_sample(classes.select("raw"), ["raw"], SAMPLE_ROWS, n).collect()]
     size = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
     fit = [bytes(r) for r in sample if len(r) == size]
-    n = classes.count()
-    centroids = spherical_kmeans(_unit(fit), max(1, min(MAX_CELLS, n // CELL_ROWS))) if fit else np.zeros((1, 1))
+    centroids = spherical_kmeans(_unit(fit, kind), max(1, min(MAX_CELLS, n // CELL_ROWS))) if fit else np.zeros((1, 1))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
     def deal(b: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -98,7 +115,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         ok = np.flatnonzero([len(r) == size for r in raw])
         if not len(ok):
             return []
-        score = _unit([raw[i] for i in ok]) @ centroids.T
+        score = _unit([raw[i] for i in ok], kind) @ centroids.T
         own = score.argmax(1)
         rows = np.arange(len(ok))
         apart = np.sqrt(np.maximum(0, 2 - 2 * centroids[own] @ centroids.T))
@@ -123,7 +140,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         g, o = np.flatnonzero(~owner), np.flatnonzero(owner)
         if not len(g) or not len(o):
             return pa.table({c: pa.array([], pa.int64()) for c in ("id", "n", "label")})
-        hits = _unit([raw[i] for i in g]) @ _unit([raw[i] for i in o]).T >= threshold
+        x, y = _unit([raw[i] for i in g], kind), _unit([raw[i] for i in o], kind).T
+        hits = np.concatenate([x[k : k + SLICE] @ y >= threshold for k in range(0, len(g), SLICE)])
         hits[rep[g][:, None] == rep[o][None, :]] = False
         count = hits @ copies[o]
         a, b = _labels(hits, rep[g], rep[o])
