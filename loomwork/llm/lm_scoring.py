@@ -34,7 +34,7 @@ from loomwork.llm.ngram_hash import word_hashes
 
 ORDER = 2
 MU = 100.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of text hashed at a time.
 SLICE_BYTES = 1 << 20
 #: Hashes that stand for the end token and the context before the first word.
