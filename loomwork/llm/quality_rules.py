@@ -178,13 +178,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The documents that pass, with all their columns. The verdict is a function of the row's
-    text and stratum, so the rows are judged where they are and texts are not shuffled; only the
-    cutoffs, a row per stratum, are joined to them."""
-    source = keep_id(docs, *dict.fromkeys(["doc_id", "text", stratum])).withColumn("stratum", F.col(stratum).cast("string")).select("doc_id", "text", "stratum")
-    own = [c for c in docs.columns]
-    held = source.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    cutoffs = materialize(calibrate(materialize(text_features(held, ["doc_id", "stratum"]), "holdout"), labels), "cutoffs")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text").alias("text"), F.col(f"`{stratum}`").cast("string").alias("stratum"))
-    judged = judge(text_features(whole, ["row", "stratum"]), cutoffs)
-    return judged.where("kept").select("row.*")
+    """The documents that pass, with all their columns. Rows and counts are stored side by side
+    once: calibration reads the counts' columns alone, and texts are neither shuffled nor scanned
+    for counts again."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col(f"`{stratum}`").cast("string").alias("stratum"))
+    counted = materialize(text_features(whole, ["row", "doc_id", "stratum"]), "quality")
+    cutoffs = materialize(calibrate(counted.drop("row"), labels), "cutoffs")
+    return judge(counted, cutoffs).where("kept").select("row.*")

@@ -31,7 +31,7 @@ END = "</w>"
 #: is full starts anew.
 MEMO_WORDS = 250_000
 MEMO_CHARS = 1 << 23
-MAX_STATES = 200_000
+MAX_STATES = 100_000
 #: So few words of more than as many symbols left are finished one by one.
 FEW = 32
 CHUNK = 1 << 16
@@ -180,13 +180,13 @@ class WordTransducer:
             to = self.numbers[after] = len(self.states)
             self.states.append(after)
             if to == len(self.next):
-                self._grow(2, 1)
+                self._grow(1.25, 1)
         self.next[number, col], self.emit[number, col], self.last[number, col] = to, depth, token
 
-    def _grow(self, rows: int, cols: int) -> None:
+    def _grow(self, rows: float, cols: int) -> None:
         for name, fill in (("next", -1), ("emit", 0), ("last", 0), ("end_emit", -128), ("end_last", 0)):
             old = getattr(self, name)
-            new = np.full((old.shape[0] * rows, old.shape[1] * cols), fill, old.dtype)
+            new = np.full((int(old.shape[0] * rows), old.shape[1] * cols), fill, old.dtype)
             new[: old.shape[0], : old.shape[1]] = old
             setattr(self, name, new)
 
