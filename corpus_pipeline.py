@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over the documents table.
 
     quality     documents that the quality rules reject go
-    near_dups   one document of each group of near duplicates stays, the one of the smallest id
+    near_dups   one document of each group of near duplicates (NEAR per cent of the 5-word shingles
+                or more in common) stays, the one of the smallest id
     repeats     passages that an earlier document holds are cut out of the texts
     private     personal data in the texts is replaced by its kind
     packed      the texts' tokens are packed into sequences; one row per piece
@@ -30,6 +31,10 @@ from loomwork.llm.quality_rules import kept_documents
 from loomwork.llm.suffix_dedup import remove_repeats
 
 
+#: The stage's own threshold in per cent; that of op5 is higher.
+NEAR = 80
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text where the table has it."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -40,7 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = near_duplicates(docs)
+    verdict = near_duplicates(docs, NEAR)
     gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -11,7 +11,7 @@ copies cost nothing beyond being counted. Representatives that agree in a band s
 a bucket ties its members to one of them; what is tied together is a group, and all candidate pairs
 lie within groups. A group is cut into blocks of at most BLOCK_MEMBERS members and BLOCK_SHINGLES
 shingles, and a task compares two blocks (or many small groups): first their sketches, the
-signatures' low bytes, in matrices, which leaves members with a partner that agrees in MIN_AGREE of
+signatures' low bytes, in matrices, which leaves members with a partner that agrees in min_agree of
 the coordinates (five standard deviations below the threshold); then, for those alone, texts are
 fetched, full sets built, and plausible pairs compared, best first, unless already connected. A
 task returns a label per member, so no list of pairs ever grows with the square of a group. Groups
@@ -26,6 +26,7 @@ judged by their own text; other columns are ignored; an empty table gives no row
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,14 +43,22 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 CELLS = 1 << 20
-THRESHOLD = 85  # per cent
-MIN_AGREE = 0.70
-#: With fewer shingles no different set can reach the threshold: 5 of 6 is less than 85 %.
-LEAST_SHINGLES = 6
+THRESHOLD = 85  # per cent; op5's, other callers of near_duplicates may pass their own
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 MAX_GROUP = 50_000
 
 
+def least_shingles(threshold: int) -> int:
+    """With fewer shingles no different set can reach the threshold: n of n + 1 is less."""
+    return -(-threshold // (100 - threshold))
+
+
+def min_agree(threshold: int) -> float:
+    """Five standard deviations of the agreement below the threshold, in whole hundredths."""
+    p = threshold / 100
+    return math.floor(100 * (p - 5 * math.sqrt(p * (1 - p) / COORDINATES))) / 100
+
+
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     """The placing permutation, and every window of COORDINATES consecutive cell numbers."""
@@ -89,7 +98,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def _features(b: pa.RecordBatch) -> pa.RecordBatch:
+def _features(b: pa.RecordBatch, least: int) -> pa.RecordBatch:
     n, digest, bands, sketch = [], [], [], []
     salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     factors = mix64(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -97,7 +106,7 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
     for s in (s for k in range(0, len(texts), 64) for s in shingle_sets(texts[k : k + 64])):
         n.append(len(s))
         digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        if len(s) < LEAST_SHINGLES:
+        if len(s) < least:
             bands.append([])
             sketch.append(b"")
             continue
@@ -109,26 +118,26 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= THRESHOLD * union, for sorted distinct hashes."""
+def similar(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
+    """100 * intersection >= threshold * union, for sorted distinct hashes."""
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= THRESHOLD * (len(x) + len(y) - common)
+    return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
-def _agreeing(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _agreeing(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, columns, agreement) of pairs whose sizes allow the threshold and whose sketches agree
     enough, 64 rows at a time."""
-    out = []
+    out, least = [], min_agree(threshold)
     for k in range(0, len(x), 64):
-        size = 100 * np.minimum(nx[k : k + 64, None], ny) >= THRESHOLD * np.maximum(nx[k : k + 64, None], ny)
+        size = 100 * np.minimum(nx[k : k + 64, None], ny) >= threshold * np.maximum(nx[k : k + 64, None], ny)
         i, j = np.nonzero(size)
         share = (x[k + i] == y[j]).mean(axis=1) if len(i) <= 1 << 15 else np.concatenate([(x[k + i[c : c + (1 << 15)]] == y[j[c : c + (1 << 15)]]).mean(axis=1) for c in range(0, len(i), 1 << 15)])
-        good = share >= MIN_AGREE
+        good = share >= least
         out.append((i[good] + k, j[good], share[good]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)  # type: ignore[return-value]
 
 
-def _pairs_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_of(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Plausible pairs (row numbers and agreement) of each group in a task's table."""
     group, block = table["grp"].to_numpy(), table["blk"].to_numpy()
     n = table["n"].to_numpy()
@@ -139,20 +148,20 @@ def _pairs_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         high = rows[block[rows] != block[rows].min()]
         within = not len(high)
         other = low if within else high
-        i, j, share = _agreeing(sketch[low], sketch[other], n[low], n[other])
+        i, j, share = _agreeing(sketch[low], sketch[other], n[low], n[other], threshold)
         if within:
             i, j, share = i[i < j], j[i < j], share[i < j]
         if len(i):
             yield low[i], other[j], share
 
 
-def _screen(table: pa.Table) -> pa.Table:
+def _screen(table: pa.Table, threshold: int) -> pa.Table:
     """Members of a task with a plausible partner."""
-    found = [x for i, j, _ in _pairs_of(table) for x in (i, j)]
+    found = [x for i, j, _ in _pairs_of(table, threshold) for x in (i, j)]
     return pa.table({"rep": table["rep"].take(pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)))})
 
 
-def _verify(table: pa.Table) -> pa.Table:
+def _verify(table: pa.Table, threshold: int) -> pa.Table:
     """(id, label): members of a task that are linked within it, with the smallest id they reach."""
     text = table["text"].to_pylist()
     sets = [s for k in range(0, len(text), 64) for s in shingle_sets(text[k : k + 64])]
@@ -167,10 +176,10 @@ def _verify(table: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    for i, j, share in _pairs_of(table):
+    for i, j, share in _pairs_of(table, threshold):
         for k in np.argsort(-share, kind="stable").tolist():
             x, y = int(i[k]), int(j[k])
-            if own[x] and own[y] and (a := find(int(rep[x]))) != (b := find(int(rep[y]))) and similar(sets[x], sets[y]):
+            if own[x] and own[y] and (a := find(int(rep[x]))) != (b := find(int(rep[y]))) and similar(sets[x], sets[y], threshold):
                 parent[max(a, b)] = min(a, b)
     linked = [(x, find(x)) for x in parent]
     linked = [(x, r) for x, r in linked if x != r]
@@ -191,14 +200,15 @@ def _tasks(members: DataFrame, *extra: str) -> DataFrame:
     return rows.select(*place, "grp", "blk", "rep", "n", "s", *extra)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; threshold in per cent, under 100."""
     spark = docs.sparkSession
+    least = least_shingles(threshold)
     small_batches(spark)
-    feats = materialize(map_batches(keep_id(docs, "doc_id", "text"), _features, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash")
+    feats = materialize(map_batches(keep_id(docs, "doc_id", "text"), lambda b: _features(b, least), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash")
     known = feats.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.where(F.col("n_shingles") >= LEAST_SHINGLES).join(classes, "digest").where("doc_id = rep").dropDuplicates(["digest"])
+    reps = known.where(F.col("n_shingles") >= least).join(classes, "digest").where("doc_id = rep").dropDuplicates(["digest"])
     reps = materialize(reps.select("rep", F.col("n_shingles").alias("n"), "bands", F.col("sketch").alias("s"), "digest"), "reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     tied = members.groupBy("key").agg(F.min("rep").alias("tie"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "tie")
@@ -209,12 +219,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_bucket = buckets.join(groups.join(huge, "root", "left_semi"), F.col("rep") == F.col("id"), "left_semi").select(F.col("key").alias("grp"), "rep")
     grouped = materialize(usual.unionByName(by_bucket), "groups")
     facts = reps.select("rep", "n", "s", "digest")
-    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(_screen, "rep long").distinct()
+    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(lambda t: _screen(t, threshold), "rep long").distinct()
     likely = materialize(likely, "likely")
     chosen = grouped.join(likely, "rep", "left_semi").join(facts, "rep")
     texts = keep_id(docs, "doc_id", "text").join(likely, F.col("doc_id") == F.col("rep")).select("rep", "text")
     ready = _tasks(chosen, "digest").join(texts, "rep")
-    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(_verify, "a long, b long"), "links")
+    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(lambda t: _verify(t, threshold), "a long, b long"), "links")
     discard(buckets, likely, grouped)
     comps = connected_components(links)
     roots = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
