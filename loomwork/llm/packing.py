@@ -3,12 +3,15 @@
 The program has a variable for every way to fill a sequence (a configuration: how many pieces of
 each length), and asks that the pieces of each length be used up with the fewest sequences. It
 sees lengths only through their histogram, of at most `capacity` entries however many documents
-there are. It is solved by multiplicative weights: a price per length starts at the length itself;
-each round an exact knapsack dynamic program finds the configuration of the highest price, which
-is used a little (EPSILON of what its scarcest length allows), and the prices of its lengths fall
-by a factor that grows with the share of them used. When a length is used up, all is scaled to
-stay within the histogram and rounded down. What rounding leaves, and lengths with fewer than RARE
-pieces, go to the fullest sequence that still has room (best fit, decreasing), again by length.
+there are, and grouped into at most CLASSES classes, each as long as its longest length. It is
+solved by multiplicative weights: a price per class starts at the length itself; each round an
+exact knapsack dynamic program finds the configuration of the highest price, which is used a little
+(EPSILON of what its scarcest class holds, so the number of rounds depends on the number of classes
+alone), and the prices of its classes fall by a factor that grows with the share of them used. A
+class that is used to 1 - EPSILON has no price any more, and the rounds end when none has one.
+Amounts are rounded down and the fractions carried on to the next configuration. What is left, and
+classes with fewer than RARE pieces, go to the fullest sequence that still has room (best fit,
+decreasing), again by length.
 
 Pieces then get their places: each is numbered among those of its length (a salted count, so that
 a very common length is not numbered in one task), and a table of at most a few thousand runs
@@ -21,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import keep_id, map_batches, materialize, shuffle_partitions, small_batches
 from loomwork.llm.token_transducer import compiled
 
-ROUNDS = 400
 EPSILON = 0.1
+#: Lengths that the program tells apart.
+CLASSES = 128
 RARE = 16
+LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,33 +67,70 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
 
 
 def best_configuration(prices: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack: lengths with repetition, of sum at most capacity and highest price."""
+    """Unbounded knapsack: lengths with repetition, of sum at most capacity and highest price. One
+    length after the other: with v = price, best[c] - (c // length) * v is a running maximum along
+    the capacities of equal remainder, and the place of the maximum tells how many copies it takes."""
     lengths = np.flatnonzero(prices > 0)
-    value = prices[lengths]
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        if k:
-            sums = value[:k] + best[c - lengths[:k]]
-            i = int(sums.argmax())
-            if sums[i] > best[c]:
-                best[c], took[c] = sums[i], lengths[i]
+    best, copies = np.zeros(capacity + 1), np.zeros((len(lengths), capacity + 1), np.int32)
+    for i, length in enumerate(lengths.tolist()):
+        rows = -(-(capacity + 1) // length)
+        grid = np.full(rows * length, -np.inf)
+        grid[: capacity + 1] = best
+        steps = np.arange(rows)[:, None]
+        grid = grid.reshape(rows, length) - steps * prices[length]
+        top = np.maximum.accumulate(grid, axis=0)
+        source = np.maximum.accumulate(np.where(grid == top, steps, 0), axis=0)
+        copies[i] = (steps - source).ravel()[: capacity + 1]
+        best = (top + steps * prices[length]).ravel()[: capacity + 1]
     found: Counter = Counter()
     c = capacity
-    while c > 0:
-        if took[c]:
-            found[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
+    for i in range(len(lengths) - 1, -1, -1):
+        if n := int(copies[i, c]):
+            found[int(lengths[i])] = n
+            c -= n * int(lengths[i])
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, epsilon: float = EPSILON, rare: int = RARE) -> list[tuple[Counter, int]]:
-    """Configurations and how often to use each; together they hold exactly the histogram."""
+def classes_of(count: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """The class of each length, numbered by the longest length in it, and 0 for absent lengths:
+    each length by itself if they are few, else cut where the sum of the roots of the counts reaches
+    equal parts, so that lengths with many pieces lie in narrow classes."""
+    lengths = np.flatnonzero(count)
+    out = np.zeros(len(count), np.int64)
+    part = np.arange(len(lengths))
+    if len(lengths) > most:
+        sums = np.cumsum(np.sqrt(count[lengths]))
+        part = np.minimum((sums / sums[-1] * most).astype(np.int64), most - 1)
+    last = np.flatnonzero(np.append(np.diff(part) > 0, True)) if len(part) else part
+    out[lengths] = lengths[last[np.searchsorted(last, np.arange(len(lengths)))]]
+    return out
+
+
+def program(demand: np.ndarray, capacity: int, epsilon: float = EPSILON, rounds: int | None = None) -> dict[tuple, float]:
+    """Configurations and (fractional) amounts that use 1 - epsilon to all of every length's demand.
+    A round uses epsilon of the demand of its scarcest length, or what is left of it, and a length
+    used to 1 - epsilon gets no more price: so there are at most 1 / epsilon + 1 rounds a length."""
+    used = np.zeros(capacity + 1)
+    weight = np.where(demand > 0, np.arange(capacity + 1, dtype=float), 0.0)
+    amounts: dict[tuple, float] = {}
+    while weight.any() and rounds != 0:
+        config = best_configuration(weight, capacity)
+        at = np.fromiter(config.keys(), np.int64)
+        copies = np.fromiter(config.values(), np.float64)
+        step = float((np.minimum(epsilon, 1 - used[at]) * demand[at] / copies).min())
+        key = tuple(sorted(config.items()))
+        amounts[key] = amounts.get(key, 0.0) + step
+        share = step * copies / demand[at]
+        used[at] += share
+        weight[at] *= np.exp(-share)
+        weight[used >= 1 - epsilon - 1e-9] = 0
+        rounds = None if rounds is None else rounds - 1
+    return amounts
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, epsilon: float = EPSILON, rare: int = RARE) -> list[tuple[Counter, int]]:
+    """Configurations and how often to use each; together they hold exactly the histogram. Logs the
+    share that the program places."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -95,41 +138,63 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, epsilo
     if left[capacity]:
         plan.append((Counter({capacity: 1}), int(left[capacity])))
         left[capacity] = 0
-    often = left >= rare
-    if often.any():
-        used = np.zeros(capacity + 1)
-        weight = np.where(often, np.arange(capacity + 1, dtype=float), 0.0)
-        amounts: dict[tuple, float] = {}
-        for _ in range(rounds):
-            config = best_configuration(weight, capacity)
-            if not config:
-                break
-            at = np.fromiter(config.keys(), np.int64)
-            copies = np.fromiter(config.values(), np.float64)
-            step = epsilon * float((left[at] / copies).min())
-            key = tuple(sorted(config.items()))
-            amounts[key] = amounts.get(key, 0.0) + step
-            share = step * copies / left[at]
-            used[at] += share
-            weight[at] *= np.exp(-share)
-            if used.max() >= 1 - epsilon:
-                break
-        scale = 1 / max(1.0, float(used.max()))
-        for key, amount in amounts.items():
-            times = int(amount * scale)
-            if times:
-                plan.append((Counter(dict(key)), times))
-                for length, k in key:
-                    left[length] -= times * k
-    return plan + _best_fit(left, capacity)
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
-    """Fill one sequence after the other with the longest pieces that fit; a filling is repeated
-    as long as the pieces last, so the work depends on the distinct lengths alone."""
+    pieces, total = int(left.sum()), int((left * np.arange(capacity + 1)).sum())
+    group = classes_of(left)
+    demand = np.bincount(group, left, capacity + 1)
+    demand[demand < rare] = 0
+    demand[0] = 0
+    placed: list[tuple[Counter, int]] = []
+    stock, carried = demand.astype(np.int64), 0.0
+    for key, amount in sorted(program(demand, capacity, epsilon, rounds).items()):
+        carried += amount
+        times = min(int(carried), *(int(stock[c]) // n for c, n in key), int(carried))
+        carried -= int(carried)
+        for c, n in key:
+            stock[c] -= times * n
+        placed += _in_classes(key, times, left, group)
+    held = (1 - int(left.sum()) / max(1, pieces), 1 - int((left * np.arange(capacity + 1)).sum()) / max(1, total))
+    LOG.info("the linear program places %.3f of the pieces under the capacity and %.3f of their tokens", *held)
+    return plan + _best_fit(placed, left, capacity)
+
+
+def _in_classes(key: tuple, times: int, left: np.ndarray, group: np.ndarray) -> list[tuple[Counter, int]]:
+    """Turn a configuration of classes into ones of lengths, the longest of a class first, and take
+    their pieces from left; a filling is repeated as long as the pieces last. Its shortest place
+    stays open: best fit fills it together with the room that pieces shorter than their class leave."""
+    plan, whole = [], Counter(dict(key))
+    if whole.total() > 1:
+        whole[min(whole)] -= 1
+    slots = [(c, n) for c, n in whole.items() if n]
+    members = {c: np.flatnonzero(group == c)[::-1].tolist() for c, _ in key}
+    while times > 0:
+        config: Counter = Counter()
+        for c, copies in slots:
+            while copies:
+                members[c] = [x for x in members[c] if left[x]] if not left[members[c][0]] else members[c]
+                for length in members[c]:
+                    n = min(copies, int(left[length]))
+                    config[length] += n
+                    copies -= n
+                    if not copies:
+                        break
+        n = min(times, *(int(left[length]) // k for length, k in config.items()))
+        for length, k in config.items():
+            left[length] -= n * k
+        times -= n
+        plan.append((config, n))
+    return plan
+
+
+def _best_fit(placed: list[tuple[Counter, int]], left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
+    """Fill the sequences of placed, the fullest first, and then one new sequence after the other
+    with the longest pieces that fit; a filling is repeated as long as the pieces last, so the work
+    depends on the distinct lengths and configurations alone."""
     left, plan = left.copy(), []
-    while left.any():
-        room, config = capacity, Counter()
+    open_ = sorted(((capacity - sum(length * n for length, n in c.items()), k, c, times) for k, (c, times) in enumerate(placed)), key=lambda x: x[:2])
+    at = 0
+    while at < len(open_) or left.any():
+        room, _, config, most = open_[at] if at < len(open_) else (capacity, 0, Counter(), None)
+        base, added = config, Counter()
         lengths = np.flatnonzero(left)
         while room > 0:
             k = int(np.searchsorted(lengths, room, side="right"))
@@ -137,13 +202,18 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
                 break
             length = int(lengths[k - 1])
             n = min(int(left[length]), room // length)
-            config[length] = n
+            added[length] = n
             room -= n * length
             lengths = lengths[: k - 1]
-        times = min(int(left[length]) // n for length, n in config.items())
-        for length, n in config.items():
+        times = min([int(left[length]) // n for length, n in added.items()] + ([most] if most is not None else []))
+        for length, n in added.items():
             left[length] -= times * n
-        plan.append((config, times))
+        plan.append((base + added, times))
+        if most is not None:
+            if times == most:
+                at += 1
+            else:
+                open_[at] = (open_[at][0], 0, base, most - times)
     return plan
 
 
