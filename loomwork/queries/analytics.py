@@ -96,8 +96,8 @@ query("q_savings", f"{_PAIRS}, z AS ({_SAVE}) SELECT cell, model_a, model_b, rou
 query("q_outcome_counts", f"{_PAIRS}, z AS ({_SAVE}) SELECT count(*) FILTER (tsv <= 0) AS none, count(*) FILTER (tsv > 0 AND tsv < ws) AS attenuated, count(*) FILTER (tsv > 0 AND tsv >= ws) AS proportional FROM z")(lambda s, d: _savings(s, d).groupBy().pivot("outcome", ["none", "attenuated", "proportional"]).count())
 query("q_parent_mean", f"SELECT model, round(avg(m), 6) AS mean, count(*) AS parents FROM (SELECT model, cell % 7 AS parent, avg(secs) AS m FROM ({RUNS}) GROUP BY ALL) GROUP BY model")(lambda s, d: T.parent_mean(runs(s, d).withColumn("parent", F.col("cell") % 7), ["model"], "parent", "secs").withColumn("mean", F.round("mean", 6)))
 query("q_leave_one_out", f"WITH p AS (SELECT model, cell % 7 AS c, sum(secs) AS s, count(*) AS n FROM ({RUNS}) GROUP BY ALL) SELECT model, c AS left_out, round((sum(s) OVER w - s) / (sum(n) OVER w - n), 6) AS mean FROM p WINDOW w AS (PARTITION BY model)")(lambda s, d: T.leave_one_out(runs(s, d).withColumn("c", F.col("cell") % 7), ["model"], "c", "secs").withColumn("mean", F.round("mean", 6)))
-query("q_bootstrap")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97), ["model"], "parent", "secs", draws=400))
-query("q_bootstrap_clustered")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97).withColumn("c", F.col("cell") % 97 % 7), ["model"], "parent", "secs", draws=200, cluster="c"))
+query("q_bootstrap")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97), ["model"], "parent", "secs", draws=4000))
+query("q_bootstrap_clustered")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97).withColumn("c", F.col("cell") % 97 % 7), ["model"], "parent", "secs", draws=2000, cluster="c"))
 
 # --- adaptation ------------------------------------------------------------------------------
 #: Stages: each order is a parent; its first lines are the conditions, its last digit the validity.
