@@ -16,7 +16,7 @@ def folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
         return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomwork-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomwork-scratch"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
