@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomwork.llm.common import keep_id, map_batches, small_batches
+from loomwork.llm.common import keep_id, map_batches, bounded_batches
 
 SEGMENT = 1 << 16
 #: A match never runs from a character that is not white space into a space or line feed.
@@ -85,7 +85,7 @@ def decode(ids, rank_file: str, pattern: str = public_tokenizers.PATTERN) -> byt
 
 def encode_texts(df: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row; ids stay below 2**31."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = [encode(t or "", rank_file, pattern) for t in b.column(1).to_pylist()]
@@ -109,7 +109,7 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str = public_tokenizers.P
 def round_trip_digest(df: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Encode every text, decode its ids, and return digests of both. The round trip of one text
     stays in one task, so ids and bytes are never shuffled."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, a, d = [], [], []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -17,8 +16,12 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, and the words between it.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of text in an Arrow batch: bounds a Python worker's memory when texts are long.
+#: Rows of text that an operator works on at once, and bytes of an Arrow batch: both bound a Python
+#: worker's memory.
 TEXT_ROWS = 400
+BATCH_BYTES = 8 << 20
+#: Bytes of a row group of a stored table: bounds what a writer holds.
+GROUP_BYTES = 32 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -29,25 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, the warehouse, or a
-    temporary folder if driver and executors are one process."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset and driver and executors
+    are one process, a temporary folder. A cluster without the setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
         app = spark.sparkContext.applicationId
         return _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomwork-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomwork-scratch"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder, once, and read it back."""
+    """Cut lineage: write df as Parquet to the shared folder, once, and read it back. What nobody
+    discards is deleted when the driver ends."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    where, files = _hadoop(df.sparkSession, path)
+    files.deleteOnExit(where)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._loomwork_path = path  # type: ignore[attr-defined]
     return back
@@ -58,16 +69,15 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_loomwork_path", None)
         if path:
-            spark = df.sparkSession
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = _hadoop(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Python workers need this package: send it unless their search path has it already."""
+    """Python workers of other machines need this package: send it, once per application."""
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or root == Path.cwd().resolve() or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if sc.applicationId in _SHIPPED or sc.master.startswith("local["):
         return
     archive = Path(tempfile.mkdtemp(prefix="loomwork-")) / "loomwork.zip"
     with zipfile.ZipFile(archive, "w") as z:
@@ -77,21 +87,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Rows per Arrow batch from here on; every operator that runs Python calls this first."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Every operator that runs Python calls this first. The bound on a batch's bytes is the same
+    for all of them, so it does not matter which one ran last; rows are cut in map_batches."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """mapInArrow for a function of one batch of at most `rows` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = f(b)
-            if out is None:
-                continue
-            yield from out if isinstance(out, list) else [out]
+            for at in range(0, b.num_rows, rows):
+                out = f(b.slice(at, rows))
+                if out is None:
+                    continue
+                yield from out if isinstance(out, list) else [out]
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, keep_id, map_batches, materialize, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, map_batches, materialize, bounded_batches
 from loomwork.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -97,10 +97,10 @@ def _labels(hits: np.ndarray, guests: np.ndarray, owners: np.ndarray) -> tuple[n
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    bounded_batches(spark)
     source = keep_id(vectors, id_col, vector_col).toDF("vec_id", "embedding")
     kind = "<f4" if source.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
-    base = materialize(map_batches(source, _bytes_of(kind), "vec_id long, raw binary"), "vectors")
+    base = materialize(map_batches(source, _bytes_of(kind), "vec_id long, raw binary", rows=2000), "vectors")
     usable = base.where("vec_id is not null and raw is not null")
     classes = materialize(usable.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     n = classes.count()
@@ -126,7 +126,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         columns = [pa.array(cell, pa.int32()), pa.array(own[who] == cell), b.column("rep").take(at), b.column("copies").take(at), b.column("raw").take(at)]
         return [pa.RecordBatch.from_arrays(columns, ["cell", "owner", "rep", "copies", "raw"])]
 
-    dealt = materialize(map_batches(classes, deal, "cell int, owner boolean, rep long, copies long, raw binary"), "cells")
+    dealt = materialize(map_batches(classes, deal, "cell int, owner boolean, rep long, copies long, raw binary", rows=2000), "cells")
     # a row per cell, at most MAX_CELLS, so it may be broadcast
     blocks = dealt.groupBy("cell").agg(F.ceil(F.count_if("owner") / BLOCK_ROWS).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("cols"))
     sized = dealt.join(F.broadcast(blocks), "cell").where("rows > 0")

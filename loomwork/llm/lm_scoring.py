@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, materialize, mix64, small_batches
+from loomwork.llm.common import keep_id, materialize, mix64, bounded_batches
 from loomwork.llm.ngram_hash import word_hashes
 
 ORDER = 2
@@ -167,7 +167,7 @@ def _walk(block: Block, k: int, tokens: np.ndarray, places: list[np.ndarray], se
 
 def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = keep_id(docs, "doc_id", "text")
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, ceil(size / block_bytes))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, keep_id, map_batches, materialize, mix64, shuffle_partitions, small_batches
+from loomwork.llm.common import discard, keep_id, map_batches, materialize, mix64, shuffle_partitions, bounded_batches
 from loomwork.llm.components import connected_components
 from loomwork.llm.ngram_hash import word_hashes
 
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; threshold in per cent, under 100."""
     spark = docs.sparkSession
     least = least_shingles(threshold)
-    small_batches(spark)
+    bounded_batches(spark)
     feats = materialize(map_batches(keep_id(docs, "doc_id", "text"), lambda b: _features(b, least), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash")
     known = feats.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")

@@ -3,15 +3,16 @@
 The program has a variable for every way to fill a sequence (a configuration: how many pieces of
 each length), and asks that the pieces of each length be used up with the fewest sequences. It
 sees lengths only through their histogram, of at most `capacity` entries however many documents
-there are, and grouped into at most CLASSES classes, each as long as its longest length. It is
-solved by multiplicative weights: a price per class starts at the length itself; each round an
-exact knapsack dynamic program finds the configuration of the highest price, which is used a little
-(EPSILON of what its scarcest class holds, so the number of rounds depends on the number of classes
-alone), and the prices of its classes fall by a factor that grows with the share of them used. A
-class that is used to 1 - EPSILON has no price any more, and the rounds end when none has one.
-Amounts are rounded down and the fractions carried on to the next configuration. What is left, and
-classes with fewer than RARE pieces, go to the fullest sequence that still has room (best fit,
-decreasing), again by length.
+there are, and prices every length by itself. It is solved by multiplicative weights: a price per
+length starts at the length itself and falls exponentially with the share of its pieces used. Each
+round an exact knapsack dynamic program over all capacities finds the highest price that fits; the
+table also tells, for every length, the best configuration that holds it. Those whose price is
+within SLACK of the highest are used a little each (each at most STEP of the pieces of any of
+its lengths, but a whole sequence where that is less than one; none whose lengths have had as much
+in this round), and then prices are set anew. A length
+used to 1 - EPSILON has no price any more, and the rounds end when none has one. Amounts are
+rounded down, and the fractions carried on to the next configuration. What is left goes to the
+fullest sequence that still has room (best fit, decreasing), again by length.
 
 Pieces then get their places: each is numbered among those of its length (a salted count, so that
 a very common length is not numbered in one task), and a table of at most a few thousand runs
@@ -33,20 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, map_batches, materialize, shuffle_partitions, small_batches
+from loomwork.llm.common import keep_id, map_batches, materialize, shuffle_partitions, bounded_batches
 from loomwork.llm.token_transducer import compiled
 
-EPSILON = 0.1
-#: Lengths that the program tells apart.
-CLASSES = 128
-RARE = 16
+EPSILON, STEP = 0.05, 0.5
+#: The exponent by which a price falls when all of a length is used, and what a configuration may
+#: cost less than the best one.
+ETA, SLACK = 0.1, 0.005
 LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
     """Token ids of every document plus the end id, cut into pieces of capacity; one row a piece."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -66,69 +67,87 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
     return map_batches(keep_id(docs, "doc_id", "text"), run, PIECES)
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack: lengths with repetition, of sum at most capacity and highest price. One
-    length after the other: with v = price, best[c] - (c // length) * v is a running maximum along
-    the capacities of equal remainder, and the place of the maximum tells how many copies it takes."""
-    lengths = np.flatnonzero(prices > 0)
-    best, copies = np.zeros(capacity + 1), np.zeros((len(lengths), capacity + 1), np.int32)
-    for i, length in enumerate(lengths.tolist()):
-        rows = -(-(capacity + 1) // length)
-        grid = np.full(rows * length, -np.inf)
-        grid[: capacity + 1] = best
-        steps = np.arange(rows)[:, None]
-        grid = grid.reshape(rows, length) - steps * prices[length]
-        top = np.maximum.accumulate(grid, axis=0)
-        source = np.maximum.accumulate(np.where(grid == top, steps, 0), axis=0)
-        copies[i] = (steps - source).ravel()[: capacity + 1]
-        best = (top + steps * prices[length]).ravel()[: capacity + 1]
+def knapsack(prices: np.ndarray, capacity: int, rng: np.random.Generator, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack for every capacity: the highest price of lengths with repetition, and how
+    it comes about: the capacity itself as one piece (0), one unit left empty (-1), or two parts,
+    one of which is given. Of splits within the slack of the best one, any may be taken, so that
+    the fillings of different capacities do not all rest on the same few lengths."""
+    best, split = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
+    draw = rng.random(capacity + 1)
+    for c in range(1, capacity + 1):
+        top, how = best[c - 1], -1
+        half = c // 2
+        if half:
+            both = best[1 : half + 1] + best[c - half : c][::-1]
+            most = both.max()
+            if most > top:
+                near = (both >= most * (1 - slack)).nonzero()[0]
+                at = int(near[int(draw[c] * len(near))])
+                if both[at] > top:
+                    top, how = both[at], at + 1
+        if prices[c] > 0 and prices[c] >= top * (1 - slack):
+            top, how = prices[c], 0
+        best[c], split[c] = top, how
+    return best, split
+
+
+def configuration(split: np.ndarray, capacity: int) -> Counter:
+    """The pieces of the best filling of a capacity."""
     found: Counter = Counter()
-    c = capacity
-    for i in range(len(lengths) - 1, -1, -1):
-        if n := int(copies[i, c]):
-            found[int(lengths[i])] = n
-            c -= n * int(lengths[i])
+    todo = [capacity]
+    while todo:
+        c = todo.pop()
+        how = int(split[c])
+        while how < 0 and c > 0:
+            c -= 1
+            how = int(split[c])
+        if c == 0:
+            continue
+        if how:
+            todo += (how, c - how)
+        else:
+            found[c] += 1
     return found
 
 
-def classes_of(count: np.ndarray, most: int = CLASSES) -> np.ndarray:
-    """The class of each length, numbered by the longest length in it, and 0 for absent lengths:
-    each length by itself if they are few, else cut where the sum of the roots of the counts reaches
-    equal parts, so that lengths with many pieces lie in narrow classes."""
-    lengths = np.flatnonzero(count)
-    out = np.zeros(len(count), np.int64)
-    part = np.arange(len(lengths))
-    if len(lengths) > most:
-        sums = np.cumsum(np.sqrt(count[lengths]))
-        part = np.minimum((sums / sums[-1] * most).astype(np.int64), most - 1)
-    last = np.flatnonzero(np.append(np.diff(part) > 0, True)) if len(part) else part
-    out[lengths] = lengths[last[np.searchsorted(last, np.arange(len(lengths)))]]
-    return out
-
-
 def program(demand: np.ndarray, capacity: int, epsilon: float = EPSILON, rounds: int | None = None) -> dict[tuple, float]:
-    """Configurations and (fractional) amounts that use 1 - epsilon to all of every length's demand.
-    A round uses epsilon of the demand of its scarcest length, or what is left of it, and a length
-    used to 1 - epsilon gets no more price: so there are at most 1 / epsilon + 1 rounds a length."""
-    used = np.zeros(capacity + 1)
-    weight = np.where(demand > 0, np.arange(capacity + 1, dtype=float), 0.0)
+    """Configurations and (fractional) amounts that use 1 - epsilon to all of the demand of every
+    length. The number of rounds depends on epsilon alone but for lengths of few pieces."""
+    need = demand.astype(np.float64)
+    used = np.zeros(capacity + 1)  # pieces
     amounts: dict[tuple, float] = {}
-    while weight.any() and rounds != 0:
-        config = best_configuration(weight, capacity)
-        at = np.fromiter(config.keys(), np.int64)
-        copies = np.fromiter(config.values(), np.float64)
-        step = float((np.minimum(epsilon, 1 - used[at]) * demand[at] / copies).min())
-        key = tuple(sorted(config.items()))
-        amounts[key] = amounts.get(key, 0.0) + step
-        share = step * copies / demand[at]
-        used[at] += share
-        weight[at] *= np.exp(-share)
-        weight[used >= 1 - epsilon - 1e-9] = 0
+    size, rng = np.arange(capacity + 1, dtype=float), np.random.default_rng(capacity)
+    while rounds != 0:
+        share = np.divide(used, need, out=np.ones(capacity + 1), where=need > 0)
+        weight = np.where((need - used > 1e-9) & (share < 1 - epsilon), size * np.exp(-ETA * share), 0.0)
+        if not weight.any():
+            break
+        best, split = knapsack(weight, capacity, rng, SLACK / 10)
+        spent = np.zeros(capacity + 1)  # in this round
+        lengths = np.flatnonzero(weight)
+        value = weight[lengths] + best[capacity - lengths]
+        order = lengths[np.argsort(-value, kind="stable")]
+        least = (1 - SLACK) * best[capacity]
+        for length in order[: int((value >= least).sum())].tolist():
+            if spent[length] >= STEP * need[length]:
+                continue
+            config = configuration(split, capacity - length)
+            config[length] += 1
+            if any(spent[x] >= STEP * need[x] for x in config if spent[x]):
+                continue  # there is more in a later round
+            step = min(min(max(STEP * need[x] / n, 1.0), (need[x] - used[x]) / n) for x, n in config.items())
+            if step <= 1e-9:
+                continue
+            key = tuple(sorted(config.items()))
+            amounts[key] = amounts.get(key, 0.0) + step
+            for x, n in key:
+                spent[x] += step * n
+                used[x] += step * n
         rounds = None if rounds is None else rounds - 1
     return amounts
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, epsilon: float = EPSILON, rare: int = RARE) -> list[tuple[Counter, int]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, epsilon: float = EPSILON) -> list[tuple[Counter, int]]:
     """Configurations and how often to use each; together they hold exactly the histogram. Logs the
     share that the program places."""
     left = np.zeros(capacity + 1, np.int64)
@@ -139,52 +158,21 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, e
         plan.append((Counter({capacity: 1}), int(left[capacity])))
         left[capacity] = 0
     pieces, total = int(left.sum()), int((left * np.arange(capacity + 1)).sum())
-    group = classes_of(left)
-    demand = np.bincount(group, left, capacity + 1)
-    demand[demand < rare] = 0
-    demand[0] = 0
     placed: list[tuple[Counter, int]] = []
-    stock, carried = demand.astype(np.int64), 0.0
-    for key, amount in sorted(program(demand, capacity, epsilon, rounds).items()):
+    carried = 0.0
+    for key, amount in sorted(program(left, capacity, epsilon, rounds).items(), key=lambda x: (-x[1], x[0])):
         carried += amount
-        times = min(int(carried), *(int(stock[c]) // n for c, n in key), int(carried))
-        carried -= int(carried)
-        for c, n in key:
-            stock[c] -= times * n
-        placed += _in_classes(key, times, left, group)
+        times = min(int(carried + 1e-6), *(int(left[x]) // n for x, n in key)) if carried >= 1 - 1e-6 else 0
+        carried = min(carried - times, 1.0)
+        if times:
+            for x, n in key:
+                left[x] -= times * n
+            placed.append((Counter(dict(key)), times))
     held = (1 - int(left.sum()) / max(1, pieces), 1 - int((left * np.arange(capacity + 1)).sum()) / max(1, total))
     LOG.info("the linear program places %.3f of the pieces under the capacity and %.3f of their tokens", *held)
     return plan + _best_fit(placed, left, capacity)
 
 
-def _in_classes(key: tuple, times: int, left: np.ndarray, group: np.ndarray) -> list[tuple[Counter, int]]:
-    """Turn a configuration of classes into ones of lengths, the longest of a class first, and take
-    their pieces from left; a filling is repeated as long as the pieces last. Its shortest place
-    stays open: best fit fills it together with the room that pieces shorter than their class leave."""
-    plan, whole = [], Counter(dict(key))
-    if whole.total() > 1:
-        whole[min(whole)] -= 1
-    slots = [(c, n) for c, n in whole.items() if n]
-    members = {c: np.flatnonzero(group == c)[::-1].tolist() for c, _ in key}
-    while times > 0:
-        config: Counter = Counter()
-        for c, copies in slots:
-            while copies:
-                members[c] = [x for x in members[c] if left[x]] if not left[members[c][0]] else members[c]
-                for length in members[c]:
-                    n = min(copies, int(left[length]))
-                    config[length] += n
-                    copies -= n
-                    if not copies:
-                        break
-        n = min(times, *(int(left[length]) // k for length, k in config.items()))
-        for length, k in config.items():
-            left[length] -= n * k
-        times -= n
-        plan.append((config, n))
-    return plan
-
-
 def _best_fit(placed: list[tuple[Counter, int]], left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
     """Fill the sequences of placed, the fullest first, and then one new sequence after the other
     with the longest pieces that fit; a filling is repeated as long as the pieces last, so the work
@@ -260,7 +248,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         out += [pa.array(sequence[at] + k % times[at]), pa.array(offset[at] + k // times[at] * size)]
         return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return map_batches(number_within_length(pieces), run, PIECES + ", sequence_id long, offset long")
+    return map_batches(number_within_length(pieces), run, PIECES + ", sequence_id long, offset long", rows=20_000)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, keep_id, map_batches, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, map_batches, bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 20_000
@@ -242,7 +242,7 @@ def _write(spans: list[Span]) -> str:
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Per document: counts of the patterns' spans, their digest, and all spans."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     w = fit_on(docs)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -270,7 +270,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text; null texts stay null."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     w = fit_on(docs)
     at = docs.columns.index(text_col)
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, materialize, mix64, small_batches
+from loomwork.llm.common import bounded_sample, materialize, mix64, bounded_batches
 from loomwork.llm.ngram_hash import prefix_sums
 
 WINDOW, GRAM = 100, 50
@@ -328,11 +328,10 @@ def _pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema, block_bytes: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     name = f"loomwork_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _pack_blocks(docs, block_bytes).repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    small_batches(spark, 4)
     blocks = spark.table(name)
     n = blocks.count()
     sampled = [r[0] for r in bounded_sample(blocks.select(F.explode("sample").alias("key")), ["key"], MAX_SAMPLE, n * SAMPLE_KEYS).collect()]

@@ -13,13 +13,13 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomwork.llm.common import keep_id, map_batches, small_batches
+from loomwork.llm.common import keep_id, map_batches, bounded_batches
 from loomwork.llm.token_transducer import CHUNK, compiled
 
 
 def token_counts(df: DataFrame, tokenizer_file: str, limit: int, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in b.column(1).to_pylist()]

@@ -10,10 +10,12 @@ carries the number of tokens by which the prefix's count changes (it may be nega
 token of the longer prefix. The last symbol of a word is another letter of the alphabet ("d</w>"
 instead of "d"), so the state lags one symbol behind the input.
 
-Around it stands the splitter: white space always leads back to the start state whatever came
-before, so the state map of a chunk is short: what it does to the entry state is fixed by the
-characters before its first white space (head), and everything after that does not depend on the
-entry state. Maps compose associatively; `scan` combines them as a balanced tree.
+Around it stands the splitter, whose state is the kind of characters the current piece consists of.
+White space always leads back to the start state, so the state map of a chunk is short: the entry
+state matters up to the chunk's first white space (head) alone, and from there on the exit state
+and the number of tokens are fixed. Maps compose associatively (the exit state of one goes through
+the head of the next); `scan` combines them as a balanced tree. Chunks end before ASCII characters,
+where no normalisation reaches across.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import regex
@@ -29,16 +32,21 @@ import regex
 END = "</w>"
 #: Words, and characters of words, kept with their finished result, and states kept; a table that
 #: is full starts anew.
-MEMO_WORDS = 250_000
-MEMO_CHARS = 1 << 23
-MAX_STATES = 100_000
+MEMO_WORDS = 120000
+MEMO_CHARS = 1 << 22
+MAX_STATES = 200000
 #: So few words of more than as many symbols left are finished one by one.
 FEW = 32
-CHUNK = 1 << 16
+#: Characters of a chunk; it ends before the next ASCII character, which never combines with one before.
+CHUNK = 1 << 13
+_ALL, _SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_ASCII = re.compile(r"[\x00-\x7f]")
 _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The contractions split off, then letters, single digits and the rest.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\n\p{L}\p{N}]+|\n")
+_RUNS = {"l": regex.compile(r"\p{L}+"), "o": regex.compile(r"[^\p{L}\p{N}]+")}
+_HALF = ("'r", "'v", "'l")
 
 
 def byte_letters() -> list[str]:
@@ -55,176 +63,214 @@ def byte_letters() -> list[str]:
 
 
 class WordTransducer:
-    """Counts and lists the tokens of words. Many words advance in lockstep, one symbol at a time,
-    over dense tables; a transition that is still missing is made first. Symbols are bytes."""
+    """Counts and lists the tokens of words. Many words advance in lockstep, one symbol at a time;
+    a transition that is still missing is made first. A symbol is a byte, plus 256 for the last one
+    of a word. Transitions stand in an open-addressed table of (state, symbol), which takes memory
+    for those that were made alone."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.ranks = {pair: r for r, pair in enumerate(merges)}
-        self.letters = byte_letters()
-        self.trie: list[dict[str, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        self.texts: dict[int, str] = {}
-        self.split: dict[str, tuple[str, str]] = {}
-        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        by_text = {pair: r for r, pair in enumerate(merges)}
+        letters = byte_letters()
+        symbol_of = {c + END * end: b + 256 * end for b, c in enumerate(letters) for end in (False, True)}
+        top = max(vocab.values()) + 1
+        #: the merge of two tokens, by (left << 20 | right), and each token's last merge
+        self.ranks = {vocab[a] << 20 | vocab[b]: r for (a, b), r in by_text.items() if a in vocab and b in vocab}
+        self.left, self.right, self.taken = [-1] * top, [-1] * top, [0] * top
+        #: the trie of the vocabulary: (node << 9 | symbol) to node; the token and the children of a node
+        self.trie: dict[int, int] = {}
+        self.token_at, self.inner = [-1], bytearray(1)
+        self.length = np.zeros(top, np.int64)
         for token, number in vocab.items():
             marked = token.endswith(END) and len(token) > len(END)
             symbols = [*token[: -len(END) - 1], token[-len(END) - 1 :]] if marked else list(token)
             if len(symbols) > 1:
-                left, right = self._last_merge(symbols)
+                left, right = _last_merge(symbols, by_text)
                 if left + right != token:
                     continue  # the merges never produce it
-                self.split[token] = (left, right)
+                self.left[number], self.right[number], self.taken[number] = vocab[left], vocab[right], by_text[left, right]
             node = 0
             for s in symbols:
-                nxt = self.trie[node].get(s)
+                key = node << 9 | symbol_of[s]
+                nxt = self.trie.get(key)
                 if nxt is None:
-                    nxt = self.trie[node][s] = len(self.trie)
-                    self.trie.append({})
+                    nxt = self.trie[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
                 node = nxt
             self.token_at[node] = number
-            self.texts[number] = token
             self.length[number] = len(symbols)
-        self.spines: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, 0),)
+        start = (0, -1, 0)
+        #: a state: for each earlier position still open the trie's node, the last token, the depth
         self.states = [start]
         self.numbers = {start: 0}
-        self.column = np.full(256, -1, np.int32)
-        self.used = 0
-        #: next state, change of the count, last token; the same for a word's last symbol
-        self.next = np.full((1024, 64), -1, np.int32)
-        self.emit = np.zeros((1024, 64), np.int8)
-        self.last = np.zeros((1024, 64), np.uint16 if len(self.length) < 65536 else np.int32)
-        self.end_emit = np.full((1024, 64), -128, np.int8)
-        self.end_last = np.zeros_like(self.last)
-
-    def _last_merge(self, symbols: list[str]) -> tuple[str, str]:
-        """Merge by rank, as defined; returns the two parts of the last merge, or what is left."""
-        parts, ranks = list(symbols), self.ranks
-        while len(parts) > 2:
-            best = min(ranks.get(p, 1 << 40) for p in zip(parts, parts[1:]))
-            if best == 1 << 40:
-                return "", ""
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and ranks.get((parts[i], parts[i + 1])) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return (parts[0], parts[1]) if len(parts) == 2 and tuple(parts) in ranks else ("", "")
-
-    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
-        """The parts of a token that touch its left (0) or right (1) end while it is merged, each
-        with the rank of the merge that takes it up."""
-        found = self.spines[side].get(token)
-        if found is None:
-            found, part, taken = [], token, 1 << 40
-            while True:
-                found.append((part, taken))
-                if part not in self.split:
-                    break
-                taken = self.ranks[self.split[part]]
-                part = self.split[part][side]
-            found = self.spines[side][token] = found[::-1]
-        return found
+        self.fits.clear()
+        self._allot(16)
+
+    def _allot(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.next = np.zeros(1 << bits, np.int32)
+        self.emit = np.zeros(1 << bits, np.int8)
+        self.last = np.zeros(1 << bits, np.uint16 if len(self.length) < 65536 else np.int32)
 
     def _fit(self, a: int, b: int) -> bool:
         """True if the merges leave token a followed by token b as they are: no merge across the
         border outranks those that take up the parts beside it."""
-        known = self.fits.get((a, b))
+        pair = a << 20 | b
+        known = self.fits.get(pair)
         if known is None:
-            left, right, i, j, known = self._spine(self.texts[a], 1), self._spine(self.texts[b], 0), 0, 0, True
+            known = True
+            xs, ys = self._spine(a, self.right), self._spine(b, self.left)
+            i, j, ranks = len(xs) - 1, len(ys) - 1, self.ranks
             while True:
-                (x, taken_x), (y, taken_y) = left[i], right[j]
-                rank = self.ranks.get((x, y))
+                (x, taken_x), (y, taken_y) = xs[i], ys[j]
+                rank = ranks.get(x << 20 | y)
                 if rank is not None and rank < taken_x and rank <= taken_y:
                     known = False
                     break
-                if i + 1 == len(left) and j + 1 == len(right):
+                if i == 0 and j == 0:
                     break
                 if taken_x <= taken_y:
-                    i += 1
+                    i -= 1
                 else:
-                    j += 1
-            self.fits[a, b] = known
+                    j -= 1
+            if len(self.fits) > MAX_STATES:
+                self.fits.clear()
+            self.fits[pair] = known
         return known
 
-    def _make(self, number: int, byte: int, end: bool) -> None:
-        symbol = self.letters[byte] + END * end
-        chosen, moved = None, []
-        for node, last, depth in self.states[number]:  # longest candidate first
-            nxt = self.trie[node].get(symbol)
+    def _spine(self, token: int, side: list[int]) -> list[tuple[int, int]]:
+        """The parts of a token that touch its left or right end while it is merged, the whole
+        first, each with the rank of the merge that takes it up."""
+        found, above = [], 1 << 40
+        while token >= 0:
+            found.append((token, above))
+            above, token = self.taken[token], side[token]
+        return found
+
+    def _number(self, state: tuple) -> int:
+        to = self.numbers.get(state)
+        if to is None:
+            to = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return to
+
+    def _make(self, number: int, symbol: int) -> int:
+        """Make a transition; returns its place in the table."""
+        state, trie, token_at = self.states[number], self.trie, self.token_at
+        chosen, depth, moved = -1, 0, []
+        for i in range(0, len(state), 3):  # longest candidate first
+            nxt = trie.get(state[i] << 9 | symbol)
             if nxt is None:
                 continue
-            moved.append((nxt, last, depth))
-            token = self.token_at[nxt]
-            if chosen is None and token >= 0 and (last < 0 or self._fit(last, token)):
-                chosen = (token, depth + 1)
-        if chosen is None:
-            raise ValueError(f"the vocabulary cannot spell {symbol!r}")
-        token, depth = chosen
-        col = self.column[byte]
-        if end:
-            self.end_emit[number, col], self.end_last[number, col] = depth, token
-            return
-        after = tuple((n, last, d - depth) for n, last, d in moved if self.trie[n]) + ((0, token, 0),)
-        to = self.numbers.get(after)
-        if to is None:
-            to = self.numbers[after] = len(self.states)
-            self.states.append(after)
-            if to == len(self.next):
-                self._grow(1.25, 1)
-        self.next[number, col], self.emit[number, col], self.last[number, col] = to, depth, token
-
-    def _grow(self, rows: float, cols: int) -> None:
-        for name, fill in (("next", -1), ("emit", 0), ("last", 0), ("end_emit", -128), ("end_last", 0)):
-            old = getattr(self, name)
-            new = np.full((int(old.shape[0] * rows), old.shape[1] * cols), fill, old.dtype)
-            new[: old.shape[0], : old.shape[1]] = old
-            setattr(self, name, new)
-
-    def _columns(self, symbols: np.ndarray) -> np.ndarray:
-        for b in np.unique(symbols):
-            if self.column[b] < 0:
-                if self.used == self.next.shape[1]:
-                    self._grow(1, 2)
-                self.column[b] = self.used
-                self.used += 1
-        return self.column[symbols]
-
-    def _ready(self, table: str, at: np.ndarray, col: np.ndarray, symbols: np.ndarray, end: bool) -> None:
-        missing = getattr(self, table)[at, col] == (-128 if end else -1)
+            last = state[i + 1]
+            moved.append((nxt, last, state[i + 2]))
+            if chosen < 0:
+                token = token_at[nxt]
+                if token >= 0 and (last < 0 or self._fit(last, token)):
+                    chosen, depth = token, state[i + 2] + 1
+        if chosen < 0:
+            raise ValueError(f"the vocabulary cannot spell {symbol & 255:#x}")
+        to = 0
+        if symbol < 256:
+            after: list[int] = []
+            for node, last, d in moved:
+                if self.inner[node]:
+                    after += (node, last, d - depth)
+            to = self._number((*after, 0, chosen, 0))
+        if 2 * self.used >= len(self.key):
+            old = self.key, self.next, self.emit, self.last
+            full = np.flatnonzero(old[0] >= 0)
+            self._allot(self.bits + 1)
+            at = self._free(old[0][full])
+            self.key[at], self.next[at], self.emit[at], self.last[at] = (x[full] for x in old)
+            self.used = len(full)
+        key, mask = number << 9 | symbol, len(self.key) - 1
+        slot = (key * _SPREAD & _ALL) >> (64 - self.bits)
+        while self.key[slot] >= 0:
+            slot = slot + 1 & mask
+        self.key[slot], self.next[slot], self.emit[slot], self.last[slot] = key, to, depth, chosen
+        self.used += 1
+        return slot
+
+    def _free(self, keys: np.ndarray) -> np.ndarray:
+        """A free place for each of these keys, none of which is in the table yet."""
+        slot, mask = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64), len(self.key) - 1
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[slot[todo]] < 0]
+            self.key[slot[free]] = keys[free]  # of several for one place the last one has it
+            todo = todo[self.key[slot[todo]] != keys[todo]]
+            slot[todo] = slot[todo] + 1 & mask
+        return slot
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, or -1."""
+        slot, mask = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64), len(self.key) - 1
+        here = self.key[slot]
+        todo = np.flatnonzero((here != keys) & (here >= 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & mask
+            here[todo] = self.key[slot[todo]]
+            todo = todo[(here[todo] != keys[todo]) & (here[todo] >= 0)]
+        slot[here < 0] = -1
+        return slot
+
+    def _along(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The transitions of these states at these symbols; missing ones are made."""
+        keys = state << 9 | symbols
+        slot = self._find(keys)
+        missing = slot < 0
         if missing.any():
-            for key in np.unique(at[missing] * 256 + symbols[missing]).tolist():
-                self._make(key >> 8, key & 255, end)
+            for key in np.unique(keys[missing]).tolist():
+                self._make(key >> 9, key & 511)
+            slot = self._find(keys)
+        return slot
+
+    def step(self, number: int, symbol: int) -> int:
+        """The place of one transition."""
+        key, mask = number << 9 | symbol, len(self.key) - 1
+        slot = (key * _SPREAD & _ALL) >> (64 - self.bits)
+        while (here := self.key[slot]) != key:
+            if here < 0:
+                return self._make(number, symbol)
+            slot = slot + 1 & mask
+        return slot
+
+    def walk(self, number: int, data: bytes) -> tuple[int, int]:
+        """From a state along inner symbols of a word: the state reached and the change of count."""
+        n = 0
+        for byte in data:
+            slot = self.step(number, byte)
+            n += int(self.emit[slot])
+            number = int(self.next[slot])
+        return number, n
+
+    def end(self, number: int, byte: int) -> int:
+        """The change of count at a word's last symbol."""
+        return int(self.emit[self.step(number, byte + 256)])
 
     def _finish(self, data: np.ndarray, state: int, at: int, stop: int, tokens: np.ndarray | None) -> int:
         """The rest of one word, symbol by symbol: long words are too few to go in lockstep."""
         n, rest = 0, data[at:stop].tolist()
-        nxt, column = self.next, self.column
-        for byte in rest[:-1]:
-            c = column[byte]
-            if nxt[state, c] < 0:
-                self._make(state, byte, False)
-                nxt = self.next
-            n += int(self.emit[state, c])
+        rest[-1] += 256
+        for symbol in rest:
+            if len(self.states) > 4 * MAX_STATES:  # a word of many states: only the current one stays
+                now = self.states[state]
+                self.reset()
+                state = self._number(now)
+            slot = self.step(state, symbol)
+            n += int(self.emit[slot])
             if tokens is not None:
-                tokens[at] = self.last[state, c]
+                tokens[at] = self.last[slot]
                 at += 1
-            state = int(nxt[state, c])
-        c = column[rest[-1]]
-        if self.end_emit[state, c] == -128:
-            self._make(state, rest[-1], True)
-        if tokens is not None:
-            tokens[at] = self.end_last[state, c]
-        return n + int(self.end_emit[state, c])
+            state = int(self.next[slot])
+        return n
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Words are data[start : start + length], not empty. Returns the tokens of each; with
@@ -235,31 +281,25 @@ class WordTransducer:
         order = np.argsort(-lengths, kind="stable")
         begin, size = starts[order].astype(np.int64), lengths[order]
         state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        columns = self._columns(data) if len(data) else data
         tokens = np.zeros(len(data), np.int32) if want_ids else None
         longest = int(size[0]) if len(size) else 0
+        symbols = data.astype(np.int16)
+        symbols[starts + lengths - 1] += 256
         for k in range(longest):
-            more = int(np.searchsorted(-size, -(k + 1), side="left"))  # longer than k + 1
             live = int(np.searchsorted(-size, -(k + 1), side="right"))
-            if live > more:
-                at = begin[more:live] + k
-                s, c = state[more:live], columns[at]
-                self._ready("end_emit", s, c, data[at], True)
-                count[more:live] += self.end_emit[s, c]
-                if want_ids:
-                    tokens[at] = self.end_last[s, c]
-            if more <= FEW and size[0] - k > FEW:
-                for i in range(more):
+            if live <= FEW and size[0] - k > FEW:
+                for i in range(live):
                     count[i] += self._finish(data, int(state[i]), int(begin[i]) + k, int(begin[i] + size[i]), tokens)
+                    if len(self.states) > MAX_STATES:  # the others' states have gone with it
+                        for j in range(i + 1, live):
+                            state[j], _ = self.walk(0, data[begin[j] : begin[j] + k].tobytes())
                 break
-            if more:
-                at = begin[:more] + k
-                s, c = state[:more], columns[at]
-                self._ready("next", s, c, data[at], False)
-                count[:more] += self.emit[s, c]
-                if want_ids:
-                    tokens[at] = self.last[s, c]
-                state[:more] = self.next[s, c]
+            at = begin[:live] + k
+            slot = self._along(state[:live], symbols[at])
+            count[:live] += self.emit[slot]
+            if want_ids:
+                tokens[at] = self.last[slot]
+            state[:live] = self.next[slot]
         result = np.zeros(len(order), np.int64)
         result[order] = count
         if not want_ids:
@@ -274,16 +314,48 @@ class WordTransducer:
         return result, tokens, mark
 
 
-class ChunkMap:
-    """The state map of a chunk. head: characters before the first white space, which continue
-    the entry state's word; count: tokens of the whole words between; tail: characters after the
-    last white space, the exit state's word so far. Without white space there is only head and the
-    map is not constant (open)."""
+def _last_merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> tuple[str, str]:
+    """Merge by rank, as defined; returns the two parts of the last merge, or empty strings."""
+    parts = list(symbols)
+    while len(parts) > 2:
+        best = min(ranks.get(p, 1 << 40) for p in zip(parts, parts[1:]))
+        if best == 1 << 40:
+            return "", ""
+        out, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and ranks.get((parts[i], parts[i + 1])) == best:
+                out.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return (parts[0], parts[1]) if len(parts) == 2 and tuple(parts) in ranks else ("", "")
+
+
+class Place(NamedTuple):
+    """A state of the whole machine within a stretch without white space. mode: "" between words,
+    "l" in letters, "o" in other characters, "a" after an apostrophe that a contraction may begin
+    with. number: the word transducer's state before the last symbol; held: the UTF-8 bytes that it
+    has not read yet (one in a word, all in mode "a")."""
+
+    mode: str
+    number: int
+    held: bytes
+
+
+START = Place("", 0, b"")
 
-    __slots__ = ("count", "head", "open", "tail")
 
-    def __init__(self, head: str, count: int, tail: str, open_: bool):
-        self.head, self.count, self.tail, self.open = head, count, tail, open_
+class ChunkMap(NamedTuple):
+    """The state map of a chunk. head: what it reads before its first white space, from whatever
+    state; after that it counts `count` tokens and ends in state `exit`, whatever the entry was.
+    Without white space there is only head (open)."""
+
+    head: str
+    count: int
+    exit: Place
+    open: bool
 
 
 class TextTokenizer:
@@ -370,31 +442,64 @@ class TextTokenizer:
             self.codes.update(zip(new, [raw[a:b] for a, b in zip([0, *stop], stop)]))
 
     # --- chunk maps --------------------------------------------------------------------------
-    def _chunk(self, chunk: str) -> tuple[str, list[str], str, bool]:
-        """Head, whole words between, tail, and whether the map is open."""
-        first = _SPACES.search(chunk)
-        if first is None:
-            return chunk, [], "", True
-        last = len(chunk)
-        while not _SPACES.match(chunk, last - 1):
-            last -= 1
-        return chunk[: first.start()], self._fields(chunk[first.end() : last]), chunk[last:], False
+    def _plain(self, text: str) -> str:
+        """Normalised text. Lower case character by character: no final sigma."""
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
+    def _pieces_count(self, pieces: list[str]) -> int:
+        return sum(self.words.end(*self._into(p)[:2]) + self._into(p)[2] for p in pieces)
+
+    def _into(self, piece: str) -> tuple[int, int, int]:
+        """A word but for its last symbol: the state reached, that symbol, the count so far."""
+        raw = piece.encode()
+        number, n = self.words.walk(0, raw[:-1])
+        return number, raw[-1], n
+
+    def advance(self, place: Place, text: str) -> tuple[Place, int]:
+        """Read normalised text without white space from a state on: the state reached and the
+        tokens counted; those of a word count when the next one begins."""
+        n, at = 0, 0
+        if place.mode == "a":
+            text, place = place.held.decode() + text, START
+        if place.mode:
+            run = _RUNS[place.mode].match(text)
+            if run is not None:
+                raw = place.held + run[0].encode()
+                number, n = self.words.walk(place.number, raw[:-1])
+                place, at = Place(place.mode, number, raw[-1:]), run.end()
+            if at == len(text):
+                return place, n
+            n += self.complete(place)
+        pieces = _PIECES.findall(text, at)
+        last = pieces.pop()
+        if last == "'" or (pieces and pieces[-1] == "'" and "'" + last in _HALF):
+            held = last if last == "'" else pieces.pop() + last
+            return Place("a", 0, held.encode()), n + self._pieces_count(pieces)
+        n += self._pieces_count(pieces)
+        number, byte, more = self._into(last)
+        if last[0].isalpha() and _RUNS["l"].match(last):
+            return Place("l", number, bytes([byte])), n + more
+        if len(last) > 1 and last[0] == "'" and last[1].isalpha() or not _RUNS["o"].match(last):  # a contraction, a digit
+            return START, n + more + self.words.end(number, byte)
+        return Place("o", number, bytes([byte])), n + more
+
+    def complete(self, place: Place) -> int:
+        """The tokens still to be counted where the text or the word ends in this state."""
+        if place.mode == "a":
+            return self._pieces_count(_PIECES.findall(place.held.decode()))
+        return self.words.end(place.number, place.held[0]) if place.mode else 0
+
+    def _through(self, entry: Place, head: str) -> tuple[Place, int]:
+        return self.advance(entry, head) if head else (entry, 0)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b."""
+        """First a, then b: a's exit state goes through b's head."""
         if a.open:
-            return ChunkMap(a.head + b.head, b.count, b.tail, b.open)
+            return ChunkMap(a.head + b.head, b.count, b.exit, b.open)
+        place, n = self._through(a.exit, b.head)
         if b.open:
-            return ChunkMap(a.head, a.count, a.tail + b.head, False)
-        return ChunkMap(a.head, a.count + self._word_count(a.tail + b.head) + b.count, b.tail, False)
-
-    def _word_count(self, field: str) -> int:
-        if not field:
-            return 0
-        if field in self.counts:
-            return self.counts[field]
-        data, starts, lengths, _ = self._cut([field])
-        return int(self.words.run(data, starts, lengths, False)[0].sum())
+            return ChunkMap(a.head, a.count + n, place, False)
+        return ChunkMap(a.head, a.count + n + self.complete(place) + b.count, b.exit, False)
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         """Combine maps pairwise, level by level."""
@@ -402,29 +507,57 @@ class TextTokenizer:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
+    def _cuts(self, text: str, chunk: int) -> list[str]:
+        """Chunks of at least `chunk` characters that end before an ASCII character."""
+        out, at = [], 0
+        while at < len(text):
+            found = _ASCII.search(text, at + chunk)
+            stop = found.start() if found else len(text)
+            out.append(text[at:stop])
+            at = stop
+        return out
+
+    def _sides(self, chunk: str) -> tuple[str, list[str], str, bool]:
+        """Head, whole words between, tail, and whether the map is open."""
+        first = _SPACES.search(chunk)
+        if first is None:
+            return self._plain(chunk), [], "", True
+        last = len(chunk)
+        while not _SPACES.match(chunk, last - 1):
+            last -= 1
+        return self._plain(chunk[: first.start()]), self._fields(chunk[first.end() : last]), self._plain(chunk[last:]), False
+
     # --- texts -------------------------------------------------------------------------------
     def _parts(self, text: str) -> list[str]:
         return self._special.split(text) if "<|" in text else [text]
 
     def count_texts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
-        """Tokens of each text: chunk maps of all texts, then one scan per stretch of text."""
-        cut, fields, n = [], set(), [0] * len(texts)
+        """Tokens of each text: the state maps of its chunks, then one scan over them. A text of
+        one chunk has whole words only."""
+        whole, cut, fields, n = [], [], set(), [0] * len(texts)
         for i, text in enumerate(texts):
             for part in self._parts(text):
                 if part in self.special:
                     n[i] += 1
-                elif part:
-                    chunks = [self._chunk(part[k : k + chunk]) for k in range(0, len(part), chunk)]
-                    cut.append((i, chunks))
-                    for head, whole, tail, _ in chunks:
-                        fields.update(whole)
-                        fields.update((head, tail))
-        fields.discard("")
+                elif len(part) <= chunk:
+                    whole.append((i, own := self._fields(part)))
+                    fields.update(own)
+                else:
+                    cut.append((i, chunks := [self._sides(c) for c in self._cuts(part, chunk)]))
+                    for _, inner, _, _ in chunks:
+                        fields.update(inner)
         self.learn_counts(fields)
-        known = self.counts
+        known = self.counts.__getitem__
+        for i, own in whole:
+            n[i] += sum(map(known, own))
         for i, chunks in cut:
-            whole = self.scan([ChunkMap(head, sum(map(known.__getitem__, inner)), tail, open_) for head, inner, tail, open_ in chunks])
-            n[i] += whole.count + self._word_count(whole.head) + self._word_count(whole.tail)
+            maps = []
+            for head, inner, tail, open_ in chunks:
+                place, more = self._through(START, tail)
+                maps.append(ChunkMap(head, more + sum(map(known, inner)), place, open_))
+            total = self.scan(maps)
+            place, more = self._through(START, total.head)
+            n[i] += more + self.complete(place) + (0 if total.open else total.count + self.complete(total.exit))
         return n
 
     def codes_of_texts(self, texts: list[str]) -> list[bytes]:

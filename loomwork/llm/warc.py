@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, keep_id, materialize, scratch_path, small_batches
+from loomwork.llm.common import bounded_sample, keep_id, materialize, scratch_path, bounded_batches
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -204,7 +204,7 @@ def decide_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages as archives under folder; returns the stored list (file, records)."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     pool = keep_id(pages, "page_id", "html").where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("head"))
     dictionary = dictionary_of([r[0].encode() for r in bounded_sample(pool, ["page_id", "head"], SAMPLE_PAGES, pages.count()).select("head").collect()])
 
@@ -234,7 +234,7 @@ SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = None, payloads: bool = False) -> DataFrame:
     """One row per page record of the archives in folder (only those listed in files, if given)."""
-    small_batches(spark, 1)
+    bounded_batches(spark)
     schema = SCHEMA + (", payload binary" if payloads else "")
     if files is not None and not files.limit(1).count():
         return spark.createDataFrame([], schema)

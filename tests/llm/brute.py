@@ -37,10 +37,10 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     sets = {i: shingles(t) for i, t in docs}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return sets, components(ids, links)
 
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork.llm import byte_bpe, embedding_dedup, lm_scoring, minhash, packing, pii, quality_rules, suffix_dedup, token_counts, warc
+from loomwork.llm import byte_bpe, embedding_dedup, lm_scoring, minhash, packing, pii, quality_rules, suffix_dedup, token_counts, token_transducer, warc
 from loomwork.llm.components import connected_components
 from loomwork.llm.queries import QUERIES
 from loomwork.llm.token_transducer import compiled
@@ -49,9 +49,51 @@ def test_token_counts(small, library):
 def test_chunk_maps_compose(library, text, chunk):
     t = compiled(WORDS)
     assert t.count_texts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
-    safe = all(c.isascii() for c in text)  # chunks are cut at characters, normalisation needs whole ones
-    if safe:
-        assert t.count_texts([text], chunk) == t.count_texts([text])
+    assert t.count_texts([text], chunk) == t.count_texts([text])
+
+
+def test_chunk_maps_compose_in_any_order(library):
+    """Maps of whole documents in four languages, cut small, composed from either side."""
+    t = compiled(WORDS)
+    text = "Don't stop: l'été s'en va, we'll we're 'r 're ''s Σίσυφος ÜBER 12ab's…日本語 naïve " * 7
+    cuts = t._cuts(text, 5)
+    assert "".join(cuts) == text and len(cuts) > 60
+    maps = []
+    for head, inner, tail, open_ in map(t._sides, cuts):
+        t.learn_counts(set(inner))
+        place, more = t._through(token_transducer.START, tail)
+        maps.append(token_transducer.ChunkMap(head, more + sum(t.counts[f] for f in inner), place, open_))
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = t.compose(left, m)
+    for m in maps[-2::-1]:
+        right = t.compose(m, right)
+    assert left == right == t.scan(list(maps))
+    assert t.count_texts([text], 5) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_token_counts_of_empty_tables_and_repeated_rows(spark, empty):
+    assert token_counts.token_counts(empty, WORDS, 10).count() == 0
+    df = spark.createDataFrame([(1, "a b")] * 3 + [(None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, token_counts.token_counts(df, WORDS, 1).collect()), key=repr) == [(1, 3, 2, True)] * 3 + [(None, 0, 0, False)]
+
+
+def test_long_words_between_resets(monkeypatch, library):
+    """Words of more symbols than states are kept for."""
+    from loomwork.llm import token_transducer as tt
+
+    monkeypatch.setattr(tt, "MAX_STATES", 10)
+    monkeypatch.setattr(tt, "FEW", 4)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(n)) for n in (900, 700, 333, 90, 50, 3)]
+    text = " ".join(words * 2)
+    t = compiled(WORDS)
+    t.counts.clear()
+    t.codes.clear()
+    t.words.reset()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert t.count_texts([text]) == [len(want)] == t.count_texts([text], 40)
+    assert np.frombuffer(t.codes_of_texts([text])[0], "<u4").tolist() == want
 
 
 def test_token_ids(small, library):
@@ -334,7 +376,7 @@ def test_plans_hold_the_histogram(histogram):
     assert total == Counter(histogram)
 
 
-def test_best_configuration():
+def test_knapsack_prices():
     rng = np.random.default_rng(1)
     for _ in range(5):
         prices = np.where(rng.random(31) < 0.4, rng.random(31) * np.arange(31), 0)
@@ -342,9 +384,12 @@ def test_best_configuration():
         best = [0.0] * 31
         for c in range(1, 31):
             best[c] = max([best[c - 1]] + [best[c - k] + prices[k] for k in range(1, c + 1) if prices[k] > 0])
-        config = packing.best_configuration(prices, 30)
-        assert sum(k * n for k, n in config.items()) <= 30
-        assert sum(prices[k] * n for k, n in config.items()) == pytest.approx(best[30])
+        found, split = packing.knapsack(prices, 30, rng)
+        assert found == pytest.approx(best)
+        for c in range(31):
+            config = packing.configuration(split, c)
+            assert sum(k * n for k, n in config.items()) <= c
+            assert sum(prices[k] * n for k, n in config.items()) == pytest.approx(best[c])
 
 
 # --- 8 WARC --------------------------------------------------------------------------------------

@@ -20,18 +20,14 @@ def histogram():
     return _lognormal(35_000)
 
 
-def test_program_covers_every_class(histogram):
-    count = np.zeros(4097, np.int64)
+def test_program_covers_every_length(histogram):
+    demand = np.zeros(4097, np.int64)
     for length, n in histogram.items():
-        count[length] = n
-    count[4096] = 0
-    group = packing.classes_of(count)
-    assert (group[count > 0] >= np.flatnonzero(count)).all() and len(set(group[count > 0])) <= packing.CLASSES
-    demand = np.bincount(group, count, 4097)
-    demand[0] = 0
+        demand[length] = n
+    demand[4096] = 0
     used = np.zeros(4097)
     for key, amount in packing.program(demand, 4096).items():
-        assert sum(length * n for length, n in key) <= 4096
+        assert sum(length * n for length, n in key) <= 4096 and amount > 0
         for length, n in key:
             used[length] += n * amount
     wanted = demand > 0
@@ -40,6 +36,7 @@ def test_program_covers_every_class(histogram):
 
 
 def test_program_places_most_pieces(histogram, caplog):
+    """The program, not best fit, does the work, and not one sequence more than best fit needs."""
     caplog.set_level("INFO", "loomwork.llm.packing")
     plan = packing.solve(histogram, 4096)
     total = Counter()
@@ -49,6 +46,5 @@ def test_program_places_most_pieces(histogram, caplog):
             total[length] += n * times
     assert total == Counter(histogram)
     pieces, tokens = map(float, re.findall(r"\d\.\d+", caplog.messages[-1]))
-    assert pieces > 0.6 and tokens > 0.8
-    least = -(-sum(length * n for length, n in histogram.items()) // 4096)
-    assert sum(times for _, times in plan) <= 1.005 * least
+    assert pieces > 0.9 and tokens > 0.9
+    assert sum(times for _, times in plan) <= sum(times for _, times in packing.solve(histogram, 4096, rounds=0))

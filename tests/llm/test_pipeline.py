@@ -38,7 +38,7 @@ def test_quality_drops_failures(stages):
 
 def test_one_of_each_group_stays(stages):
     before = texts(stages["quality"])
-    _, comps = brute.near_duplicates(list(before.items()))
+    _, comps = brute.near_duplicates(list(before.items()), P.NEAR)
     assert set(texts(stages["near_dups"])) == set(comps.values())
 
 
