@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -87,6 +90,54 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: What a Python worker forgets at the end of a task.
+FORGET: list[Callable[[], None]] = []
+_RELEASED = [0.0]
+
+
+def release() -> None:
+    """Give memory back to the system at the end of a task: workers are kept for later stages, and
+    what they hold idle is missing there."""
+    if time.monotonic() - _RELEASED[0] < 0.5:
+        return
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    _RELEASED[0] = time.monotonic()
+
+
+def released(f: Callable) -> Callable:
+    """f, a function of tables (a group, or a key and a group, or two groups) or a generator over
+    batches, with release() after it."""
+    if inspect.isgeneratorfunction(f):
+
+        def stream(batches: Iterator) -> Iterator:
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+        return stream
+
+    def one(a):
+        try:
+            return f(a)
+        finally:
+            release()
+
+    def two(a, b):
+        try:
+            return f(a, b)
+        finally:
+            release()
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Every operator that runs Python calls this first. The bound on a batch's bytes is the same
     for all of them, so it does not matter which one ran last; rows are cut in map_batches."""
@@ -105,7 +156,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
                     continue
                 yield from out if isinstance(out, list) else [out]
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def lower_ascii(text: str) -> str:

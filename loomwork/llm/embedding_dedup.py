@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, keep_id, map_batches, materialize, bounded_batches
+from loomwork.llm.common import bounded_batches, bounded_sample, keep_id, map_batches, materialize, released
 from loomwork.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -150,7 +150,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         some = (n > 0) | (ids != labels)
         return pa.table({"id": ids[some], "n": n[some], "label": labels[some]})
 
-    links = materialize(guests.unionByName(owners).groupBy("cell", "i", "j").applyInArrow(product, "id long, n long, label long"), "links")
+    links = materialize(guests.unionByName(owners).groupBy("cell", "i", "j").applyInArrow(released(product), "id long, n long, label long"), "links")
     comps = connected_components(links.select(F.col("id").alias("a"), F.col("label").alias("b")))
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     facts = classes.join(counts, F.col("rep") == counts["id"], "left").drop("id").join(comps, F.col("rep") == comps["id"], "left")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, materialize, mix64, bounded_batches
+from loomwork.llm.common import bounded_batches, keep_id, materialize, mix64, released
 from loomwork.llm.ngram_hash import word_hashes
 
 ORDER = 2
@@ -207,8 +207,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes
                 distinct[rows[0]] = int((total > 0).sum())
         return pa.table({"block": table["block"], "k": table["k"], "owner": table["owner"], "counts": pa.array(counts, pa.binary()), "tokens": table["tokens"], "texts": table["texts"], "distinct": pa.array(distinct, pa.int64())})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "owner int, block int, k int, keys binary, counts binary, tokens long, texts long")
-    answered = materialize(asked.groupBy("owner").applyInArrow(answer, "block int, k int, owner int, counts binary, tokens long, texts long, distinct long"), "ngrams")
+    asked = dealt.groupBy("block").applyInArrow(released(ask), "owner int, block int, k int, keys binary, counts binary, tokens long, texts long")
+    answered = materialize(asked.groupBy("owner").applyInArrow(released(answer), "block int, k int, owner int, counts binary, tokens long, texts long, distinct long"), "ngrams")
     n, texts, v = answered.agg(F.sum("tokens"), F.sum("texts"), F.sum("distinct")).first()
     n, texts, v = n or 0, texts or 0, v or 0
 
@@ -228,4 +228,4 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes
         )
 
     told = answered.where("k >= 0").select("block", "k", "owner", "counts")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(released(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, keep_id, map_batches, materialize, mix64, shuffle_partitions, bounded_batches
+from loomwork.llm.common import bounded_batches, discard, keep_id, map_batches, materialize, mix64, released, shuffle_partitions
 from loomwork.llm.components import connected_components
 from loomwork.llm.ngram_hash import word_hashes
 
@@ -219,12 +219,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     by_bucket = buckets.join(groups.join(huge, "root", "left_semi"), F.col("rep") == F.col("id"), "left_semi").select(F.col("key").alias("grp"), "rep")
     grouped = materialize(usual.unionByName(by_bucket), "groups")
     facts = reps.select("rep", "n", "s", "digest")
-    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(lambda t: _screen(t, threshold), "rep long").distinct()
+    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _screen(t, threshold)), "rep long").distinct()
     likely = materialize(likely, "likely")
     chosen = grouped.join(likely, "rep", "left_semi").join(facts, "rep")
     texts = keep_id(docs, "doc_id", "text").join(likely, F.col("doc_id") == F.col("rep")).select("rep", "text")
     ready = _tasks(chosen, "digest").join(texts, "rep")
-    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(lambda t: _verify(t, threshold), "a long, b long"), "links")
+    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _verify(t, threshold)), "a long, b long"), "links")
     discard(buckets, likely, grouped)
     comps = connected_components(links)
     roots = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, materialize, mix64, bounded_batches
+from loomwork.llm.common import bounded_batches, bounded_sample, materialize, mix64, released
 from loomwork.llm.ngram_hash import prefix_sums
 
 WINDOW, GRAM = 100, 50
@@ -208,7 +208,7 @@ def _answer(asked: DataFrame, step: int, kinds: tuple[str, ...], judge: Callable
         n = len(parts)
         return pa.table({"block": pa.array(blocks, pa.int64()), "step": pa.array([step] * n, pa.int32()), "owner": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
-    return asked.groupBy("owner").applyInArrow(run, ANSWERED)
+    return asked.groupBy("owner").applyInArrow(released(run), ANSWERED)
 
 
 def _told(answers: pa.Table, step: int, columns: tuple[np.ndarray, ...], splitters: np.ndarray, width: int) -> list[np.ndarray]:
@@ -323,7 +323,7 @@ def _pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield row()
 
-    return docs.mapInArrow(run, "block long, blob binary, sample array<long>")
+    return docs.mapInArrow(released(run), "block long, blob binary, sample array<long>")
 
 
 def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema, block_bytes: int) -> DataFrame:
@@ -357,9 +357,9 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
         return pa.concat_tables(out) if out else pa.table({})
 
     def meet(answers: DataFrame, f: Callable, out) -> DataFrame:
-        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, out)
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(released(f), out)
 
-    a = materialize(_answer(blocks.mapInArrow(first, ASKED), 1, ("<u8", "u1"), _judge_anchors), "anchors")
+    a = materialize(_answer(blocks.mapInArrow(released(first), ASKED), 1, ("<u8", "u1"), _judge_anchors), "anchors")
     b = materialize(_answer(meet(a, later(_Steps.contexts), ASKED), 2, ("<u8", "<u8", "<i8", "<i8"), _judge_contexts), "contexts")
     ab = a.unionByName(b)
     c = materialize(_answer(meet(ab, later(_Steps.strings), ASKED), 3, ("<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")

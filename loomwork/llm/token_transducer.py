@@ -29,6 +29,8 @@ from typing import NamedTuple
 import numpy as np
 import regex
 
+from loomwork.llm.common import FORGET
+
 END = "</w>"
 #: Words, and characters of words, kept with their finished result, and states kept; a table that
 #: is full starts anew.
@@ -413,6 +415,14 @@ class TextTokenizer:
             known.clear()
             self.kept = sum(map(len, new))
 
+    def forget(self) -> None:
+        self.counts.clear()
+        self.codes.clear()
+        self.kept = 0
+        self.words.fits.clear()
+        if len(self.words.states) > MAX_STATES // 2:
+            self.words.reset()
+
     def learn_counts(self, fields: set[str]) -> None:
         """Make the counts of these fields known, all in lockstep."""
         if new := [f for f in fields if f not in self.counts]:
@@ -570,5 +580,8 @@ class TextTokenizer:
 
 @lru_cache(maxsize=4)
 def compiled(path: str) -> TextTokenizer:
-    """The compiled tokenizer of a file, once per Python process."""
-    return TextTokenizer(path)
+    """The compiled tokenizer of a file, once per Python process; between tasks it keeps the
+    vocabulary and, up to half a table, its states."""
+    found = TextTokenizer(path)
+    FORGET.append(found.forget)
+    return found

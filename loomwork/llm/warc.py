@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_sample, keep_id, materialize, scratch_path, bounded_batches
+from loomwork.llm.common import bounded_batches, bounded_sample, keep_id, materialize, released, scratch_path
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -226,7 +226,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if out:
             yield close(out)
 
-    return materialize(decide_revisits(pages).mapInArrow(run, "file string, records long"), "archives")
+    return materialize(decide_revisits(pages).mapInArrow(released(run), "file string, records long"), "archives")
 
 
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -256,7 +256,7 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = No
                         rows = []
                 yield _rows(rows, names)
 
-    return found.select("content").mapInArrow(run, schema)
+    return found.select("content").mapInArrow(released(run), schema)
 
 
 def _rows(rows: list[dict], names: list[str]) -> pa.RecordBatch:
