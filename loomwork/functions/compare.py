@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from math import comb
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 ABSOLUTE, RELATIVE = 0.005, 1e-4
 
@@ -16,18 +20,19 @@ def tolerant_equal(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(near)
 
 
-def tolerant_equal_values(a, b) -> bool:
-    """The same for driver-side values; lists are multisets, objects by key, bool is no number."""
+def tolerant_equal_values(a, b, nested: bool = True) -> bool:
+    """The same for driver-side values; lists are multisets (without nested only the outermost, and
+    rows within go by place), objects by key, bool is no number."""
     if isinstance(a, bool) or isinstance(b, bool):
         return type(a) is type(b) and a == b
     if isinstance(a, (int, float)) and isinstance(b, (int, float)):
         return a == b if isinstance(a, int) and isinstance(b, int) else abs(a - b) <= max(ABSOLUTE, RELATIVE * abs(b))
     if isinstance(a, dict) and isinstance(b, dict):
-        return a.keys() == b.keys() and all(tolerant_equal_values(a[k], b[k]) for k in a)
+        return a.keys() == b.keys() and all(tolerant_equal_values(a[k], b[k], nested) for k in a)
     if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
         rest = list(b)
         for x in a:
-            hit = next((i for i, y in enumerate(rest) if tolerant_equal_values(x, y)), None)
+            hit = next((i for i, y in enumerate(rest) if (tolerant_equal_values(x, y) if nested else _by_place(x, y))), None)
             if hit is None:
                 return False
             rest.pop(hit)
@@ -35,6 +40,23 @@ def tolerant_equal_values(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
+def _by_place(a, b) -> bool:
+    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
+        return len(a) == len(b) and all(map(_by_place, a, b))
+    return tolerant_equal_values(a, b, False)
+
+
+def equal_json(how: str) -> Callable:
+    """A column function of two JSON texts: outer_multiset, all_multisets or canonical equality."""
+    rule = {"outer_multiset": lambda a, b: tolerant_equal_values(a, b, False), "all_multisets": tolerant_equal_values, "canonical": canonical_equal}[how]
+
+    @F.pandas_udf(BooleanType())
+    def equal(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([rule(json.loads(x), json.loads(y)) for x, y in zip(a, b)], dtype=bool)
+
+    return equal
+
+
 def canonical_equal(a, b) -> bool:
     """Byte-exact: 1, 1.0 and true all differ."""
     from loomwork.functions.canonical import canonical_json

@@ -173,3 +173,8 @@ def registry(tables: Tables, metrics: list[str] | None = None) -> DataFrame:
         out = out.unionByName(r.select("metric", "numerator", "denominator", F.col("value").cast("double").alias("value"), "status"))
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     return out.withColumn("name", names[F.col("metric")])
+
+
+def grades(df: DataFrame, answer: Column, evidence: Column) -> DataFrame:
+    """Adds Q1 (the answer is right), Q2 (its evidence is enough) and G (both)."""
+    return df.withColumn("Q1", answer).withColumn("Q2", evidence).withColumn("G", F.col("Q1") & F.col("Q2"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from loomwork.functions.canonical import canonical_json, row_digest
 
@@ -159,3 +162,53 @@ def scope_covered(required: Column, covered: Column) -> Column:
     return F.forall(required, lambda r: F.exists(covered, lambda c: (r == c) | r.startswith(F.concat(c, F.lit(".")))))
 
 
+# --- the same rules on columns ---------------------------------------------------------------------
+def _per_value(f, kind) -> Callable:
+    """A column function of JSON texts, a batch at a time; text that is no JSON gives null."""
+
+    def one(text):
+        try:
+            return None if text is None else f(json.loads(text))
+        except (ValueError, TypeError, KeyError):
+            return None
+
+    return F.pandas_udf(lambda values: values.map(one), kind)
+
+
+def contains_json(claim) -> Callable:
+    """Is the claim contained anywhere in a JSON text?"""
+    return _per_value(lambda v: contains(v, claim), BooleanType())
+
+
+def shape_json(columns: list[str]) -> Callable:
+    """The rows of an answer in JSON, whatever shape it was given in."""
+    return _per_value(lambda v: canonical_json(normalize_shape(v, columns)), StringType())
+
+
+def symbol_column(text: Column) -> Column:
+    """symbol() as a column."""
+    plain = F.regexp_replace(F.trim(text), r"\(.*?\)|\[.*?\]|[`'\"]", "")
+    return F.array_join(F.filter(F.split(plain, r"[.:/\\]+"), lambda p: p != ""), ".")
+
+
+# --- campaigns and releases ------------------------------------------------------------------------
+def campaign_rates(expected: DataFrame, observed: DataFrame, keys: list[str], arm: str, success: str) -> DataFrame:
+    """(arm, expected, received, rate) over attempts declared beforehand; a missing one is none that
+    succeeded."""
+    rows = expected.join(observed.withColumn("__r", F.lit(True)), keys, "left")
+    n = F.count(F.lit(1))
+    return rows.groupBy(arm).agg(n.alias("expected"), F.count("__r").alias("received"), (F.count_if(F.coalesce(F.col(success), F.lit(False))) / n).alias("rate"))
+
+
+def applicable(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, applicable): does running it again give each component's evidence once more?"""
+    return replay_fidelity(old, new.select(old.columns), keys).withColumnRenamed("same", "applicable")
+
+
+def release_checks(df: DataFrame, rows: int, unique: list[str], balanced: list[str]) -> DataFrame:
+    """(name, passed) of a released table: as many rows as announced, keys that do not repeat, and
+    equally many rows for each value of the design columns."""
+    count = df.agg((F.count(F.lit(1)) == rows).alias("passed")).select(F.lit("rows").alias("name"), "passed")
+    keys = df.groupBy(*unique).count().agg((F.coalesce(F.max("count"), F.lit(1)) == 1).alias("passed")).select(F.lit("unique").alias("name"), "passed")
+    cells = df.groupBy(*balanced).count().agg(F.coalesce(F.min("count") == F.max("count"), F.lit(True)).alias("passed")).select(F.lit("balanced").alias("name"), "passed")
+    return count.unionByName(keys).unionByName(cells)

@@ -194,3 +194,46 @@ def node_state_faults(events: DataFrame, key: str = "node_id", seq: str = "seque
     before = F.coalesce(F.lag(state).over(w), F.lit(""))
     ok = reduce(Column.__or__, [(F.col(state) == s) & before.isin([b or "" for b in p]) for s, p in legal.items()])
     return events.withColumn("__ok", ok).where(~F.col("__ok")).drop("__ok")
+
+
+# --- cohorts and timing domains --------------------------------------------------------------------
+def primary_work(stages: DataFrame, unit: dict[str, str], scene: str = "scene", work: str = "work") -> DataFrame:
+    """Adds primary: the amount of the scene's own unit in the work map; null without one."""
+    units = F.create_map(*[F.lit(x) for pair in unit.items() for x in pair])
+    return stages.withColumn("primary", F.col(work)[units[F.col(scene)]])
+
+
+def savings_by_timing(pairs: DataFrame, domains: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """savings() of the same pairs in every timing domain, which are columns of time for a and b."""
+    times = F.explode(F.array(*[F.struct(F.lit(k).alias("timing"), a.cast("double").alias("time_a"), b.cast("double").alias("time_b")) for k, (a, b) in domains.items()])).alias("__t")
+    return savings(pairs.select(*[c for c in pairs.columns if c not in ("time_a", "time_b")], times).select("*", "__t.*").drop("__t"))
+
+
+def matched_timing(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The runs that have a time in every domain, with all of them side by side."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.join(table, keys)
+    return out
+
+
+def concat_cohorts(cohorts: list[DataFrame]) -> DataFrame:
+    """Cohorts one after the other; a number that a cohort does not have is zero."""
+    out = cohorts[0]
+    for c in cohorts[1:]:
+        out = out.unionByName(c, allowMissingColumns=True)
+    return out.fillna(0)
+
+
+def update_exposure(events: DataFrame, order: str, trigger: str) -> DataFrame:
+    """(order, version, exposed): the first trigger moves the source to version 2, for all that
+    comes later."""
+    first = events.where(trigger).agg(F.min(order)).scalar()
+    later = F.coalesce(F.col(order) > first, F.lit(False))
+    return events.select(order, F.when(later, 2).otherwise(1).alias("version"), later.alias("exposed"))
+
+
+def continued(prefix: DataFrame, new: DataFrame, elapsed: float, time: str, cost: str) -> DataFrame:
+    """A branch's events: those inherited from the prefix lie before time zero and cost nothing."""
+    old = prefix.withColumn(time, F.col(time) - elapsed).withColumn(cost, F.lit(0.0)).withColumn("inherited", F.lit(True))
+    return old.unionByName(new.withColumn("inherited", F.lit(False)))

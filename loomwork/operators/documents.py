@@ -228,3 +228,8 @@ def covered(witnesses: DataFrame, available: DataFrame) -> DataFrame:
     marked = witnesses.join(available.select("unit").distinct().withColumn("__have", F.lit(True)), "unit", "left")
     sets = marked.groupBy("fact", "witness").agg(F.bool_and(F.coalesce("__have", F.lit(False))).alias("whole"))
     return sets.groupBy("fact").agg(F.bool_or("whole").alias("covered"))
+
+
+def read_probe_inputs(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, text) of the files that a probe names; a path that is not there gives no row."""
+    return files.join(wanted.select("path").distinct(), "path", "left_semi").select("path", "text")

@@ -160,3 +160,49 @@ def normalized(c: Column, names: dict[str, str]) -> Column:
     for alias, name in names.items():
         out = F.when(key == alias.lower(), F.lit(name)).otherwise(out)
     return out
+
+
+# --- state and scoped checks -----------------------------------------------------------------------
+def using(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi join that keeps one copy of the keys; null keys match nothing."""
+    return left.join(right, keys)
+
+
+def log_samples(logs: DataFrame, pattern: str, n: int, order: list[str], service: str = "service", message: str = "message") -> DataFrame:
+    """(service, n, message): the first n matching messages of each service, numbered. The n least
+    by order are picked with a partial aggregate, so a talkative service is not gathered."""
+    re.compile(pattern)
+    found = logs.where(F.col(message).rlike(f"(?i){pattern}")).select(service, F.struct(*order, F.col(message).alias("__m")).alias("__r"))
+    salted = found.withColumn("__s", F.pmod(F.xxhash64("__r"), F.lit(64)))
+    w = Window.partitionBy(service, "__s").orderBy("__r")
+    few = salted.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    firsts = few.groupBy(service).agg(F.slice(F.sort_array(F.collect_list("__r")), 1, n).alias("__f"))
+    return firsts.select(service, F.posexplode("__f").alias("__p", "__r")).select(service, (F.col("__p") + 1).alias("n"), F.col("__r.__m").alias(message))
+
+
+def case_contracts(observed: DataFrame, contracts: DataFrame, cases: DataFrame) -> DataFrame:
+    """The checks that fail, of the cases in scope alone."""
+    scoped = contracts.join(cases.select("case_id").distinct(), "case_id", "left_semi")
+    return run_checks(observed, scoped).where("not passed").drop("passed")
+
+
+def payment_records(ledger: DataFrame, member=None, least: float | None = None, status: str | None = None) -> DataFrame:
+    """The ledger's rows that pass all filters given."""
+    out = ledger
+    for column, value, compare in (("member", member, "__eq__"), ("amount", least, "__ge__"), ("status", status, "__eq__")):
+        if value is not None:
+            out = out.where(getattr(F.col(column), compare)(value))
+    return out
+
+
+def read_state(writes: DataFrame, keys: list[str], order: str, version: str, upto) -> DataFrame:
+    """The snapshot after all writes of versions up to one: the last write of each key."""
+    row = F.struct(*writes.columns)
+    return writes.where(F.col(version) <= upto).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(row, F.col(order)).alias("__r")).select("__r.*")
+
+
+def play(state: DataFrame, commands: DataFrame) -> DataFrame:
+    """(session, playlist) after the commands (session, playlist, at): a session's last one wins,
+    ties by the larger playlist; sessions without commands stay."""
+    last = commands.groupBy("session").agg(F.max(F.struct("at", "playlist")).alias("__c"))
+    return state.join(last, "session", "left").select("session", F.coalesce(F.col("__c.playlist"), F.col("playlist")).alias("playlist"))

@@ -4,12 +4,13 @@ written to the shared folder so that plans and lineage stay short."""
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.base import ORD, GraphData, Value, implements, one_of, take, whole
-from loomwork.plans.predicates import analyze
+from loomwork.plans.predicates import analyze, fields_of
 from loomwork.plans.types import Type, TypeFault, scalar
 from loomwork.sources.storage import store
 
@@ -62,15 +63,20 @@ def neighbors(inputs: dict, params: dict, name: str) -> dict:
 def reach(steps: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(id, depth) of all nodes within max_hops steps, the seeds at depth 0."""
     level = store(seeds.select("id", F.lit(0).alias("depth")), "level")
-    seen = level
-    pairs = steps.select("a", "b").distinct()
+    levels, seen, held = [level], level.select("id"), 1
+    pairs = store(steps.select("a", "b").distinct(), "steps")
     for hop in range(1, max_hops + 1):
         after = level.join(pairs, level["id"] == pairs["a"]).select(F.col("b").alias("id")).distinct()
         level = store(after.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("depth")), "level")
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
-    return seen
+        levels.append(level)
+        # the visited nodes are rewritten whenever the number of levels has doubled, so that each
+        # is read and written a logarithmic number of times
+        seen = seen.unionByName(level.select("id"))
+        if len(levels) >= 2 * held:
+            seen, held = store(seen, "seen"), len(levels)
+    return reduce(DataFrame.unionByName, levels)
 
 
 @implements("graph_reachability", "bfs", "dfs")
@@ -84,9 +90,11 @@ def reachability(inputs: dict, params: dict, name: str) -> dict:
     return {"nodes": Value(found.select("id"), replace(seeds.type, kind="NodeSet"))}
 
 
-def shortest_paths(steps: DataFrame, seeds: DataFrame, max_rounds: int = 512) -> DataFrame:
+def shortest_paths(steps: DataFrame, seeds: DataFrame, targets: list | None = None, max_rounds: int = 512) -> DataFrame:
     """(source, target, cost, path): the cheapest path from each seed to each node it reaches, ties
-    by the lexicographically smallest path. Each round extends only what became cheaper."""
+    by the lexicographically smallest path. Each round extends only what became cheaper and, once
+    all targets of a source have a path, what is no dearer than the dearest of those: weights are
+    not negative, so nothing else can improve them."""
     best = store(seeds.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("cost"), F.array("id").alias("path")), "paths")
     front = best
     steps = store(steps.groupBy("a", "b").agg(F.min("w").alias("w")), "steps")
@@ -100,6 +108,9 @@ def shortest_paths(steps: DataFrame, seeds: DataFrame, max_rounds: int = 512) ->
         if front.isEmpty():
             return best
         best = store(best.join(front.select("source", "target"), ["source", "target"], "left_anti").unionByName(front), "paths")
+        if targets:
+            found = best.where(F.col("target").isin(targets)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound"))
+            front = front.join(found.where(F.col("n") == len(set(targets))), "source", "left").where("bound is null or cost <= bound").drop("n", "bound")
     raise RuntimeError("paths have not settled")
 
 
@@ -123,7 +134,7 @@ def shortest_path(inputs: dict, params: dict, name: str) -> dict:
             if bad or (lo is not None and (lo < 0 or (name == "bfs" and lo != hi))):
                 raise TypeFault("WEIGHT_DOMAIN_CHECK")
     ids = _ids(seeds.df)
-    found = shortest_paths(arcs(g, edges, params.get("direction", "out"), weight), ids)
+    found = shortest_paths(arcs(g, edges, params.get("direction", "out"), weight), ids, list(dict.fromkeys(targets)))
     wanted = F.explode(F.array(*map(F.lit, dict.fromkeys(targets)))).alias("target")  # the plan's own list
     asked = ids.select(F.col("id").alias("source"), wanted)
     df = asked.join(found, ["source", "target"], "left")
@@ -139,17 +150,14 @@ def graph_filter(inputs: dict, params: dict, name: str) -> dict:
     g, node_schema = graph.data, dict(graph.type.metadata.get("node_schema", {}))
     edge = [(n, t) for n, t in graph.type.schema] + [(f"edge.{n}", t) for n, t in graph.type.schema]
 
-    def kept(prefix: str) -> DataFrame | None:
-        used = str(params["predicate"]).count("'node.")
-        if not used:
-            return None
+    def kept(prefix: str) -> DataFrame:
         end = g.source if prefix == "source" else g.target
         nodes = g.nodes.select(*[F.col(n).alias(f"node.{n}") for n in g.nodes.columns])
         rows = edges_plus.join(nodes, F.col(f"`{end}`") == F.col("`node.id`"))
         row = Type("Record", schema=(*edge, *((f"node.{n}", t) for n, t in node_schema.items()), ("node.id", graph.type.metadata.get("node_id_type", scalar("Int64")))))
         return rows.where(analyze(params["predicate"], row).column()).select("__edge")
 
-    if "'node." in str(params["predicate"]):
+    if any(n.startswith("node.") for n in fields_of(params["predicate"])):
         edges = store(g.edges.withColumn("__edge", F.monotonically_increasing_id()), "edges")
         edges_plus = edges.select("*", *[F.col(n).alias(f"edge.{n}") for n, _ in graph.type.schema])
         df = edges.join(kept("source"), "__edge", "left_semi").join(kept("target"), "__edge", "left_semi").drop("__edge")
@@ -226,3 +234,18 @@ def ancestors(edges: DataFrame, starts: DataFrame, child: str = "child", parent:
     """The lineage closure: all that the starts come from, themselves included."""
     steps = edges.select(F.col(child).alias("a"), F.col(parent).alias("b"))
     return reach(steps, starts.toDF("id").distinct(), max_hops).select("id")
+
+
+def publication_records(authorship: DataFrame, papers: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """(author, paper, year, citations) of the papers of a window of years."""
+    p = papers.where(F.col("year").between(*years)).select(F.col("id").alias("paper"), "year", "citations")
+    return authorship.select("author", "paper").join(p, "paper").select("author", "paper", "year", "citations")
+
+
+def top_paper_references(authorship: DataFrame, papers: DataFrame, edges: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """(author, paper, refs): each author's most cited paper of the window (ties: smallest id) and
+    the papers it refers to."""
+    rows = publication_records(authorship, papers, years)
+    top = rows.groupBy("author").agg(F.max_by("paper", F.struct(F.coalesce("citations", F.lit(0)).alias("c"), (-F.col("paper")).alias("neg"))).alias("paper"))
+    refs = references(edges, top.select(F.col("paper").alias("id")))
+    return top.join(refs, top["paper"] == refs["id"]).select("author", "paper", "refs")

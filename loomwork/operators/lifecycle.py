@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +19,36 @@ from loomwork.sources.storage import store
 @implements("materialize", "memory", "disk")
 def materialize(inputs: dict, params: dict, name: str) -> dict:
     """memory keeps the rows on executors (spilling, and recomputed if one is lost); disk writes
-    them once to the shared folder."""
+    them once to the shared folder, as Parquet or as Arrow IPC streams, one for each batch."""
     take(params, {"format": str})
     one_of(params, "format", {"arrow_ipc", "parquet"})
     rows = inputs["rows"]
-    df = rows.df.persist(StorageLevel.MEMORY_AND_DISK) if name == "memory" else store(rows.df, "rows")
+    if name == "memory":
+        df = rows.df.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        df = store(rows.df, "rows") if params["format"] == "parquet" else store_ipc(rows.df)
     return {"rows": Value(df, table(rows.type.rows, domain=rows.type.domain, revision=rows.type.revision), {"held": name})}
 
 
+def store_ipc(df: DataFrame) -> DataFrame:
+    """Write the rows as Arrow IPC streams to the shared folder and read them back from there."""
+    schema = df.schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                yield from pa.ipc.open_stream(raw)
+
+    return store(df.mapInArrow(pack, "stream binary"), "streams").mapInArrow(unpack, schema)
+
+
 @implements("collect", "bounded_collect")
 def collect(inputs: dict, params: dict, name: str) -> dict:
     """At most limit rows, or an error: never a silent cut."""
@@ -92,7 +116,8 @@ def emit(inputs: dict, params: dict, name: str) -> dict:
             have = table(value.type.rows)
             if not assignable(replace(have, domain=None, revision=None), want) and not _loose(have, want):
                 raise TypeFault(f"OUTPUT_CONTRACT {have.rows}")
-    return {"result": Value(value.data, Type("Result", schema=value.type.rows), {"contract": params["output_contract"]})}
+    note = {"contract": params["output_contract"], "canonical": lambda limit=100_000: to_canonical(Value(value.data, value.type).visible(), limit)}
+    return {"result": Value(value.data, Type("Result", schema=value.type.rows), note)}
 
 
 def _loose(have: Type, want: Type) -> bool:

@@ -7,10 +7,14 @@ DataFrame forms take the order from the hidden order column.
 
 from __future__ import annotations
 
+import ast
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomwork.plans.types import TypeFault
 
@@ -28,11 +32,23 @@ def get(value: Column, path: Path | str) -> Column:
 
 def parse(value: Column, schema: str | None = None) -> Column:
     """JSON text to a value: of the schema, or a variant where the shape is unknown. Text that is
-    no JSON but a literal with single quotes and None, True or False is rewritten first."""
-    if schema:
-        literal = reduce(lambda c, p: F.regexp_replace(c, *p), [("'", '"'), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")], value)
-        return F.coalesce(F.from_json(value, schema, {"mode": "PERMISSIVE"}), F.from_json(literal, schema, {"mode": "PERMISSIVE"}))
-    return F.try_parse_json(value)
+    no JSON but a Python literal (single quotes, None, True, tuples) is read as that; what is
+    neither gives null."""
+    text = F.when(F.try_parse_json(value).isNotNull(), value).otherwise(literal_json(value))
+    return F.from_json(text, schema, {"mode": "PERMISSIVE"}) if schema else F.try_parse_json(text)
+
+
+@F.pandas_udf(StringType())
+def literal_json(values: pd.Series) -> pd.Series:
+    """The JSON of Python literals, null for other text."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(ast.literal_eval(text.strip()), allow_nan=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return values.map(one)
 
 
 def rows(columns: Column, data: Column) -> Column:

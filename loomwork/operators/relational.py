@@ -58,9 +58,10 @@ def scan(inputs: dict, params: dict, name: str) -> dict:
     if name == "index_range" and not any(i.get("kind") in ("range", "sorted") for i in row.metadata.get("indexes", [])):
         raise TypeFault("INDEX_REQUIRED")
     kept = _columns(row, params["columns"])
-    df = with_order(source.df)
+    df = source.df
     if "predicate" in params:
         df = df.where(_boolean(params["predicate"], row))
+    df = with_order(df)  # after the predicate, which must reach the scan
     return {"rows": Value(df.select(*[quoted(n) for n, _ in kept], ORD), stream(kept, domain=row.domain, revision=row.revision))}
 
 
@@ -166,12 +167,17 @@ def sort(inputs: dict, params: dict, name: str) -> dict:
 
 @implements("top_k", "full_sort", "streaming_heap")
 def top_k(inputs: dict, params: dict, name: str) -> dict:
-    """Both run as one node that keeps k rows per partition. k = 0 still reads its input when the
-    plan asks for evidence of the end (metering), not here."""
+    """Both run as one node that keeps k rows per partition. k = 0 gives no rows but still reads its
+    input to the end, so that a faulty source is found."""
     take(params, {"keys": list, "k": int})
     rows, k = inputs["rows"], whole(params, "k", 0)
     df = with_order(rows.df)
-    return {"rows": Value(df.orderBy(*sort_keys(params["keys"], rows.type), F.col(ORD).asc()).limit(k), table(rows.type.rows))}
+    order = [*sort_keys(params["keys"], rows.type), F.col(ORD).asc()]
+    if k == 0:
+        read = df.agg(F.count(F.xxhash64(*df.columns)).alias("__n")).where("__n < 0")
+        none = read.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+        return {"rows": Value(none, table(rows.type.rows))}
+    return {"rows": Value(df.orderBy(*order).limit(k), table(rows.type.rows))}
 
 
 @implements("deduplicate", "hash", "sort_unique")

@@ -72,6 +72,15 @@ class Expression:
         return self._build()
 
 
+def fields_of(tree) -> set[str]:
+    """The names of all fields that a predicate reads."""
+    if isinstance(tree, dict):
+        if set(tree) == {"field"}:
+            return {tree["field"]}
+        return set().union(*(fields_of(v) for k, v in tree.items() if k != "literal"))
+    return set().union(*map(fields_of, tree)) if isinstance(tree, list) else set()
+
+
 def analyze(tree, row: Type) -> Expression:
     """Check a tree against the row type of its input; raises TypeFault."""
     counter = [0]

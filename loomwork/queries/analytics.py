@@ -35,13 +35,13 @@ def span_pairing(spark, sf_dir):
     return T.pair_spans(t(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("t"), kind.alias("kind")))
 
 
-_BUF = "SELECT l_suppkey % 20 AS g, CAST(l_quantity AS BIGINT) AS bytes, l_orderkey AS created, CASE WHEN l_linenumber <> 3 THEN l_orderkey + l_linenumber * 5 END AS released FROM lineitem WHERE l_orderkey <= 2000"
+_BUF = "SELECT l_suppkey % 20 AS g, CAST(l_quantity AS BIGINT) AS bytes, l_orderkey AS created, CASE WHEN l_linenumber <> 3 THEN l_orderkey + l_linenumber * 5 END AS released FROM lineitem"
 
 
 @query("q_live_buffers", f"WITH b AS ({_BUF}), m AS (SELECT g, created AS t, bytes AS d FROM b UNION ALL SELECT g, released, -bytes FROM b WHERE released IS NOT NULL), s AS (SELECT g, t, sum(d) AS d FROM m GROUP BY g, t), r AS (SELECT g, t, d, sum(d) OVER (PARTITION BY g ORDER BY t) AS live, lead(t) OVER (PARTITION BY g ORDER BY t) - t AS dt FROM s) SELECT g, CAST(greatest(max(live), 0) AS BIGINT) AS peak, CAST(sum(live * coalesce(dt, 0)) AS BIGINT) AS byte_time, CAST(sum(d) AS BIGINT) AS unreleased FROM r GROUP BY g")
 def live_buffers(spark, sf_dir):
     released = F.when(F.col("l_linenumber") != 3, F.col("l_orderkey") + F.col("l_linenumber") * 5)
-    rows = t(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    rows = t(spark, sf_dir, "lineitem")
     return T.live_buffers(rows.select((F.col("l_suppkey") % 20).alias("g"), F.col("l_quantity").cast("long").alias("bytes"), F.col("l_orderkey").alias("created"), released.alias("released")), ["g"])
 
 
@@ -100,13 +100,13 @@ query("q_bootstrap")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.
 query("q_bootstrap_clustered")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97).withColumn("c", F.col("cell") % 97 % 7), ["model"], "parent", "secs", draws=2000, cluster="c"))
 
 # --- adaptation ------------------------------------------------------------------------------
-#: Stages: each order is a parent; its first lines are the conditions, its last digit the validity.
-STAGES = "SELECT l_orderkey AS parent, CASE l_linenumber WHEN 1 THEN 'base' WHEN 2 THEN 'related' ELSE 'unrelated' END AS condition, l_partkey % 3 <> 0 AS valid, l_linenumber FROM lineitem WHERE l_linenumber <= 3"
+#: Stages: each order is a parent; its lines are the conditions, the part decides the validity.
+STAGES = "SELECT l_orderkey AS parent, CASE l_linenumber WHEN 1 THEN 'base' WHEN 2 THEN 'related' ELSE 'unrelated' END AS condition, l_partkey % 3 <> 0 AS valid, l_linenumber FROM lineitem"
 
 
 def stages(spark, sf_dir):
     c = F.when(F.col("l_linenumber") == 1, "base").when(F.col("l_linenumber") == 2, "related").otherwise("unrelated")
-    return t(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("parent"), c.alias("condition"), (F.col("l_partkey") % 3 != 0).alias("valid"), "l_linenumber")
+    return t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), c.alias("condition"), (F.col("l_partkey") % 3 != 0).alias("valid"), "l_linenumber")
 
 
 query("q_adaptation", f"WITH s AS ({STAGES}) SELECT condition, count(*) AS n, count(*) FILTER (valid) AS adapted, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6) AS rate FROM s WHERE condition <> 'base' AND parent IN (SELECT parent FROM s WHERE condition = 'base' AND valid) GROUP BY condition")(lambda s, d: T.adaptation(stages(s, d), ["parent"]).withColumn("rate", F.round("rate", 6)))
@@ -149,11 +149,11 @@ def chain_check(spark, sf_dir):
 query("q_manifest_gaps", "SELECT count(*) AS expected, count(l.doc_id) AS received, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")(lambda s, d: T.manifest_gaps(t(s, d, "documents"), t(s, d, "labels"), ["doc_id"]))
 
 
-@query("q_node_states", "SELECT o_orderkey AS node_id FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey <= 600")
+@query("q_node_states", "SELECT o_orderkey AS node_id FROM orders WHERE o_orderkey % 6 = 0")
 def node_states(spark, sf_dir):
     """Every order goes through all states; those divisible by six skip `ready`."""
     names = F.array(*map(F.lit, ("queued", "ready", "started", "finished")))
-    rows = t(spark, sf_dir, "orders").where("o_orderkey <= 600").select(F.col("o_orderkey").alias("node_id"), F.posexplode(names).alias("sequence", "state"))
+    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.posexplode(names).alias("sequence", "state"))
     return T.node_state_faults(rows.where("not (node_id % 6 = 0 and state = 'ready')")).select("node_id")
 
 
@@ -190,19 +190,19 @@ def streaming_counts(spark, sf_dir):
 
 
 # --- scoring and reuse -----------------------------------------------------------------------
-#: Expected records: orders below 4001, dealt to two models; some never ran, some were cut short.
+#: Expected records: all orders, dealt to two models; some never ran, some were cut short.
 _SCORED = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, o_custkey % 3 AS family,
   CASE WHEN o_orderkey % 13 = 0 THEN 'MISSING_EVIDENCE' WHEN o_orderkey % 11 = 0 THEN 'TIMEOUT' ELSE 'COMPLETED' END AS status,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN false ELSE o_orderstatus <> 'P' END AS s,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN false WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_custkey > 1000 THEN false END ELSE o_custkey <= 1000 END AS b
-FROM orders WHERE o_orderkey <= 4000"""
+FROM orders"""
 
 
 def scored(spark, sf_dir):
     from loomwork.functions import metrology as Y
 
-    o = t(spark, sf_dir, "orders").where("o_orderkey <= 4000")
+    o = t(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     levels = [F.lit(0).alias(c) for c in Y.LEVELS[1:]]
     expected = o.select(k.alias("record_id"), F.when(k % 2 == 0, "m0").otherwise("m1").alias("model"), F.lit("p").alias("protocol"), k.alias("case_id"), F.lit(1000.0).alias("wall_budget"), F.lit(None).cast("double").alias("memory_budget"), (F.col("o_custkey") % 3).alias("family"), *levels)
@@ -221,21 +221,21 @@ def _panels(spark, sf_dir):
     return Y.score_panels(scored(spark, sf_dir)).select("model", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "expected")
 
 
-@query("q_compatible_view", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey <= 500 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 10 = 0)")
+@query("q_compatible_view", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 10 = 0)")
 def compatible(spark, sf_dir):
     """Orders that hold a part divisible by ten changed; the others' lines stay usable."""
     from loomwork.functions.metrology import compatible_view
 
-    rows = t(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    rows = t(spark, sf_dir, "lineitem")
     new = rows.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 10 == 0, -1.0).otherwise(F.col("l_quantity")).alias("l_quantity"))
     return compatible_view(rows.select("l_orderkey", "l_linenumber", "l_quantity"), new, ["l_orderkey"])
 
 
-@query("q_replay_fidelity", "SELECT l_orderkey AS run, count(*) FILTER (l_partkey % 10 = 0) = 0 AS same FROM lineitem WHERE l_orderkey <= 500 GROUP BY l_orderkey")
+@query("q_replay_fidelity", "SELECT l_orderkey AS run, count(*) FILTER (l_partkey % 10 = 0) = 0 AS same FROM lineitem GROUP BY l_orderkey")
 def replay_fidelity(spark, sf_dir):
     from loomwork.functions.metrology import replay_fidelity as check
 
-    rows = t(spark, sf_dir, "lineitem").where("l_orderkey <= 500").select(F.col("l_orderkey").alias("run"), "l_linenumber", "l_quantity", "l_partkey")
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), "l_linenumber", "l_quantity", "l_partkey")
     new = rows.withColumn("l_quantity", F.when(F.col("l_partkey") % 10 == 0, -1.0).otherwise(F.col("l_quantity")))
     return check(rows, new.repartition(3), ["run"])
 

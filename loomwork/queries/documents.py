@@ -25,14 +25,14 @@ def _read(spark, sf_dir, implementation):
     return op("read_documents", implementation, {"index": ix, "ids": ids}, {"fields": ["id", "text"], "batch_size": 8}).df
 
 
-_TOK = "SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM benchmark"
+_TOK = "SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM documents"
 _SCORE = " + ".join(f"idf{i} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(2))
 _BM25 = f"""
 WITH k AS ({_TOK}), f AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS f0, len(list_filter(t, lambda x: x = 'of')) AS f1 FROM k),
 g AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM f),
 s AS (SELECT id, f0, f1, dl, a, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) AS idf0, ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) AS idf1 FROM f, g)
 SELECT id, round({_SCORE}, 6) AS score FROM s WHERE f0 + f1 > 0 ORDER BY {_SCORE} DESC, id LIMIT 15"""
-query("q_bm25", _BM25)(lambda s, d: op("text_retrieve", "bm25", {"index": index(s, d, "benchmark", "item_id")}, {"query": "the of", "limit": 15}).df.select("id", F.round("score", 6).alias("score")))
+query("q_bm25", _BM25)(lambda s, d: op("text_retrieve", "bm25", {"index": index(s, d)}, {"query": "the of", "limit": 15}).df.select("id", F.round("score", 6).alias("score")))
 
 
 @query("q_dense_topk", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) DESC, vec_id LIMIT 20")
@@ -43,21 +43,21 @@ def dense_topk(spark, sf_dir):
     return op("text_retrieve", "dense_fixed", {"index": ix}, {"vector": [float(x) for x in vector], "limit": 20}).df.select("id", F.round("score", 6).alias("score"))
 
 
-_WORDS = "SELECT item_id AS id, text, regexp_extract_all(text, '\\S+') AS w FROM benchmark"
+_WORDS = "SELECT doc_id AS id, text, regexp_extract_all(text, '\\S+') AS w FROM documents"
 
 
 @query("q_split_tokens", f"WITH k AS ({_WORDS}), c AS (SELECT id, w, unnest(range(0, CASE WHEN len(w) <= 12 THEN 1 ELSE CAST(ceil((len(w) - 4) / 8.0) AS BIGINT) END)) AS n FROM k WHERE len(w) > 0) SELECT id, CAST(n AS INTEGER) AS chunk_no, CAST(len(w[n * 8 + 1:n * 8 + 12]) AS INTEGER) AS words, w[n * 8 + 1] AS first FROM c")
 def split_tokens(spark, sf_dir):
-    chunks = op("split_documents", "token_window", {"documents": index(spark, sf_dir, "benchmark", "item_id")}, {"size": 12, "overlap": 4}).df
+    chunks = op("split_documents", "token_window", {"documents": index(spark, sf_dir)}, {"size": 12, "overlap": 4}).df
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     return chunks.select("id", "chunk_no", F.size(words).alias("words"), F.element_at(words, 1).alias("first"))
 
 
-query("q_split_sections", "SELECT doc_id AS id, len(regexp_split_to_array(text, '\\n\\s*\\n')) AS sections, strlen(text) AS n FROM documents WHERE length(text) = strlen(text) AND text <> ''")(lambda s, d: _sections(s, d))
+query("q_split_sections", "SELECT doc_id AS id, len(regexp_split_to_array(text, '\\n\\s*\\n')) AS sections, length(text) AS n FROM documents WHERE text <> ''")(lambda s, d: _sections(s, d))
 
 
 def _sections(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").where("length(text) = octet_length(text) and text <> ''").select(F.col("doc_id").alias("id"), "text")
+    docs = t(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), "text")
     chunks = op("split_documents", "section", {"documents": document_index(docs)}, {"size": 1, "overlap": 0}).df
     return chunks.groupBy("id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.col("end_char") - F.col("start_char")).alias("n"))
 
@@ -78,7 +78,7 @@ def _gather(spark, sf_dir, implementation, window):
 
 def _texts(spark, sf_dir) -> Value:
     """Order lines as text: `status: F priority: 1-URGENT` and so on."""
-    o = t(spark, sf_dir, "orders").where("o_orderkey <= 3000")
+    o = t(spark, sf_dir, "orders")
     text = F.concat(F.lit("status: "), "o_orderstatus", F.lit(" customer = "), F.col("o_custkey").cast("string"), F.lit(" end"))
     return document_index(o.select(F.col("o_orderkey").alias("id"), text.alias("text")))
 
@@ -87,7 +87,7 @@ def _extracted(spark, sf_dir) -> Value:
     return op("semantic_extract", "fixed_e0", {"documents": _texts(spark, sf_dir)}, {"field_schema": {"status": "utf8", "customer": "int64"}, "context_budget": 64})
 
 
-query("q_semantic_extract", "SELECT o_orderstatus AS status, o_custkey AS customer FROM orders WHERE o_orderkey <= 3000")(lambda s, d: _extracted(s, d).df.select("status", "customer"))
+query("q_semantic_extract", "SELECT o_orderstatus AS status, o_custkey AS customer FROM orders")(lambda s, d: _extracted(s, d).df.select("status", "customer"))
 
 
 def _merged(spark, sf_dir, implementation, policy, rule=None):
@@ -96,17 +96,17 @@ def _merged(spark, sf_dir, implementation, policy, rule=None):
     return op("evidence_merge", implementation, {"evidence": v}, params).df.select("customer", "status")
 
 
-query("q_evidence_merge_all", "SELECT o_custkey AS customer, o_orderstatus AS status FROM orders WHERE o_orderkey <= 3000")(lambda s, d: _merged(s, d, "by_entity", "keep_all"))
-query("q_evidence_merge_reject", "SELECT o_custkey AS customer, min(o_orderstatus) AS status FROM orders WHERE o_orderkey <= 3000 GROUP BY o_custkey HAVING min(o_orderstatus) = max(o_orderstatus)")(lambda s, d: _merged(s, d, "by_document", "reject"))
-query("q_evidence_merge_priority", "SELECT o_custkey AS customer, max(o_orderstatus) AS status FROM orders WHERE o_orderkey <= 3000 GROUP BY o_custkey")(lambda s, d: _merged(s, d, "by_entity", "declared_priority", {"field": "status", "direction": "desc"}))
-query("q_span_check", "SELECT o_custkey AS customer, o_orderstatus AS status FROM orders WHERE o_orderkey <= 3000")(lambda s, d: op("evidence_validate", "span_check", {"evidence": _extracted(s, d), "index": _texts(s, d)}, {"strict": True}).df.select("customer", "status"))
+query("q_evidence_merge_all", "SELECT o_custkey AS customer, o_orderstatus AS status FROM orders")(lambda s, d: _merged(s, d, "by_entity", "keep_all"))
+query("q_evidence_merge_reject", "SELECT o_custkey AS customer, min(o_orderstatus) AS status FROM orders GROUP BY o_custkey HAVING min(o_orderstatus) = max(o_orderstatus)")(lambda s, d: _merged(s, d, "by_document", "reject"))
+query("q_evidence_merge_priority", "SELECT o_custkey AS customer, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey")(lambda s, d: _merged(s, d, "by_entity", "declared_priority", {"field": "status", "direction": "desc"}))
+query("q_span_check", "SELECT o_custkey AS customer, o_orderstatus AS status FROM orders")(lambda s, d: op("evidence_validate", "span_check", {"evidence": _extracted(s, d), "index": _texts(s, d)}, {"strict": True}).df.select("customer", "status"))
 
 
-@query("q_span_check_drop", "SELECT count(*) AS n FROM orders WHERE o_orderkey <= 1500")
+@query("q_span_check_drop", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
 def span_check_drop(spark, sf_dir):
     """Half of the documents change after extraction; their evidence goes."""
     v, ix = _extracted(spark, sf_dir), _texts(spark, sf_dir)
-    changed = Value(ix.df.withColumn("text", F.when(F.col("id") > 1500, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))), ix.type)
+    changed = Value(ix.df.withColumn("text", F.when(F.col("id") % 2 != 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))), ix.type)
     return op("evidence_validate", "span_check", {"evidence": v, "index": changed}, {"strict": False}).df.agg(F.count(F.lit(1)).alias("n"))
 
 

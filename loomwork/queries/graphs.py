@@ -13,18 +13,18 @@ from loomwork.queries.base import op, query, t
 
 I, D, S = scalar("Int64"), scalar("Float64"), scalar("Utf8")
 
-#: A directed graph of customers: each points at two others, by arithmetic on its key.
+#: A directed graph of all customers: each points at two others, by arithmetic on its key.
 EDGES = """
-SELECT c_custkey AS source, (c_custkey * 7 + 3) % 1000 AS target, CAST(1 + c_custkey % 5 AS DOUBLE) AS weight, CASE WHEN c_custkey % 3 = 0 THEN 'cites' ELSE 'knows' END AS relation FROM customer WHERE c_custkey < 1000
+SELECT c_custkey AS source, (c_custkey * 7 + 3) % m AS target, CAST(1 + c_custkey % 5 AS DOUBLE) AS weight, CASE WHEN c_custkey % 3 = 0 THEN 'cites' ELSE 'knows' END AS relation FROM customer, (SELECT max(c_custkey) + 1 AS m FROM customer)
 UNION ALL
-SELECT c_custkey, (c_custkey * c_custkey + 1) % 1000, CAST(2 + c_custkey % 3 AS DOUBLE), 'likes' FROM customer WHERE c_custkey < 1000"""
+SELECT c_custkey, (c_custkey * c_custkey + 1) % m, CAST(2 + c_custkey % 3 AS DOUBLE), 'likes' FROM customer, (SELECT max(c_custkey) + 1 AS m FROM customer)"""
 
 
 def customers(spark, sf_dir) -> Value:
-    c = t(spark, sf_dir, "customer").where("c_custkey < 1000")
-    k = F.col("c_custkey")
-    one = c.select(k.alias("source"), ((k * 7 + 3) % 1000).alias("target"), (1 + k % 5).cast("double").alias("weight"), F.when(k % 3 == 0, "cites").otherwise("knows").alias("relation"))
-    two = c.select(k.alias("source"), ((k * k + 1) % 1000).alias("target"), (2 + k % 3).cast("double").alias("weight"), F.lit("likes").alias("relation"))
+    c = t(spark, sf_dir, "customer")
+    k, m = F.col("c_custkey"), c.agg(F.max("c_custkey") + 1).scalar()
+    one = c.select(k.alias("source"), ((k * 7 + 3) % m).alias("target"), (1 + k % 5).cast("double").alias("weight"), F.when(k % 3 == 0, "cites").otherwise("knows").alias("relation"))
+    two = c.select(k.alias("source"), ((k * k + 1) % m).alias("target"), (2 + k % 3).cast("double").alias("weight"), F.lit("likes").alias("relation"))
     meta = {"node_id_type": I, "node_schema": {"name": S}, "edge_types": ["cites", "knows", "likes"], "weight_nonnegative": True}
     return Value(GraphData(c.select(k.alias("id"), F.col("c_mktsegment").alias("name")), one.unionByName(two)), Type("Graph", schema=(("source", I), ("target", I), ("weight", D), ("relation", S)), domain="customers", revision="1", metadata=meta))
 
@@ -35,13 +35,14 @@ def seeds(graph: Value, condition: str) -> Value:
 
 def _neighbors(spark, sf_dir, implementation, direction, kinds=()):
     g = customers(spark, sf_dir)
-    return op("graph_neighbors", implementation, {"graph": g, "seeds": seeds(g, "id < 50")}, {"direction": direction, "edge_types": list(kinds)}).df
+    return op("graph_neighbors", implementation, {"graph": g, "seeds": seeds(g, "name = 'BUILDING'")}, {"direction": direction, "edge_types": list(kinds)}).df
 
 
 _E = f"WITH e AS ({EDGES})"
-query("q_graph_neighbors_csr", f"{_E} SELECT * FROM e WHERE source < 50")(lambda s, d: _neighbors(s, d, "csr", "out"))
-query("q_graph_neighbors_adjacency", f"{_E} SELECT * FROM e WHERE target < 50 AND relation IN ('cites', 'likes')")(lambda s, d: _neighbors(s, d, "indexed_adjacency", "in", ("cites", "likes")))
-query("q_graph_neighbors_both", f"{_E} SELECT * FROM e WHERE source < 50 OR target < 50")(lambda s, d: _neighbors(s, d, "csr", "both"))
+_SEEDS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
+query("q_graph_neighbors_csr", f"{_E} SELECT * FROM e WHERE source IN ({_SEEDS})")(lambda s, d: _neighbors(s, d, "csr", "out"))
+query("q_graph_neighbors_adjacency", f"{_E} SELECT * FROM e WHERE target IN ({_SEEDS}) AND relation IN ('cites', 'likes')")(lambda s, d: _neighbors(s, d, "indexed_adjacency", "in", ("cites", "likes")))
+query("q_graph_neighbors_both", f"{_E} SELECT * FROM e WHERE source IN ({_SEEDS}) OR target IN ({_SEEDS})")(lambda s, d: _neighbors(s, d, "csr", "both"))
 
 
 def _reach(spark, sf_dir, implementation, direction):
@@ -61,8 +62,8 @@ def _paths(spark, sf_dir, implementation, weight):
 
 
 #: Breadth first by levels, and relaxation by rounds, both bounded.
-query("q_shortest_path_bfs", f"WITH RECURSIVE e AS ({EDGES}), r(id, h) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.target, r.h + 1 FROM r JOIN e ON e.source = r.id WHERE r.h < 12) SELECT CAST(1 AS BIGINT) AS source, x.id AS target, CAST(min(r.h) AS DOUBLE) AS cost FROM (VALUES (10::BIGINT), (500::BIGINT), (731::BIGINT)) x(id) LEFT JOIN r ON r.id = x.id GROUP BY x.id")(lambda s, d: _paths(s, d, "bfs", False))
-query("q_shortest_path_dijkstra", f"WITH RECURSIVE e AS ({EDGES}), r(id, c) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT e.target, r.c + e.weight FROM r JOIN e ON e.source = r.id WHERE r.c + e.weight <= 30) SELECT CAST(1 AS BIGINT) AS source, x.id AS target, min(r.c) AS cost FROM (VALUES (10::BIGINT), (500::BIGINT), (731::BIGINT)) x(id) LEFT JOIN r ON r.id = x.id GROUP BY x.id")(lambda s, d: _paths(s, d, "dijkstra", True))
+query("q_shortest_path_bfs", f"WITH RECURSIVE e AS ({EDGES}), r(id, h) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.target, r.h + 1 FROM r JOIN e ON e.source = r.id WHERE r.h < 40) SELECT CAST(1 AS BIGINT) AS source, x.id AS target, CAST(min(r.h) AS DOUBLE) AS cost FROM (VALUES (10::BIGINT), (500::BIGINT), (731::BIGINT)) x(id) LEFT JOIN r ON r.id = x.id GROUP BY x.id")(lambda s, d: _paths(s, d, "bfs", False))
+query("q_shortest_path_dijkstra", f"WITH RECURSIVE e AS ({EDGES}), r(id, c) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT e.target, r.c + e.weight FROM r JOIN e ON e.source = r.id WHERE r.c + e.weight <= 80) SELECT CAST(1 AS BIGINT) AS source, x.id AS target, min(r.c) AS cost FROM (VALUES (10::BIGINT), (500::BIGINT), (731::BIGINT)) x(id) LEFT JOIN r ON r.id = x.id GROUP BY x.id")(lambda s, d: _paths(s, d, "dijkstra", True))
 
 query("q_graph_filter_edge_mask", f"{_E} SELECT * FROM e WHERE weight > 3")(lambda s, d: op("graph_filter", "edge_mask", {"graph": customers(s, d)}, {"predicate": call("gt", field("edge.weight"), lit(3.0))}).data.edges)
 query("q_graph_filter_node", f"{_E} SELECT e.* FROM e JOIN customer a ON e.source = a.c_custkey JOIN customer b ON e.target = b.c_custkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'BUILDING' AND weight > 2")(
@@ -70,10 +71,10 @@ query("q_graph_filter_node", f"{_E} SELECT e.* FROM e JOIN customer a ON e.sourc
 )
 
 
-@query("q_subgraph_induced", f"{_E} SELECT * FROM e WHERE source < 300 AND target IN (SELECT c_custkey FROM customer WHERE c_custkey < 300)")
+@query("q_subgraph_induced", f"{_E} SELECT * FROM e WHERE source IN ({_SEEDS}) AND target IN ({_SEEDS})")
 def induced(spark, sf_dir):
     g = customers(spark, sf_dir)
-    return op("graph_subgraph", "induced", {"graph": g, "nodes": seeds(g, "id < 300")}, {"mode": "induced"}).data.edges
+    return op("graph_subgraph", "induced", {"graph": g, "nodes": seeds(g, "name = 'BUILDING'")}, {"mode": "induced"}).data.edges
 
 
 @query("q_subgraph_edges", f"{_E} SELECT DISTINCT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_custkey IN (SELECT source FROM e WHERE weight > 4 UNION SELECT target FROM e WHERE weight > 4)")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators.base import Value, with_order
+from loomwork.operators.base import ORD, Value, with_order
 from loomwork.plans.types import Type, TypeFault, from_spark, spark_schema, table
 
 MAX_LINE = 1 << 20
@@ -25,15 +25,23 @@ class Registry:
         plain = df.select(*[F.col(f.name).cast("timestamp") if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, T.IntegerType) else F.col(f.name) for f in df.schema.fields])
         row = from_spark(plain.schema)
         t = Type("Table", schema=row.schema, domain=domain, revision=revision, metadata={"indexes": indexes or []})
-        self.entries[name] = Value(with_order(plain, *(order or [])), Type("DatasetRef", item=t))
+        if order:
+            plain = with_order(plain, *order)
+        self.entries[name] = Value(plain, Type("DatasetRef", item=t))
         return self.entries[name]
 
     def parquet(self, name: str, path: str, **more) -> Value:
-        return self.add(name, self.spark.read.parquet(path), **more)
+        """Without order keys rows stand in the order of the files and of the rows within each:
+        predicates still reach the scan, and the order does not depend on how files are split."""
+        value = self.add(name, self.spark.read.parquet(path), **more)
+        if not more.get("order"):
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            value.data = value.df.withColumn(ORD, place)
+        return value
 
     def view(self, name: str) -> None:
         """Make the source readable from SQL."""
-        self.entries[name].df.drop("__ord").createOrReplaceTempView(name)
+        self.entries[name].df.drop(ORD).createOrReplaceTempView(name)
 
     def __getitem__(self, name: str) -> Value:
         if name not in self.entries:
@@ -68,7 +76,9 @@ def read_json_lines(spark: SparkSession, path: str, row: Type, expected_rows: in
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("mode", "FAILFAST").csv(path)
+    """Strict CSV with a header, which must name the schema's columns; a byte order mark before it
+    is skipped."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -11,32 +11,59 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.plans.types import TypeFault
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
-#: Functions that reach outside the query.
-FORBIDDEN = re.compile(r"\b(reflect|java_method|try_reflect|input_file_name|python_udf)\s*\(", re.I)
+#: What a read-only query may consist of, and functions that reach outside it.
+NODES = {
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sample",
+    "Sort", "SubqueryAlias", "Tail", "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "Window", "WithWindowDefinition",
+}
+OUTSIDE = {
+    "reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "version", "current_user", "user", "session_user", "current_catalog",
+    "current_database", "current_schema", "raise_error", "assert_true",
+}
 
 
-def guard(spark: SparkSession, text: str, views: list[str]) -> DataFrame:
-    """The query as a DataFrame if it only reads the given views. The parsed plan decides: any
-    command or write is refused, and so is a relation that is not among the views."""
-    if FORBIDDEN.search(text):
-        raise TypeFault("SQL_FUNCTION")
-    parser = spark._jsparkSession.sessionState().sqlParser()
-    logical = parser.parsePlan(text)
-    todo, commands = [logical], []
+def _seq(x) -> list:
+    return [x.apply(i) for i in range(x.size())]
+
+
+def _parts(plan):
+    """All nodes and expressions of a parsed plan, those of subqueries and common tables included."""
+    todo = [plan]
     while todo:
-        node = todo.pop()
-        name = node.getClass().getName()
-        if ".command." in name or any(x in name for x in ("Insert", "CreateTable", "Drop", "Delete", "Update", "Merge", "Command", "SetVariable", "CreateView")):
-            commands.append(name)
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.size())]
-    if commands:
-        raise TypeFault("SQL_READ_ONLY")
-    df = spark.sql(text)
-    allowed, used = set(views), relations(df)
-    if used - allowed:
-        raise TypeFault(f"SQL_RELATION {sorted(used - allowed)}")
-    return df
+        x = todo.pop()
+        name = x.getClass().getSimpleName()
+        yield name, x
+        todo += _seq(x.children())
+        if ".plans." in x.getClass().getName() or name.startswith("Unresolved") and name[10:] in ("With", "Having", "Relation", "InlineTable", "SubqueryColumnAliases"):
+            todo += _seq(x.expressions())
+            todo += [k for k in _seq(x.innerChildren())]
+        elif "Subquery" in name or name in ("Exists", "ListQuery"):
+            todo.append(x.query() if name == "InSubquery" else x.plan())
+
+
+def guard(spark: SparkSession, text: str, views: list[str]) -> DataFrame:
+    """The query as a DataFrame if it only reads the given views. The parsed plan decides, before
+    anything is looked up: it may hold nodes of NODES alone, every relation must be one of the views
+    or a common table of the query, and every function one of Spark's own that stays inside."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    relations, functions, common = set(), set(), set()
+    for name, x in _parts(parsed):
+        if any(p in x.getClass().getName() for p in (".plans.", ".execution.")) and name not in NODES:
+            raise TypeFault(f"SQL_READ_ONLY {name}")
+        if name == "UnresolvedRelation":
+            relations.add(".".join(_seq(x.multipartIdentifier())))
+        elif name == "UnresolvedWith":
+            common |= {n for r in _seq(x.cteRelations()) if not spark.catalog.tableExists(n := r._1())}  # none may hide a table
+        elif name == "UnresolvedFunction":
+            functions.add(".".join(_seq(x.nameParts())).lower())
+        elif name in ("UnresolvedTableValuedFunction", "RelationTimeTravel", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier"):
+            raise TypeFault(f"SQL_READ_ONLY {name}")
+    if relations - set(views) - common:
+        raise TypeFault(f"SQL_RELATION {sorted(relations - set(views) - common)}")
+    own = {r[0] for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
+    if outside := functions & OUTSIDE | functions - own:
+        raise TypeFault(f"SQL_FUNCTION {sorted(outside)}")
+    return spark.sql(text)
 
 
 def relations(df: DataFrame) -> set[str]:
