@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches, bounded_sample, materialize, mix64, released
+from loomwork.llm.common import bounded_batches, bounded_sample, discard, materialize, mix64, released
 from loomwork.llm.ngram_hash import prefix_sums
 
 WINDOW, GRAM = 100, 50
@@ -331,6 +332,9 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     bounded_batches(spark)
     name = f"loomwork_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few rows a partition (many small files) must not mean many small blocks
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(1, ceil(size / (2 * block_bytes))))
     _pack_blocks(docs, block_bytes).repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
     n = blocks.count()
@@ -356,6 +360,15 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
         out = [finish(b := Block(_from_blob(blob)), _Steps(b, splitters).covered(answers)) for blob in own["blob"].to_pylist()]
         return pa.concat_tables(out) if out else pa.table({})
 
+    try:
+        return _rounds(blocks, first, later, last, schema)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _rounds(blocks: DataFrame, first: Callable, later: Callable, last: Callable, schema) -> DataFrame:
+    """The three rounds of questions, and what is left of each text."""
+
     def meet(answers: DataFrame, f: Callable, out) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(released(f), out)
 
@@ -364,7 +377,7 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     ab = a.unionByName(b)
     c = materialize(_answer(meet(ab, later(_Steps.strings), ASKED), 3, ("<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")
     result = materialize(meet(ab.unionByName(c), last, schema), "kept")
-    spark.sql(f"DROP TABLE {name}")
+    discard(a, b, c)
     return result
 
 
