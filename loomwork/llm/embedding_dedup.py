@@ -1,19 +1,24 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, representatives.
 
 Equal vectors form a class and go on as one. Centroids are fitted on a bounded sample; every
-vector is owned by the cell of its nearest centroid. A vector also visits each cell that could own
-a partner: if y belongs to cell c and x to cell b, x lies at most |x - y| beyond the plane midway
-between the two centroids, and a cosine of at least the threshold bounds |x - y|. So every link
-joins an owner of some cell with an owner or visitor of the same cell, none is missed, and each
-ordered pair is seen exactly once. A cell's owners and guests are dealt into blocks of about
-BLOCK_ROWS; a task multiplies one block of guests with one of owners. It returns, per guest, how
-many vectors it links with, and the components within the block (a label per vector instead of
-pairs), so results stay linear even where all vectors of a cell are alike.
+vector is owned by the cell of its nearest centroid and visits each cell whose centroid is nearly
+as near: its cosine is less than the nearest one's by at most a margin. A pair is found if either
+of the two visits the other's cell. The margin is calibrated on the sample: partners are drawn at
+exactly the threshold, in directions at random, which is the hardest case, and the margin is the
+least that finds RECALL of them; pairs that are nearer than the threshold are found more often, and
+with one cell all are. (No exact bound prunes vectors in many dimensions: any two cells can hold
+such a pair.) A pair that both of its vectors would find is counted for each by its own visit; else
+the one visit counts for both, so n_links is symmetric.
+
+A cell's owners and guests are dealt into blocks of about BLOCK_ROWS; a task multiplies one block of
+guests with one of owners. It returns, per vector, how many vectors it links with, and the
+components within the block (a label per vector instead of pairs), so results stay linear even
+where all vectors of a cell are alike. Vectors of a dimension other than the sample's most common
+one share a cell with all others of that dimension.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link
-with nothing and are kept; so do rows with a null vec_id, whose component is null; a vector whose
-dimension is not the sample's most common one links with equal vectors only; repeated rows count
-as vectors of their own; other columns are ignored; an empty table gives no rows.
+with nothing and are kept; so do rows with a null vec_id, whose component is null; repeated rows
+count as vectors of their own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ CELL_ROWS, MAX_CELLS = 4096, 4096
 BLOCK_ROWS = 4096
 #: Rows of a product at a time.
 SLICE = 512
+#: Share of pairs at the threshold that the margin must find, and partners drawn to calibrate it.
+RECALL, DRAWS = 0.999, 8000
 ROUNDS = 12
 
 
@@ -42,18 +49,37 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = ROUNDS, seed: int =
     rng = np.random.default_rng(seed)
     centroids = unit[rng.choice(len(unit), min(k, len(unit)), replace=False)]
     for _ in range(rounds):
-        score = unit @ centroids.T
-        own = score.argmax(1)
+        own, best = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for at in range(0, len(unit), SLICE):
+            score = unit[at : at + SLICE] @ centroids.T
+            own[at : at + SLICE], best[at : at + SLICE] = score.argmax(1), score.max(1)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, unit)
         empty = np.flatnonzero(np.bincount(own, minlength=len(centroids)) == 0)
         if len(empty):
-            sums[empty] = unit[np.argsort(score.max(1))[: len(empty)]]
+            sums[empty] = unit[np.argsort(best)[: len(empty)]]
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
     return np.unique(centroids, axis=0)
 
 
+def margin_for(unit: np.ndarray, centroids: np.ndarray, threshold: float, recall: float = RECALL, seed: int = 11) -> float:
+    """The least margin that finds this share of pairs whose cosine is the threshold."""
+    if len(centroids) < 2 or unit.shape[1] < 2:
+        return 2.0
+    rng = np.random.default_rng(seed)
+    x = unit[rng.integers(len(unit), size=DRAWS)]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = threshold * x + np.sqrt(1 - threshold**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    gaps = np.empty(DRAWS)
+    for at in range(0, DRAWS, SLICE):
+        sx, sy = x[at : at + SLICE] @ centroids.T, y[at : at + SLICE] @ centroids.T
+        ox, oy, row = sx.argmax(1), sy.argmax(1), np.arange(len(sx))
+        gaps[at : at + SLICE] = np.minimum(sx[row, ox] - sx[row, oy], sy[row, oy] - sy[row, ox])
+    return float(np.quantile(gaps, recall, method="higher")) + 1e-9
+
+
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that no square overflows."""
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
@@ -106,47 +132,60 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     n = classes.count()
     sample = [r[0] for r in bounded_sample(classes.select("raw"), ["raw"], SAMPLE_ROWS, n).collect()]
     size = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
-    fit = [bytes(r) for r in sample if len(r) == size]
-    centroids = spherical_kmeans(_unit(fit, kind), max(1, min(MAX_CELLS, n // CELL_ROWS))) if fit else np.zeros((1, 1))
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    fit = _unit([bytes(r) for r in sample if len(r) == size], kind) if sample else np.zeros((1, 1))
+    centroids = spherical_kmeans(fit, max(1, min(MAX_CELLS, n // CELL_ROWS)))
+    margin = margin_for(fit, centroids, threshold)
 
     def deal(b: pa.RecordBatch) -> list[pa.RecordBatch]:
         raw = [bytes(r) for r in b.column("raw").to_pylist()]
         ok = np.flatnonzero([len(r) == size for r in raw])
-        if not len(ok):
-            return []
-        score = _unit([raw[i] for i in ok], kind) @ centroids.T
-        own = score.argmax(1)
-        rows = np.arange(len(ok))
-        apart = np.sqrt(np.maximum(0, 2 - 2 * centroids[own] @ centroids.T))
-        visits = score[rows, own][:, None] - score <= reach * apart + 1e-12
-        visits[rows, own] = True
-        who, cell = np.nonzero(visits)
-        at = pa.array(ok[who])
-        columns = [pa.array(cell, pa.int32()), pa.array(own[who] == cell), b.column("rep").take(at), b.column("copies").take(at), b.column("raw").take(at)]
-        return [pa.RecordBatch.from_arrays(columns, ["cell", "owner", "rep", "copies", "raw"])]
-
-    dealt = materialize(map_batches(classes, deal, "cell int, owner boolean, rep long, copies long, raw binary", rows=2000), "cells")
-    # a row per cell, at most MAX_CELLS, so it may be broadcast
+        rest = np.flatnonzero([len(r) != size for r in raw])
+        cell, own, at, seen = -np.array([len(raw[i]) for i in rest], np.int64), np.ones(len(rest), bool), rest, [b""] * len(rest)
+        home = cell
+        if len(ok):
+            score = _unit([raw[i] for i in ok], kind) @ centroids.T
+            nearest = score.argmax(1)
+            visits = score >= score.max(1, keepdims=True) - margin
+            who, where = np.nonzero(visits)
+            packed = [v.tobytes() for v in np.packbits(visits, axis=1)]
+            cell, home, own = np.concatenate([cell, where]), np.concatenate([home, nearest[who]]), np.concatenate([own, nearest[who] == where])
+            at, seen = np.concatenate([at, ok[who]]), seen + [packed[i] if nearest[i] == c else b"" for i, c in zip(who, where)]
+        take = pa.array(at)
+        columns = [pa.array(cell, pa.int32()), pa.array(home, pa.int32()), pa.array(own), pa.array(seen, pa.binary()), b.column("rep").take(take), b.column("copies").take(take), b.column("raw").take(take)]
+        return [pa.RecordBatch.from_arrays(columns, ["cell", "home", "owner", "seen", "rep", "copies", "raw"])]
+
+    dealt = materialize(map_batches(classes, deal, "cell int, home int, owner boolean, seen binary, rep long, copies long, raw binary", rows=500), "cells")
+    # a row per cell, at most MAX_CELLS and one per other dimension, so it may be broadcast
     blocks = dealt.groupBy("cell").agg(F.ceil(F.count_if("owner") / BLOCK_ROWS).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("cols"))
     sized = dealt.join(F.broadcast(blocks), "cell").where("rows > 0")
     draw = F.xxhash64("rep")
-    guests = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(draw, "cols").alias("j"), F.lit(False).alias("owner"), "rep", "copies", "raw")
-    owners = sized.where("owner").select("cell", F.pmod(draw, "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(True).alias("owner"), "rep", "copies", "raw")
+    facts = ["home", "seen", "rep", "copies", "raw"]
+    guests = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(draw, "cols").alias("j"), F.lit(False).alias("owner"), *facts)
+    owners = sized.where("owner").select("cell", F.pmod(draw, "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(True).alias("owner"), *facts)
 
     def product(table: pa.Table) -> pa.Table:
-        owner = table["owner"].to_numpy()
-        rep, copies, raw = table["rep"].to_numpy(), table["copies"].to_numpy(), table["raw"].to_pylist()
+        owner, cell = table["owner"].to_numpy(), table["cell"][0].as_py() if table.num_rows else 0
+        rep, copies, home = table["rep"].to_numpy(), table["copies"].to_numpy().astype(np.float64), table["home"].to_numpy()
+        raw, seen = table["raw"].to_pylist(), table["seen"].to_pylist()
         g, o = np.flatnonzero(~owner), np.flatnonzero(owner)
         if not len(g) or not len(o):
             return pa.table({c: pa.array([], pa.int64()) for c in ("id", "n", "label")})
         x, y = _unit([raw[i] for i in g], kind), _unit([raw[i] for i in o], kind).T
-        hits = np.concatenate([x[k : k + SLICE] @ y >= threshold for k in range(0, len(g), SLICE)])
-        hits[rep[g][:, None] == rep[o][None, :]] = False
-        count = hits @ copies[o]
+        # which owners visit which cells: those will meet a guest from there once more
+        back = np.unpackbits(np.frombuffer(b"".join(seen[i] for i in o), np.uint8).reshape(len(o), -1), axis=1).astype(bool) if cell >= 0 else None
+        hits, n_guest, n_owner = np.zeros((len(g), len(o)), bool), np.zeros(len(g)), np.zeros(len(o))
+        for k in range(0, len(g), SLICE):
+            part = x[k : k + SLICE] @ y >= threshold
+            part[rep[g[k : k + SLICE]][:, None] == rep[o][None, :]] = False
+            hits[k : k + SLICE] = part
+            row, col = np.nonzero(part)
+            np.add.at(n_guest, row + k, copies[o[col]])
+            if back is not None and len(row):
+                once = ~back[col, home[g[row + k]]]
+                np.add.at(n_owner, col[once], copies[g[row[once] + k]])
         a, b = _labels(hits, rep[g], rep[o])
         ids, labels = np.concatenate([rep[g], rep[o]]), np.concatenate([a, b])
-        n = np.concatenate([count, np.zeros(len(o), np.int64)])
+        n = np.concatenate([n_guest, n_owner]).astype(np.int64)
         some = (n > 0) | (ids != labels)
         return pa.table({"id": ids[some], "n": n[some], "label": labels[some]})
 

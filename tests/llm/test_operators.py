@@ -136,14 +136,58 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def _links(df, threshold=0.9):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df, threshold).collect()}
+
+
 def test_embeddings_in_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
+    """Blocks split a cell without any effect."""
     df = spark.read.parquet(f"{SF}/embeddings.parquet").limit(200)
-    monkeypatch.undo()
-    plain = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df, 0.6).collect()}
+    plain = _links(df, 0.6)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 7)
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df, 0.6).collect()} == plain
+    assert _links(df, 0.6) == plain
+
+
+def test_embeddings_in_dozens_of_cells(spark, monkeypatch):
+    """Clusters of copies at many distances over 30 cells: links are found, counted alike from both
+    ends, and none is invented."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(size=(1200, 24)) * rng.uniform(0.05, 0.45, 1200)[:, None]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    near = (cos >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
+    got = _links(df)
+    found = np.array([got[i][0] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.995 * near.sum() and found.sum() % 2 == 0
+    want = brute.components(range(len(x)), list(zip(*np.nonzero(near))))
+    assert sum(got[i][1] == want[i] for i in range(len(x))) >= 0.99 * len(x)
+
+
+def test_margin_finds_partners_at_the_threshold():
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(3000, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    centroids = embedding_dedup.spherical_kmeans(unit, 50)
+    margin = embedding_dedup.margin_for(unit, centroids, 0.9)
+    visits = (unit @ centroids.T >= (unit @ centroids.T).max(1, keepdims=True) - margin).sum(1).mean()
+    assert visits < 25  # it prunes
+    away = rng.normal(size=unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    other = 0.9 * unit + np.sqrt(0.19) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    sx, sy = unit @ centroids.T, other @ centroids.T
+    ox, oy, row = sx.argmax(1), sy.argmax(1), np.arange(len(unit))
+    found = (sx[row, oy] >= sx.max(1) - margin) | (sy[row, ox] >= sy.max(1) - margin)
+    assert found.mean() >= 0.99
+
+
+def test_embeddings_of_several_dimensions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(30)] + [(100, [1.0, 0.1]), (101, [1.0, 0.15]), (102, [-1.0, 0.0])]
+    got = _links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (0, 102)
 
 
 # --- 3 quality rules -----------------------------------------------------------------------------
