@@ -29,17 +29,15 @@ by `remove_repeats` and ignored by `repeat_digest`.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import bounded_batches, bounded_sample, discard, materialize, mix64, released
+from loomwork.llm.blocks import from_blob, store_blocks
+from loomwork.llm.common import bounded_sample, discard, materialize, mix64, released
 from loomwork.llm.ngram_hash import prefix_sums
 
 WINDOW, GRAM = 100, 50
@@ -51,17 +49,6 @@ MAX_SAMPLE = 200_000
 
 
 # --- blocks ------------------------------------------------------------------------------------
-def _to_blob(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def _from_blob(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
 class Block:
     """A block's documents by doc_id, their bytes in one buffer, and their anchors."""
 
@@ -299,44 +286,13 @@ class _Steps:
         return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def _pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def row() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            keys = Block(table, limit=1).key[:: max(1, table.num_rows // 8)][:SAMPLE_KEYS]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_to_blob(table)], pa.binary()), pa.array([keys.view(np.int64)], pa.list_(pa.int64()))], ["block", "blob", "sample"])
-
-        for b in batches:
-            at = 0
-            sizes = [len(t or "") for t in b.column(names.index("text")).to_pylist()]
-            for k, n in enumerate(sizes):
-                size += n
-                if size >= block_bytes:
-                    held.append(b.slice(at, k + 1 - at))
-                    yield row()
-                    number, held, size, at = number + 1, [], 0, k + 1
-            if at < b.num_rows:
-                held.append(b.slice(at))
-        if held:
-            yield row()
-
-    return docs.mapInArrow(released(run), "block long, blob binary, sample array<long>")
+def _sample(table: pa.Table) -> list[int]:
+    return Block(table, limit=1).key[:: max(1, table.num_rows // 8)][:SAMPLE_KEYS].view(np.int64).tolist()
 
 
 def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema, block_bytes: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
-    name = f"loomwork_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # few rows a partition (many small files) must not mean many small blocks
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.coalesce(max(1, ceil(size / (2 * block_bytes))))
-    _pack_blocks(docs, block_bytes).repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks, name = store_blocks(docs, block_bytes, _sample)
     n = blocks.count()
     sampled = [r[0] for r in bounded_sample(blocks.select(F.explode("sample").alias("key")), ["key"], MAX_SAMPLE, n * SAMPLE_KEYS).collect()]
     keys = np.sort(np.array(sampled, np.int64).view(np.uint64))
@@ -347,17 +303,17 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from _ask(number, _Steps(Block(_from_blob(blob)), splitters).anchors(), splitters).to_batches()
+                yield from _ask(number, _Steps(Block(from_blob(blob)), splitters).anchors(), splitters).to_batches()
 
     def later(ask: Callable[[_Steps, pa.Table], tuple]) -> Callable:
         def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-            out = [_ask(number, ask(_Steps(Block(_from_blob(blob)), splitters), answers), splitters) for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist())]
+            out = [_ask(number, ask(_Steps(Block(from_blob(blob)), splitters), answers), splitters) for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist())]
             return pa.concat_tables(out) if out else _ask(0, (np.zeros(0, np.uint64),), np.zeros(0, np.uint64))
 
         return run
 
     def last(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [finish(b := Block(_from_blob(blob)), _Steps(b, splitters).covered(answers)) for blob in own["blob"].to_pylist()]
+        out = [finish(b := Block(from_blob(blob)), _Steps(b, splitters).covered(answers)) for blob in own["blob"].to_pylist()]
         return pa.concat_tables(out) if out else pa.table({})
 
     try:

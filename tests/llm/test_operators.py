@@ -282,6 +282,23 @@ def test_lm_of_empty_and_untrained(empty, spark):
     assert r["held_out"] and r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0.0
 
 
+def test_lm_stretches_carry_the_state(spark):
+    """A long text scored in stretches has the score of one pass over the whole."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (700, 1, 3, 90, 256, 257)] + [""]
+    block = lm_scoring.Block(texts, np.array([True, False, True, True, False, True, True]), 3)
+    model = lm_scoring.Automaton(block, block.local, int(block.n_tokens[block.training].sum()), 8, 5, 7.0)
+    whole = model.score(block, 10_000)
+    for stretch in (1, 2, 3, 100, 256):
+        assert model.score(block, stretch) == pytest.approx(whole, rel=1e-12)
+
+
+def test_lm_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b a b")] * 2 + [(None, None)] * 2, "doc_id long, text string")
+    got = [tuple(r)[:5] for r in lm_scoring.score_texts(df).collect()]
+    assert len(got) == 4 and len(set(got)) == 2
+
+
 def test_packed_keys_round_trip():
     rng = np.random.default_rng(1)
     for keys in (np.zeros(0, np.uint64), np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64), np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))):
