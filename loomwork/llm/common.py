@@ -90,8 +90,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-#: What a Python worker forgets at the end of a task.
-FORGET: list[Callable[[], None]] = []
 _RELEASED = [0.0]
 
 
@@ -100,8 +98,6 @@ def release() -> None:
     what they hold idle is missing there."""
     if time.monotonic() - _RELEASED[0] < 0.5:
         return
-    for forget in FORGET:
-        forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -28,14 +28,15 @@ from __future__ import annotations
 import logging
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import keep_id, map_batches, materialize, shuffle_partitions, bounded_batches
-from loomwork.llm.token_transducer import compiled
+from loomwork.llm.common import bounded_batches, keep_id, map_batches, materialize, released, shuffle_partitions
+from loomwork.llm.token_transducer import compiled, windows
 
 EPSILON, STEP = 0.05, 0.5
 #: The exponent by which a price falls when all of a length is used, and what a configuration may
@@ -50,21 +51,21 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, row, piece, crc, size = b.column(0).to_pylist(), [], [], [], []
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        for i, code in enumerate(compiled(tokenizer_file).codes_of_texts(texts)):
-            code += end
-            for k in range(0, len(code), 4 * capacity):
-                part = code[k : k + 4 * capacity]
-                row.append(ids[i])
-                piece.append(k // (4 * capacity))
-                crc.append(zlib.crc32(part))
-                size.append(len(part) // 4)
-        columns = [pa.array(row, pa.int64()), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return map_batches(keep_id(docs, "doc_id", "text"), run, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in windows(batches, 1):
+            ids, row, piece, crc, size = b.column(0).to_pylist(), [], [], [], []
+            for i, code in enumerate(compiled(tokenizer_file).codes_of_texts(b.column(1).fill_null(""))):
+                code += end
+                for k in range(0, len(code), 4 * capacity):
+                    part = code[k : k + 4 * capacity]
+                    row.append(ids[i])
+                    piece.append(k // (4 * capacity))
+                    crc.append(zlib.crc32(part))
+                    size.append(len(part) // 4)
+            columns = [pa.array(row, pa.int64()), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return keep_id(docs, "doc_id", "text").mapInArrow(released(run), PIECES)
 
 
 def knapsack(prices: np.ndarray, capacity: int, rng: np.random.Generator, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

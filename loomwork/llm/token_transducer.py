@@ -23,32 +23,33 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from loomwork.llm.common import FORGET
-
 END = "</w>"
-#: Words, and characters of words, kept with their finished result, and states kept; a table that
-#: is full starts anew.
-MEMO_WORDS = 120000
-MEMO_CHARS = 1 << 22
-MAX_STATES = 200000
+#: States kept; a table that is full starts anew.
+MAX_STATES = 200_000
 #: So few words of more than as many symbols left are finished one by one.
 FEW = 32
 #: Characters of a chunk; it ends before the next ASCII character, which never combines with one before.
 CHUNK = 1 << 13
+#: Bytes of text whose words are looked up together, and texts whose ids are put together at once.
+WINDOW_BYTES, GATHER = 8 << 20, 400
 _ALL, _SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _ASCII = re.compile(r"[\x00-\x7f]")
 _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The contractions split off, then letters, single digits and the rest.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\n\p{L}\p{N}]+|\n")
 _RUNS = {"l": regex.compile(r"\p{L}+"), "o": regex.compile(r"[^\p{L}\p{N}]+")}
 _HALF = ("'r", "'v", "'l")
+#: Kinds of ASCII characters: 0 letters, 1 digits, 2 line feed, 3 the rest.
+_KIND = np.array([0 if chr(c).isalpha() else 1 if chr(c).isdigit() else 2 if c == 10 else 3 for c in range(128)], np.uint8)
 
 
 def byte_letters() -> list[str]:
@@ -162,46 +163,51 @@ class WordTransducer:
             self.states.append(state)
         return to
 
-    def _make(self, number: int, symbol: int) -> int:
-        """Make a transition; returns its place in the table."""
-        state, trie, token_at = self.states[number], self.trie, self.token_at
+    def _made(self, number: int, symbol: int) -> tuple[int, int, int]:
+        """A transition: next state, change of the count, last token."""
+        state, get, token_at, fits = self.states[number], self.trie.get, self.token_at, self.fits
         chosen, depth, moved = -1, 0, []
         for i in range(0, len(state), 3):  # longest candidate first
-            nxt = trie.get(state[i] << 9 | symbol)
+            nxt = get(state[i] | symbol)
             if nxt is None:
                 continue
             last = state[i + 1]
             moved.append((nxt, last, state[i + 2]))
             if chosen < 0:
                 token = token_at[nxt]
-                if token >= 0 and (last < 0 or self._fit(last, token)):
+                if token >= 0:
+                    if last >= 0:
+                        fit = fits.get(last << 20 | token)
+                        if fit is None:
+                            fit = self._fit(last, token)
+                        if not fit:
+                            continue
                     chosen, depth = token, state[i + 2] + 1
         if chosen < 0:
             raise ValueError(f"the vocabulary cannot spell {symbol & 255:#x}")
-        to = 0
-        if symbol < 256:
-            after: list[int] = []
-            for node, last, d in moved:
-                if self.inner[node]:
-                    after += (node, last, d - depth)
-            to = self._number((*after, 0, chosen, 0))
-        if 2 * self.used >= len(self.key):
-            old = self.key, self.next, self.emit, self.last
-            full = np.flatnonzero(old[0] >= 0)
+        if symbol >= 256:
+            return 0, depth, chosen
+        inner, after = self.inner, []
+        for node, last, d in moved:
+            if inner[node]:
+                after += (node << 9, last, d - depth)
+        after += (0, chosen, 0)
+        return self._number(tuple(after)), depth, chosen
+
+    def _store(self, keys: np.ndarray, made: list[tuple[int, int, int]]) -> None:
+        """Put new transitions into the table, which doubles when it is half full."""
+        while 2 * (self.used + len(keys)) > len(self.key):
+            old, full = (self.key, self.next, self.emit, self.last), np.flatnonzero(self.key >= 0)
             self._allot(self.bits + 1)
             at = self._free(old[0][full])
-            self.key[at], self.next[at], self.emit[at], self.last[at] = (x[full] for x in old)
+            self.next[at], self.emit[at], self.last[at] = (x[full] for x in old[1:])
             self.used = len(full)
-        key, mask = number << 9 | symbol, len(self.key) - 1
-        slot = (key * _SPREAD & _ALL) >> (64 - self.bits)
-        while self.key[slot] >= 0:
-            slot = slot + 1 & mask
-        self.key[slot], self.next[slot], self.emit[slot], self.last[slot] = key, to, depth, chosen
-        self.used += 1
-        return slot
+        at = self._free(keys)
+        self.next[at], self.emit[at], self.last[at] = np.array(made, np.int64).T
+        self.used += len(keys)
 
     def _free(self, keys: np.ndarray) -> np.ndarray:
-        """A free place for each of these keys, none of which is in the table yet."""
+        """A place for each of these keys, none of which was in the table yet."""
         slot, mask = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64), len(self.key) - 1
         todo = np.arange(len(keys))
         while len(todo):
@@ -229,8 +235,8 @@ class WordTransducer:
         slot = self._find(keys)
         missing = slot < 0
         if missing.any():
-            for key in np.unique(keys[missing]).tolist():
-                self._make(key >> 9, key & 511)
+            new = np.unique(keys[missing])
+            self._store(new, [self._made(key >> 9, key & 511) for key in new.tolist()])
             slot = self._find(keys)
         return slot
 
@@ -240,7 +246,8 @@ class WordTransducer:
         slot = (key * _SPREAD & _ALL) >> (64 - self.bits)
         while (here := self.key[slot]) != key:
             if here < 0:
-                return self._make(number, symbol)
+                self._store(np.array([key], np.int64), [self._made(number, symbol)])
+                return int(self._find(np.array([key], np.int64))[0])
             slot = slot + 1 & mask
         return slot
 
@@ -373,29 +380,27 @@ class TextTokenizer:
         self.words = WordTransducer(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.counts: dict[str, int] = {}
-        self.codes: dict[str, bytes] = {}
-        self.kept = 0
 
     # --- normaliser and splitter -------------------------------------------------------------
     def _cut(self, fields: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of all words of the fields, their starts and lengths, and each one's field."""
         data, lengths, owner = [], [], []
         ascii_only = np.fromiter(map(str.isascii, fields), bool, len(fields))
-        for group, pattern in ((np.flatnonzero(ascii_only), _ASCII_PIECES), (np.flatnonzero(~ascii_only), _PIECES)):
+        for group, plain in ((np.flatnonzero(ascii_only), True), (np.flatnonzero(~ascii_only), False)):
             if not len(group):
                 continue
-            joined = "\n".join(map(fields.__getitem__, group.tolist()))
-            if pattern is _PIECES:  # lower case character by character: no final sigma
-                joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
-            joined = joined.lower()
-            found = pattern.findall(joined)
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            joined = self._plain("\n".join(map(fields.__getitem__, group.tolist())))
             raw = np.frombuffer(joined.encode(), np.uint8)
-            if pattern is _PIECES:
+            if plain:
+                starts = _ascii_pieces(raw)
+                size = np.diff(starts, append=len(raw))
+            else:
+                found = _PIECES.findall(joined)
+                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
                 ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[ends]
-            size = np.diff(ends, prepend=0)
-            gap = raw[ends - size] == 10
+                size = np.diff(ends, prepend=0)
+                starts = ends - size
+            gap = raw[starts] == 10
             data.append(raw[np.repeat(~gap, size)])
             lengths.append(size[~gap])
             owner.append(group[np.cumsum(gap)[~gap]])
@@ -409,47 +414,20 @@ class TextTokenizer:
             return [x for x in _SPACES.split(text) if x]
         return text.split()
 
-    def _room(self, known: dict, new: list[str]) -> None:
-        self.kept += sum(map(len, new))
-        if len(known) > MEMO_WORDS or self.kept > MEMO_CHARS:
-            known.clear()
-            self.kept = sum(map(len, new))
-
-    def forget(self) -> None:
-        self.counts.clear()
-        self.codes.clear()
-        self.kept = 0
-        self.words.fits.clear()
-        if len(self.words.states) > MAX_STATES // 2:
-            self.words.reset()
-
-    def learn_counts(self, fields: set[str]) -> None:
-        """Make the counts of these fields known, all in lockstep."""
-        if new := [f for f in fields if f not in self.counts]:
-            self._room(self.counts, new)
-            new = [f for f in fields if f not in self.counts]
-            data, starts, lengths, owner = self._cut(new)
-            n = np.bincount(owner, self.words.run(data, starts, lengths, False)[0], len(new))
-            self.counts.update(zip(new, n.astype(np.int64).tolist()))
-
-    def learn_codes(self, fields: set[str]) -> None:
-        if new := [f for f in fields if f not in self.codes]:
-            self._room(self.codes, new)
-            new = [f for f in fields if f not in self.codes]
-            data, starts, lengths, owner = self._cut(new)
-            counts, tokens, mark = self.words.run(data, starts, lengths, True)
-            order = np.argsort(owner, kind="stable")  # the words of a field stand together and in order
-            per = np.bincount(owner, counts, len(new)).astype(np.int64)
-            if not np.array_equal(order, np.arange(len(order))):
-                begin = np.cumsum(counts) - counts
-                flat = tokens[mark]
-                pick = np.repeat(begin[order] - (np.cumsum(counts[order]) - counts[order]), counts[order]) + np.arange(len(flat))
-                flat = flat[pick]
-            else:
-                flat = tokens[mark]
-            raw = flat.astype("<u4").tobytes()
-            stop = (np.cumsum(per) * 4).tolist()
-            self.codes.update(zip(new, [raw[a:b] for a, b in zip([0, *stop], stop)]))
+    def word_counts(self, fields: list[str]) -> np.ndarray:
+        """The number of tokens of each field, all in lockstep."""
+        data, starts, lengths, owner = self._cut(fields)
+        return np.bincount(owner, self.words.run(data, starts, lengths, False)[0], len(fields)).astype(np.int64)
+
+    def word_ids(self, fields: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of tokens of each field, and all ids in the fields' order."""
+        data, starts, lengths, owner = self._cut(fields)
+        counts, tokens, mark = self.words.run(data, starts, lengths, True)
+        order, flat = np.argsort(owner, kind="stable"), tokens[mark]  # the words of a field stand together and in order
+        if len(order) and (np.diff(order) != 1).any():
+            begin, per = np.cumsum(counts) - counts, counts[order]
+            flat = flat[np.repeat(begin[order] - (np.cumsum(per) - per), per) + np.arange(len(flat))]
+        return np.bincount(owner, counts, len(fields)).astype(np.int64), flat.astype("<u4")
 
     # --- chunk maps --------------------------------------------------------------------------
     def _plain(self, text: str) -> str:
@@ -541,25 +519,47 @@ class TextTokenizer:
     def _parts(self, text: str) -> list[str]:
         return self._special.split(text) if "<|" in text else [text]
 
-    def count_texts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+    def _words_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Texts as places among their distinct words (an empty one may be among them): where each
+        text begins and ends, all places, and the words."""
+        lists = pc.utf8_split_whitespace(texts)
+        encoded = lists.flatten().dictionary_encode()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+
+    def _plain_ones(self, texts: pa.Array, longest: int | None) -> np.ndarray:
+        """Which texts hold no special token, no character that is white space for the splitter's
+        library alone, and at most so many characters."""
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\x1c-\x1f]"))
+        if longest is not None:
+            odd = pc.or_(odd, pc.greater(pc.utf8_length(texts), longest))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def count_texts(self, texts: list[str] | pa.Array, chunk: int = CHUNK) -> list[int]:
         """Tokens of each text: the state maps of its chunks, then one scan over them. A text of
         one chunk has whole words only."""
-        whole, cut, fields, n = [], [], set(), [0] * len(texts)
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        plain = self._plain_ones(column, chunk)
+        n = np.zeros(len(column), np.int64)
+        starts, places, words = self._words_of(column.filter(pa.array(plain)))
+        sums = np.concatenate([[0], np.cumsum(self.word_counts(words)[places])]) if len(words) else np.zeros(1, np.int64)
+        n[plain] = sums[starts[1:]] - sums[starts[:-1]]
+        rest = np.flatnonzero(~plain)
+        n[rest] = self._count_odd(column.take(pa.array(rest)).to_pylist(), chunk)
+        return n.tolist()
+
+    def _count_odd(self, texts: list[str], chunk: int) -> list[int]:
+        cut, fields, n = [], set(), [0] * len(texts)
         for i, text in enumerate(texts):
             for part in self._parts(text):
                 if part in self.special:
                     n[i] += 1
-                elif len(part) <= chunk:
-                    whole.append((i, own := self._fields(part)))
-                    fields.update(own)
-                else:
+                elif part:
                     cut.append((i, chunks := [self._sides(c) for c in self._cuts(part, chunk)]))
                     for _, inner, _, _ in chunks:
                         fields.update(inner)
-        self.learn_counts(fields)
-        known = self.counts.__getitem__
-        for i, own in whole:
-            n[i] += sum(map(known, own))
+        inner_words = list(fields)
+        known = dict(zip(inner_words, self.word_counts(inner_words).tolist())).__getitem__
         for i, chunks in cut:
             maps = []
             for head, inner, tail, open_ in chunks:
@@ -570,18 +570,70 @@ class TextTokenizer:
             n[i] += more + self.complete(place) + (0 if total.open else total.count + self.complete(total.exit))
         return n
 
-    def codes_of_texts(self, texts: list[str]) -> list[bytes]:
+    def codes_of_texts(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        plain = self._plain_ones(column, None)
+        out: list[bytes] = [b""] * len(column)
+        starts, places, words = self._words_of(column.filter(pa.array(plain)))
+        if len(words):
+            size, ids = self.word_ids(words)
+            begin, per = (np.cumsum(size) - size)[places], size[places]
+            stops = np.concatenate([[0], np.cumsum(per)])
+            edge = stops[starts]
+            rows = np.flatnonzero(plain)
+            for k in range(0, len(rows), GATHER):  # a part of the texts at a time
+                a, b = int(starts[k]), int(starts[min(k + GATHER, len(rows))])
+                flat = ids[np.repeat(begin[a:b] - (stops[a:b] - stops[a]), per[a:b]) + np.arange(int(stops[b] - stops[a]))].tobytes()
+                cut = (4 * (edge[k : k + GATHER + 1] - stops[a])).tolist()
+                for i, x, y in zip(rows[k : k + GATHER].tolist(), cut, cut[1:]):
+                    out[i] = flat[x:y]
+        rest = np.flatnonzero(~plain).tolist()
+        for i, code in zip(rest, self._codes_odd(column.take(pa.array(rest, pa.int64())).to_pylist())):
+            out[i] = code
+        return out
+
+    def _codes_odd(self, texts: list[str]) -> list[bytes]:
         parts = [[(p, None if p in self.special else self._fields(p)) for p in self._parts(t)] for t in texts]
-        self.learn_codes({f for text in parts for _, fields in text for f in fields or ()})
-        known = self.codes
+        words = list({f for text in parts for _, fields in text for f in fields or ()})
+        size, ids = self.word_ids(words)
+        raw, stop = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+        known = {w: raw[a:b] for w, a, b in zip(words, [0, *stop], stop)}
         return [b"".join(b"".join(map(known.__getitem__, fields)) if fields is not None else self.special[p].to_bytes(4, "little") for p, fields in text) for text in parts]
 
 
+def _ascii_pieces(raw: np.ndarray) -> np.ndarray:
+    """Where the pieces of lower-case ASCII text begin: as _PIECES would split it."""
+    kind = _KIND[raw]
+    begins = np.ones(len(raw), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1) | (kind[1:] == 2)
+    at = np.flatnonzero(begins & (raw == 39))
+    padded = np.concatenate([raw, np.zeros(2, np.uint8)])
+    one, two = padded[at + 1], padded[at + 2]
+    short = at[np.isin(one, np.frombuffer(b"stmd", np.uint8))]
+    long_ = at[((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)]  # re, ve, ll
+    for place, size in ((short, 2), (long_, 3)):
+        begins[place + 1] = False
+        after = place + size
+        begins[after[after < len(raw)]] = True
+    return np.flatnonzero(begins)
+
+
 @lru_cache(maxsize=4)
 def compiled(path: str) -> TextTokenizer:
-    """The compiled tokenizer of a file, once per Python process; between tasks it keeps the
-    vocabulary and, up to half a table, its states."""
-    found = TextTokenizer(path)
-    FORGET.append(found.forget)
-    return found
+    """The compiled tokenizer of a file, once per Python process; it keeps vocabulary and states."""
+    return TextTokenizer(path)
+
+
+def windows(batches: Iterator[pa.RecordBatch], column: int, size: int = WINDOW_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to so many bytes of text: a word costs once per window."""
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, GATHER):
+            held.append(b.slice(at, GATHER))
+            n += pc.sum(pc.binary_length(held[-1].column(column))).as_py() or 0
+            if n >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

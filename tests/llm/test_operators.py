@@ -60,9 +60,8 @@ def test_chunk_maps_compose_in_any_order(library):
     assert "".join(cuts) == text and len(cuts) > 60
     maps = []
     for head, inner, tail, open_ in map(t._sides, cuts):
-        t.learn_counts(set(inner))
         place, more = t._through(token_transducer.START, tail)
-        maps.append(token_transducer.ChunkMap(head, more + sum(t.counts[f] for f in inner), place, open_))
+        maps.append(token_transducer.ChunkMap(head, more + int(t.word_counts(inner).sum()), place, open_))
     left, right = maps[0], maps[-1]
     for m in maps[1:]:
         left = t.compose(left, m)
@@ -88,8 +87,6 @@ def test_long_words_between_resets(monkeypatch, library):
     words = ["".join(rng.choice("abcdeéß") for _ in range(n)) for n in (900, 700, 333, 90, 50, 3)]
     text = " ".join(words * 2)
     t = compiled(WORDS)
-    t.counts.clear()
-    t.codes.clear()
     t.words.reset()
     want = library.encode(text, add_special_tokens=False).ids
     assert t.count_texts([text]) == [len(want)] == t.count_texts([text], 40)
@@ -107,7 +104,6 @@ def test_tables_start_anew(monkeypatch, library):
     from loomwork.llm import token_transducer as tt
 
     t = compiled(WORDS)
-    monkeypatch.setattr(tt, "MEMO_WORDS", 3)
     monkeypatch.setattr(tt, "MAX_STATES", 5)
     texts = ["alpha beta gamma delta", "beta epsilon zeta eta theta", "alpha iota"] * 2
     assert [t.count_texts([x])[0] for x in texts] == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
