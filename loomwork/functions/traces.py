@@ -11,13 +11,39 @@ from pyspark.sql import functions as F
 
 
 # --- intervals -----------------------------------------------------------------------------------
+TIME_BUCKETS = 64
+
+
+def _beside(df: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Facts joined to each row; null keys meet null keys."""
+    other = facts.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(on)})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(on)])
+    return df.join(other, same, "left").drop(*[f"__k{i}" for i in range(len(on))])
+
+
+def _in_time_buckets(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """Adds __b: which part of its key's time a row lies in, so that the rows of one key, however
+    many, are ordered part by part; what crosses the border is carried over in a row per part."""
+    lo, hi = F.min(time).alias("__lo"), F.max(time).alias("__hi")
+    if keys:
+        wide = _beside(df, df.groupBy(*keys).agg(lo, hi), keys)
+    else:
+        wide = df.withColumn("__lo", df.agg(lo).scalar()).withColumn("__hi", df.agg(hi).scalar())
+    part = F.floor((F.col(time) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * TIME_BUCKETS)
+    bucket = F.when(F.col("__hi") > F.col("__lo"), F.least(part, F.lit(TIME_BUCKETS - 1))).otherwise(F.lit(0))
+    return wide.withColumn("__b", F.coalesce(bucket, F.lit(0)).cast("int")).drop("__lo", "__hi")
+
+
 def interval_union(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(keys, seconds): length of the union of each key's intervals. What an interval adds is what
     lies beyond the furthest end so far."""
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(end).over(w)
+    parts = _in_time_buckets(spans, keys, start)
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = parts.groupBy(*keys, "__b").agg(F.max(end).alias("__top")).withColumn("__carry", F.max("__top").over(earlier)).drop("__top")
+    w = Window.partitionBy(*keys, "__b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest(F.max(end).over(w), F.col("__carry"))
     added = F.greatest(F.lit(0.0), F.col(end) - F.greatest(F.col(start), F.coalesce(before, F.col(start))))
-    return spans.withColumn("__add", added).groupBy(*keys).agg(F.sum("__add").alias("seconds"))
+    return _beside(parts, tops, [*keys, "__b"]).withColumn("__add", added).groupBy(*keys).agg(F.sum("__add").alias("seconds"))
 
 
 def overlap(spans: DataFrame, keys: list[str], kind: str = "kind", a: str = "model", b: str = "tool") -> DataFrame:
@@ -42,8 +68,13 @@ def live_buffers(buffers: DataFrame, keys: list[str]) -> DataFrame:
     times releases come first."""
     born = buffers.select(*keys, F.col("created").alias("t"), F.lit(1).alias("o"), F.col("bytes").alias("d"))
     gone = buffers.where("released is not null").select(*keys, F.col("released").alias("t"), F.lit(0).alias("o"), (-F.col("bytes")).alias("d"))
-    w = Window.partitionBy(*keys).orderBy("t", "o", "d")
-    moves = born.unionByName(gone).withColumn("live", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("dt", F.lead("t").over(w) - F.col("t"))
+    parts = _in_time_buckets(born.unionByName(gone), keys, "t")
+    order = Window.partitionBy(*keys).orderBy("__b")
+    sums = parts.groupBy(*keys, "__b").agg(F.sum("d").alias("__d"), F.min("t").alias("__t"))
+    sums = sums.select(*keys, "__b", F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"), F.lead("__t").over(order).alias("__next"))
+    w = Window.partitionBy(*keys, "__b").orderBy("t", "o", "d")
+    live = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__carry", F.lit(0))
+    moves = _beside(parts, sums, [*keys, "__b"]).withColumn("live", live).withColumn("dt", F.coalesce(F.lead("t").over(w), F.col("__next")) - F.col("t"))
     return moves.groupBy(*keys).agg(F.greatest(F.max("live"), F.lit(0)).alias("peak"), F.sum(F.col("live") * F.coalesce("dt", F.lit(0))).alias("byte_time"), F.sum("d").alias("unreleased"))
 
 

@@ -92,6 +92,12 @@ def text_retrieve(inputs: dict, params: dict, name: str) -> dict:
     return {"ids": Value(ranked, Type("RankedIDSet", item=meta.get("id_type"), domain=index.type.domain, revision=index.type.revision, metadata={"id_field": "id"}))}
 
 
+def _starts(lengths: Column) -> Column:
+    """Running sums of an array from 0 on, within the row: no shuffle brings pieces together again."""
+    zero = F.array(F.lit(0))
+    return F.aggregate(lengths, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+
 def token_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
     """(id, chunk_no, start_char, end_char, text) of windows of size words with overlap; offsets
     are code points in the document."""
@@ -101,10 +107,10 @@ def token_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overla
     count = F.when(F.col("n") <= size, F.lit(1)).otherwise(F.ceil((F.col("n") - overlap) / F.lit(float(step))).cast("int"))
     joined = lambda at, n: F.array_join(F.slice("w", at + 1, n), "")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(joined(k * step, size).alias("raw"), F.length(joined(k * step, step)).alias("stride")))
-    rows = base.select("id", F.posexplode(cut).alias("chunk_no", "c"))
     # a document's chunks follow each other: their starts are a running sum of the strides
-    before = Window.partitionBy("id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.select("id", "chunk_no", F.coalesce(F.sum("c.stride").over(before), F.lit(0)).cast("int").alias("at"), F.col("c.raw").alias("raw"))
+    chunks = base.select("id", cut.alias("c")).select("id", "c", _starts(F.transform("c", lambda c: c["stride"])).alias("at"))
+    rows = chunks.select("id", F.posexplode(F.zip_with("c", F.slice("at", F.lit(1), F.size("c")), lambda c, at: F.struct(c["raw"].alias("raw"), at.alias("at")))).alias("chunk_no", "c"))
+    placed = rows.select("id", "chunk_no", "c.at", "c.raw")
     text = F.regexp_replace("raw", r"^\s+", "")
     start = F.col("at") + F.length("raw") - F.length(text)
     return placed.select("id", "chunk_no", start.alias("start_char"), (F.col("at") + F.length("raw")).alias("end_char"), text.alias("text"))
@@ -113,10 +119,9 @@ def token_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overla
 def sections(docs: DataFrame, id_col: str, text_col: str, header: str = r"\n\s*\n") -> DataFrame:
     """(id, chunk_no, start_char, end_char, text): texts cut at blank lines, offsets kept."""
     parts = F.split(F.coalesce(quoted(text_col), F.lit("")), f"(?={header})")
-    e = docs.select(quoted(id_col).alias("id"), F.posexplode(parts).alias("chunk_no", "text"))
-    w = Window.partitionBy("id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("int")
-    return e.select("id", "chunk_no", start.alias("start_char"), (start + F.length("text")).alias("end_char"), "text")
+    cut = docs.select(quoted(id_col).alias("id"), parts.alias("p")).select("id", "p", _starts(F.transform("p", F.length)).alias("at"))
+    e = cut.select("id", F.posexplode(F.zip_with("p", F.slice("at", F.lit(1), F.size("p")), lambda p, at: F.struct(p.alias("text"), at.alias("at")))).alias("chunk_no", "c"))
+    return e.select("id", "chunk_no", F.col("c.at").alias("start_char"), (F.col("c.at") + F.length("c.text")).alias("end_char"), F.col("c.text").alias("text"))
 
 
 @implements("split_documents", "section", "token_window")
