@@ -197,9 +197,15 @@ def decide_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     records = keep_id(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = records.where((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"))
-    known = records.join(first, "digest", "left")
-    return known.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    long_ = F.octet_length("payload") >= MIN_REVISIT
+    # digests come from a scan of their own, so payloads stay out of this aggregate's shuffle
+    first = records.where(long_ & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # short payloads are never revisits; of the long ones only those of repeated digests can meet
+    # anything, and a digest that very many pages share is split by the adaptive skew join
+    known = records.where(long_).join(first, "digest", "left").select(*records.columns, "first")
+    other = records.where(~long_).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    rows = known.unionByName(other)
+    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
