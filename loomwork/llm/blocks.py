@@ -26,7 +26,7 @@ def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table], list[int]]) -> DataFrame:
+def pack_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table], list[bytes]]) -> DataFrame:
     """(block, blob, sample): consecutive rows up to block_bytes of text (or one longer text)."""
     names = docs.columns
 
@@ -35,7 +35,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table],
 
         def row() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([to_blob(table)], pa.binary()), pa.array([sample(table)], pa.list_(pa.int64()))], ["block", "blob", "sample"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([to_blob(table)], pa.binary()), pa.array([sample(table)], pa.list_(pa.binary()))], ["block", "blob", "sample"])
 
         for b in batches:
             at = 0
@@ -51,10 +51,10 @@ def pack_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table],
         if held:
             yield row()
 
-    return docs.mapInArrow(released(run), "block long, blob binary, sample array<long>")
+    return docs.mapInArrow(released(run), "block long, blob binary, sample array<binary>")
 
 
-def store_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table], list[int]] = lambda table: []) -> tuple[DataFrame, str]:
+def store_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table], list[bytes]] = lambda table: []) -> tuple[DataFrame, str]:
     """The blocks of the documents as a table bucketed by block, and the table's name, which whoever
     asks for it drops. Few rows a partition (many small files) do not mean many small blocks."""
     spark = docs.sparkSession

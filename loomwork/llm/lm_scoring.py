@@ -154,13 +154,14 @@ class Automaton:
 
     def __init__(self, block: Block, totals: list[np.ndarray], n: int, v: int, texts: int, mu: float):
         order, places = block.order, block.places
-        first = [np.zeros(len(k), np.int64) for k in block.keys]
+        first = [np.zeros(len(t), np.int64) for t in totals]
         for k in range(order):
             first[k][places[k]] = np.arange(len(places[k]))
-        offset = np.cumsum([2] + [len(block.keys[k]) for k in range(order - 1)])
+        sizes = [len(t) for t in totals]
+        offset = np.cumsum([2, *sizes[: order - 1]])
         self.offset = offset
         self.words = places[0]
-        self.n_words = len(block.keys[0])
+        self.n_words = sizes[0]
         #: single words: weight from the empty context, and the state they lead to
         self.weight = np.log10((totals[0] + 1) / float(n + v + 1))
         some = (totals[0] > 0) & (order > 1)
@@ -169,7 +170,7 @@ class Automaton:
         count = np.zeros(int(offset[-1]), np.int64)
         count[1] = texts
         for k in range(order - 1):
-            states = offset[k] + np.arange(len(block.keys[k]))
+            states = offset[k] + np.arange(sizes[k])
             count[states] = totals[k]
             if k:
                 self.fail[states] = offset[k - 1] + places[k - 1][first[k]]
@@ -346,6 +347,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes
             for blob in own["blob"].to_pylist():
                 table, block = _block_of(blob, order)
                 totals = _totals(block, told, order)[0]
+                block.keys = block.local = None  # no longer needed, and large
                 model = Automaton(block, totals, n, v, texts, mu)
                 scored = model.score(block)
                 per_text = lambda x: np.bincount(block.text_of, x, len(table))  # noqa: B023, E731

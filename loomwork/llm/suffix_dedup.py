@@ -7,18 +7,19 @@ anchor at the same place, so only strings whose anchors are equal need comparing
 about WINDOW / 4 times fewer anchors than suffixes.
 
 Documents are packed into blocks of about BLOCK_BYTES, stored once and bucketed by block, so that
-later passes read them without a shuffle. Keys begin with a suffix's leading bytes, followed by a
-hash; splitters sampled from the blocks range-partition them among owners, who sort what they get
-by multikey quicksort (first word, then the next one within runs of equal words) and answer each
-block with bits in the order asked:
+later passes read them without a shuffle. A suffix's keys are its leading bytes, LEAD of them as one
+word, and then a hash of the bytes it is compared on, which orders suffixes of equal leading bytes.
+Splitters sampled from the blocks range-partition the suffixes by these words among owners, who sort
+what they get by multikey quicksort (leading bytes first, then the next word within runs of equal
+ones) and answer each block with bits in the order asked:
   1. anchors: does the anchor's suffix occur elsewhere?
   2. of those, contexts (all bytes of the strings that share the anchor): is there an earlier
      suffix with the same context, so that all of its strings are repeats, and are there other
      contexts of the same anchor?
   3. of anchors with several contexts, the earliest suffix of each context: every string by itself.
 A block sends a key once however often it holds it, so a passage that very many documents share
-reaches an owner once per block. Equal keys never straddle a boundary, since splitters are keys;
-the exact order of ties is (doc_id, position, block).
+reaches an owner once per block. Equal keys never straddle a boundary, since splitters are keys, so
+neighbours on either side of one differ; the exact order of ties is (doc_id, position, block).
 
 Defined cases: null and empty texts and those under WINDOW bytes lose nothing; rows with a null
 doc_id are left whole and nothing is compared with them; of repeated rows one keeps its text and
@@ -40,7 +41,7 @@ from loomwork.llm.blocks import from_blob, store_blocks
 from loomwork.llm.common import bounded_sample, discard, materialize, mix64, released
 from loomwork.llm.ngram_hash import prefix_sums
 
-WINDOW, GRAM = 100, 50
+WINDOW, GRAM, LEAD = 100, 50, 8
 REACH = WINDOW - GRAM + 1  # suffix anchors in a window
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
@@ -68,13 +69,13 @@ class Block:
             at = stop
             if limit is not None and size >= limit:
                 break
-        #: anchors in order: place of the suffix, first and last string, key, context hash
-        self.place, self.first, self.last, self.key, self.context = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        #: anchors in order: place of the suffix, first and last string, leading bytes, key, context hash
+        self.place, self.first, self.last, self.lead, self.key, self.context = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
 
     def _anchors(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
         raw = np.frombuffer(b"".join(self.texts[lo:hi]), np.uint8)
         base, n = self.starts[lo], len(raw)
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
         if n < WINDOW:
             return none
         sums, down = prefix_sums(raw)
@@ -99,29 +100,25 @@ class Block:
         head = np.flatnonzero(new)
         place, first = at[head], string[head]
         last = string[np.append(head[1:], len(at)) - 1]
-        lead = raw[place].astype(np.uint64) << np.uint64(8) | raw[place + 1]
-        key = lead << np.uint64(48) | grams[place] >> np.uint64(16)
         shape = ((place - first) * 64 + (last - first)).astype(np.uint64)
         context = mix64((sums[last + WINDOW] - sums[first]) * down[first] + shape * np.uint64(0xC2B2AE3D27D4EB4F))
-        return place + base, first + base, last + base, key, context
+        return place + base, first + base, last + base, _leading(raw, place), grams[place], context
 
-    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key and second hash of the strings that start at these (sorted) places."""
-        keys, more = [], []
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leading bytes and two hashes of the strings that start at these (sorted) places."""
+        out: list[list[np.ndarray]] = [[], [], []]
         raw = np.frombuffer(b"".join(self.texts), np.uint8)
         for k in range(0, len(raw), SLICE_BYTES):
             here = at[np.searchsorted(at, k) : np.searchsorted(at, k + SLICE_BYTES)] - k
             if not len(here):
                 continue
             part = raw[k : k + SLICE_BYTES + WINDOW]
-            sums, down = prefix_sums(part)
-            h = mix64((sums[here + WINDOW] - sums[here]) * down[here])
-            lead = part[here].astype(np.uint64) << np.uint64(8) | part[here + 1]
-            keys.append(lead << np.uint64(48) | h >> np.uint64(16))
-            sums, down = prefix_sums(part ^ np.uint8(0x5A))
-            more.append(mix64((sums[here + WINDOW] - sums[here]) * down[here] + np.uint64(1)))
-        empty = [np.zeros(0, np.uint64)]
-        return np.concatenate(keys or empty), np.concatenate(more or empty)
+            out[0].append(_leading(part, here))
+            for column, mask, salt in ((1, 0, 0), (2, 0x5A, 1)):
+                sums, down = prefix_sums(part ^ np.uint8(mask))
+                out[column].append(mix64((sums[here + WINDOW] - sums[here]) * down[here] + np.uint64(salt)))
+        lead, key, more = (np.concatenate(c or [np.zeros(0, np.uint64)]) for c in out)
+        return lead, key, more
 
     def origin(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """doc_id and position within the document of places in the buffer."""
@@ -131,6 +128,14 @@ class Block:
         return ids[doc] if len(ids) else doc, at - self.starts[doc] if len(ids) else at
 
 
+def _leading(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LEAD bytes from each place on as one number, whose order is that of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(LEAD):
+        out = out << np.uint64(8) | raw[at + k]
+    return out
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of width values, from running minima within aligned pieces."""
     n = len(x) - width + 1
@@ -166,9 +171,17 @@ ASKED = "owner int, block long, data binary"
 ANSWERED = "block long, step int, owner int, bits binary"
 
 
+def _cuts(columns: tuple[np.ndarray, ...], splitters: np.ndarray) -> np.ndarray:
+    """Where the owners' runs begin and end among suffixes sorted by their first two words."""
+    lead, key = columns[0], columns[1]
+    low, high = np.searchsorted(lead, splitters[:, 0], side="left"), np.searchsorted(lead, splitters[:, 0], side="right")
+    at = [a + int(np.searchsorted(key[a:b], k, side="left")) for a, b, k in zip(low.tolist(), high.tolist(), splitters[:, 1])]
+    return np.array([0, *at, len(lead)], np.int64)
+
+
 def _ask(block: int, columns: tuple[np.ndarray, ...], splitters: np.ndarray) -> pa.Table:
     """Rows for the owners: the columns' runs, one after the other, as raw bytes."""
-    cut = np.concatenate([[0], np.searchsorted(columns[0], splitters, side="left"), [len(columns[0])]])
+    cut = _cuts(columns, splitters)
     rows = [(o, b"".join([np.array([b - a], "<i8").tobytes(), *(c[a:b].tobytes() for c in columns)])) for o, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
     return pa.table({"owner": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -201,7 +214,7 @@ def _answer(asked: DataFrame, step: int, kinds: tuple[str, ...], judge: Callable
 
 def _told(answers: pa.Table, step: int, columns: tuple[np.ndarray, ...], splitters: np.ndarray, width: int) -> list[np.ndarray]:
     """The answers to what _ask sent, in its order."""
-    cut = np.concatenate([[0], np.searchsorted(columns[0], splitters, side="left"), [len(columns[0])]])
+    cut = _cuts(columns, splitters)
     out = [np.zeros(len(columns[0]), bool) for _ in range(width)]
     for s, owner, bits in zip(*(answers[c].to_pylist() for c in ("step", "owner", "bits"))):
         if s == step:
@@ -213,28 +226,41 @@ def _told(answers: pa.Table, step: int, columns: tuple[np.ndarray, ...], splitte
     return out
 
 
-def _judge_anchors(keys: np.ndarray, several: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
-    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = (n > 1) | (np.bincount(inverse, several) > 0)
-    return [twice[inverse]]
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which of sorted rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
 
+def _judge_anchors(lead: np.ndarray, key: np.ndarray, several: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
+    order = multikey_sort([lead, key])
+    run = np.cumsum(_new(lead[order], key[order])) - 1
+    twice = (np.bincount(run) > 1) | (np.bincount(run, several[order]) > 0)
+    out = np.zeros(len(key), bool)
+    out[order] = twice[run]
+    return [out]
 
-def _judge_contexts(keys: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
-    order = multikey_sort([keys, context, doc, place, block])
-    k, c = keys[order], context[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new = new_key | np.concatenate([[True], c[1:] != c[:-1]])
-    contexts = np.bincount(np.cumsum(new_key) - 1, new)
-    repeat, open_ = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+
+def _judge_contexts(lead: np.ndarray, key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
+    order = multikey_sort([lead, key, context, doc, place, block])
+    lead, key, context = lead[order], key[order], context[order]
+    new_key, new = _new(lead, key), _new(lead, key, context)
+    run = np.cumsum(new_key) - 1
+    contexts = np.bincount(run, new)
+    repeat, open_ = np.zeros(len(key), bool), np.zeros(len(key), bool)
     repeat[order] = ~new
-    open_[order] = new & (contexts[np.cumsum(new_key) - 1] > 1)
+    open_[order] = new & (contexts[run] > 1)
     return [repeat, open_]
 
 
-def _judge_strings(keys: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
-    order = multikey_sort([keys, more, doc, place, block])
-    repeat = np.zeros(len(keys), bool)
-    repeat[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (more[order][1:] == more[order][:-1])
+def _judge_strings(lead: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, block: np.ndarray) -> list[np.ndarray]:
+    order = multikey_sort([lead, key, more, doc, place, block])
+    repeat = np.zeros(len(key), bool)
+    repeat[order] = ~_new(lead[order], key[order], more[order])
     return [repeat]
 
 
@@ -245,19 +271,24 @@ class _Steps:
         self.block, self.splitters = block, splitters
 
     def anchors(self) -> tuple[np.ndarray, ...]:
-        self.keys, self.inverse, n = np.unique(self.block.key, return_inverse=True, return_counts=True)
-        return self.keys, (n > 1).astype("u1")
+        b = self.block
+        order = multikey_sort([b.lead, b.key])
+        new = _new(b.lead[order], b.key[order])
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        n = np.bincount(self.inverse)
+        return b.lead[order[new]], b.key[order[new]], (n > 1).astype("u1")
 
     def contexts(self, answers: pa.Table) -> tuple[np.ndarray, ...]:
         twice = _told(answers, 1, self.anchors(), self.splitters, 1)[0]
         self.shared = np.flatnonzero(twice[self.inverse])  # anchors, in order of place
         b = self.block
-        key, context = b.key[self.shared], b.context[self.shared]
-        order = multikey_sort([key, context])  # stable: the earliest of equal ones comes first
-        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])])[: len(order)]
+        lead, key, context = b.lead[self.shared], b.key[self.shared], b.context[self.shared]
+        order = multikey_sort([lead, key, context])  # stable: the earliest of equal ones comes first
+        new = _new(lead[order], key[order], context[order])
         self.heads = self.shared[order[new]]
         self.repeats = [self.shared[order[~new]]]
-        return (b.key[self.heads], b.context[self.heads], *b.origin(b.place[self.heads]))
+        return (b.lead[self.heads], b.key[self.heads], b.context[self.heads], *b.origin(b.place[self.heads]))
 
     def strings(self, answers: pa.Table) -> tuple[np.ndarray, ...]:
         asked = self.contexts(answers)
@@ -266,13 +297,12 @@ class _Steps:
         b, at = self.block, np.sort(self.heads[open_])
         count = b.last[at] - b.first[at] + 1
         place = np.repeat(b.first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        key, more = b.strings(place)
-        order = multikey_sort([key, more])
-        k, m = key[order], more[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])[: len(order)]
+        lead, key, more = b.strings(place)
+        order = multikey_sort([lead, key, more])
+        new = _new(lead[order], key[order], more[order])
         self.heads = place[order[new]]
         self.again = place[order[~new]]
-        return (k[new], m[new], *b.origin(self.heads))
+        return (lead[order[new]], key[order[new]], more[order[new]], *b.origin(self.heads))
 
     def covered(self, answers: pa.Table) -> np.ndarray:
         """Which bytes of the buffer go."""
@@ -286,8 +316,11 @@ class _Steps:
         return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def _sample(table: pa.Table) -> list[int]:
-    return Block(table, limit=1).key[:: max(1, table.num_rows // 8)][:SAMPLE_KEYS].view(np.int64).tolist()
+def _sample(table: pa.Table) -> list[bytes]:
+    """Keys of a few suffixes of the table, as bytes."""
+    own = Block(table, limit=1)
+    words = np.stack([own.lead, own.key], axis=1).astype(">u8")
+    return [w.tobytes() for w in words[:: max(1, table.num_rows // 8)][:SAMPLE_KEYS]]
 
 
 def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema, block_bytes: int) -> DataFrame:
@@ -295,9 +328,9 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     blocks, name = store_blocks(docs, block_bytes, _sample)
     n = blocks.count()
     sampled = [r[0] for r in bounded_sample(blocks.select(F.explode("sample").alias("key")), ["key"], MAX_SAMPLE, n * SAMPLE_KEYS).collect()]
-    keys = np.sort(np.array(sampled, np.int64).view(np.uint64))
-    owners = max(1, n)
-    splitters = np.unique(keys[np.arange(1, owners) * len(keys) // owners]) if len(keys) else np.zeros(0, np.uint64)
+    keys, owners = sorted(map(bytes, sampled)), max(1, n)
+    chosen = sorted({keys[i * len(keys) // owners] for i in range(1, owners)}) if keys else []
+    splitters = np.frombuffer(b"".join(chosen), ">u8").astype(np.uint64).reshape(-1, 2)
     blocks = blocks.select("block", "blob")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +341,7 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     def later(ask: Callable[[_Steps, pa.Table], tuple]) -> Callable:
         def run(own: pa.Table, answers: pa.Table) -> pa.Table:
             out = [_ask(number, ask(_Steps(Block(from_blob(blob)), splitters), answers), splitters) for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist())]
-            return pa.concat_tables(out) if out else _ask(0, (np.zeros(0, np.uint64),), np.zeros(0, np.uint64))
+            return pa.concat_tables(out) if out else _ask(0, (np.zeros(0, np.uint64),) * 2, np.zeros((0, 2), np.uint64))
 
         return run
 
@@ -328,10 +361,10 @@ def _rounds(blocks: DataFrame, first: Callable, later: Callable, last: Callable,
     def meet(answers: DataFrame, f: Callable, out) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(released(f), out)
 
-    a = materialize(_answer(blocks.mapInArrow(released(first), ASKED), 1, ("<u8", "u1"), _judge_anchors), "anchors")
-    b = materialize(_answer(meet(a, later(_Steps.contexts), ASKED), 2, ("<u8", "<u8", "<i8", "<i8"), _judge_contexts), "contexts")
+    a = materialize(_answer(blocks.mapInArrow(released(first), ASKED), 1, ("<u8", "<u8", "u1"), _judge_anchors), "anchors")
+    b = materialize(_answer(meet(a, later(_Steps.contexts), ASKED), 2, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_contexts), "contexts")
     ab = a.unionByName(b)
-    c = materialize(_answer(meet(ab, later(_Steps.strings), ASKED), 3, ("<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")
+    c = materialize(_answer(meet(ab, later(_Steps.strings), ASKED), 3, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")
     result = materialize(meet(ab.unionByName(c), last, schema), "kept")
     discard(a, b, c)
     return result
