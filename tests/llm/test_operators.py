@@ -622,3 +622,76 @@ def test_pii_of_repeated_rows_and_many_spans(spark):
     df = spark.createDataFrame([(1, text)] * 2 + [(2, "a@b.cd")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_ip"], r["n_email"], r["n_spans"]) for r in pii.pii_digest(df).collect())
     assert got == [(1, 3000, 0, 3000)] * 2 + [(2, 0, 1, 1)]
+
+
+# --- verdicts by a plain definition --------------------------------------------------------------
+def _brute_cutoffs(rows, labels, alpha, delta):
+    """Fixed-sequence exact binomial tests, written out."""
+    good = {i for i, q in labels if q == 1}
+    rules, strata = quality_rules.RULES, sorted({s for i, s, _, failed in rows if i in good and not failed})
+    out = {}
+    for s in strata:
+        held = [f for i, x, f, failed in rows if x == s and i in good and not failed]
+        for rule, grid in rules.items():
+            for c in grid:
+                k, n, p = sum(f[rule] > c for f in held), len(held), alpha / len(rules)
+                tail = 1.0 if k >= n * p else sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+                if tail > delta / len(rules) / len(strata):
+                    break
+                out[s, rule] = c
+    return out
+
+
+def test_quality_verdicts(spark):
+    """Every document's verdict where labels are many enough to prove cutoffs in one stratum only."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(4200):
+        stratum = "en" if i < 3600 else "de"
+        words = [rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(10**6)) for _ in range(24)]
+        if i % 9 == 0:
+            words = [w + "#$%" * rng.randrange(1, 3) for w in words]
+        if i % 13 == 0:
+            words = [w.upper() for w in words]
+        rows.append((i, " ".join(words), stratum))
+        labels.append((i, 0 if i % 9 == 0 or i % 13 == 0 and i % 26 else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    facts = []
+    for i, t, s in rows:
+        n, chars, symbols, dup, rep = brute.quality_counts(t)
+        upper = sum("A" <= c <= "Z" for c in t)
+        f = {"symbol_share": symbols / chars, "upper_share": upper / chars, "dup_line_share": 0.0, "repeat_share": rep / n, "long_words": chars / n}
+        facts.append((i, s, f, n < 20 or 100 * rep > 30 * n))
+    cut = _brute_cutoffs(facts, labels, quality_rules.ALPHA, quality_rules.DELTA)
+    want = {i: not failed and not any(f[r] > cut.get((s, r), math.inf) for r in f) for i, s, f, failed in facts}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got == want
+    assert ("en", "symbol_share") in cut and ("de", "symbol_share") not in cut and 100 < sum(not k for k in want.values()) < 1000
+
+
+def test_runs_of_owners():
+    """Splitters by leading bytes, then by the next word, part sorted suffixes as plain comparison would."""
+    rng = np.random.default_rng(3)
+    lead, key = rng.integers(0, 9, 400).astype(np.uint64), rng.integers(0, 50, 400).astype(np.uint64)
+    order = np.lexsort((key, lead))
+    lead, key = lead[order], key[order]
+    splitters = np.array(sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 10, 12), rng.integers(0, 50, 12))}), np.uint64)
+    cut = suffix_dedup._cuts((lead, key), splitters)
+    owner = [sum((int(s), int(t)) <= (int(a), int(b)) for s, t in splitters) for a, b in zip(lead, key)]
+    assert [int(np.searchsorted(cut, i, side="right")) - 1 for i in range(400)] == owner or cut.tolist() == [0, *np.searchsorted(owner, np.arange(1, len(splitters) + 1)).tolist(), 400]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_operators_of_empty_tables(spark, tmp_path, name):
+    for table in ("documents", "embeddings", "pages", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_of_empty_tables_and_repeated_rows(spark, empty):
+    assert byte_bpe.encode_texts(empty, BYTES).count() == 0
+    assert byte_bpe.decode_ids(spark.createDataFrame([], "doc_id long, ids array<int>"), BYTES).count() == 0
+    df = spark.createDataFrame([(1, "a b")] * 3, "doc_id long, text string")
+    assert len({tuple(r) for r in byte_bpe.round_trip_digest(df, BYTES).collect()}) == 1 and byte_bpe.round_trip_digest(df, BYTES).count() == 3
+    packed = packing.pack_documents(df, WORDS, 16, 1).collect()
+    assert len(packed) == 3 and len({r["sequence_id"] for r in packed}) == 1 and sorted(r["offset"] for r in packed) == [0, 3, 6]
