@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomwork.functions.canonical import canonical_json, digest
-from loomwork.operators.base import Value, implements, one_of, quoted, take, whole
+from loomwork.operators.base import ORD, Value, implements, one_of, quoted, take, whole, with_order
 from loomwork.plans.types import Type, TypeFault, assignable, parse, stream, table
 from loomwork.sources.storage import store
 
@@ -64,7 +65,22 @@ def stream_read(inputs: dict, params: dict, name: str) -> dict:
     take(params, {"batch_size": int})
     size, artifact = whole(params, "batch_size", 1), inputs["artifact"]
     t = artifact.type.item if artifact.type.kind == "ArtifactRef" else artifact.type
-    return {"rows": Value(artifact.df, stream(t.rows, domain=t.domain, revision=t.revision), {"batch_size": size})}
+    value = Value(artifact.df, stream(t.rows, domain=t.domain, revision=t.revision), {"batch_size": size})
+    value.notes["batches"] = lambda: arrow_batches(value.visible(), size)
+    return {"rows": value}
+
+
+def arrow_batches(df: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows on the driver in Arrow batches of size rows, the last one shorter; one partition at
+    a time is fetched."""
+    schema, held = to_arrow_schema(df.schema), []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row.asDict(recursive=True))
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 @implements("broadcast", "shared_ref", "copy_each")
@@ -137,13 +153,16 @@ def to_canonical(df: DataFrame, limit: int = 100_000) -> tuple[str, str]:
 @implements("stats", "metadata", "sample")
 def stats(inputs: dict, params: dict, name: str) -> dict:
     """metadata: rows, nulls, minimum and maximum of the fields, over all rows. sample: the same
-    over sample_size rows (a sampling operator)."""
+    over sample_size rows (a sampling operator): those of the lowest digests of their source order,
+    so the sample is spread over the source and the same each time."""
     take(params, {"fields": list}, {"sample_size": int})
     source = inputs["source"]
     row = source.type.item if source.type.kind == "DatasetRef" else source.type
     df = source.df
     if name == "sample":
-        df = df.limit(whole(params, "sample_size", 1))
+        size = whole(params, "sample_size", 1)
+        df = with_order(df)
+        df = df.orderBy(F.md5(F.to_json(F.struct(ORD)).cast("binary")), ORD).limit(size)
     for f in params["fields"]:
         row.column(f)
     facts = [F.count(F.lit(1)).alias("rows")]

@@ -182,7 +182,8 @@ def release(spark, sf_dir):
 
 
 query("q_stats_metadata", "SELECT count(*) AS rows, count(*) FILTER (o_totalprice IS NULL) AS o_totalprice_nulls, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max FROM orders")(lambda s, d: op("stats", "metadata", {"source": source(s, d, "orders")}, {"fields": ["o_totalprice"]}).df)
-query("q_stats_sample")(lambda s, d: op("stats", "sample", {"source": source(s, d, "orders")}, {"fields": ["o_totalprice"], "sample_size": 100}).df)
+_SAMPLED = "SELECT o_totalprice FROM orders ORDER BY md5('{\"__ord\":{\"o_orderkey\":' || o_orderkey || '}}'), o_orderkey LIMIT 100"
+query("q_stats_sample", f"SELECT count(*) AS rows, count(*) FILTER (o_totalprice IS NULL) AS o_totalprice_nulls, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max FROM ({_SAMPLED})")(lambda s, d: op("stats", "sample", {"source": source(s, d, "orders")}, {"fields": ["o_totalprice"], "sample_size": 100}).df)
 
 # --- control ---------------------------------------------------------------------------------
 _REGION_ID = {"bindings": {"item": "$item"}, "nodes": [{"id": "cut", "operator": "project", "implementation": "column_view", "inputs": {"rows": "$bound.item"}, "params": {"columns": ["r_name"]}, "outputs": {"rows": "Stream"}}], "yield": {"rows": "cut.rows"}}

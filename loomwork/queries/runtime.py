@@ -598,3 +598,12 @@ def scan_in_file_order(spark, sf_dir):
     reg = registry.Registry(spark).parquet("documents", f"{sf_dir}/documents.parquet")
     return op("scan", "sequential", {"source": reg}, {"columns": ["doc_id"], "predicate": call("gt", field("n_chars"), lit(2000))}).visible()
 
+
+
+@query("q_stream_batches", "SELECT CAST(count(*) AS BIGINT) AS batches, CAST(sum(n) AS BIGINT) AS rows, max(n) AS largest FROM (SELECT o_orderkey, least(1000, (SELECT count(*) FROM orders) - 1000 * k) AS n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k * 1000 < (SELECT count(*) FROM orders))")
+def stream_batches(spark, sf_dir):
+    """A stored result read again in Arrow batches of a thousand rows."""
+    rows = scan(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    out = op("stream_read", "arrow_batches", {"artifact": rows}, {"batch_size": 1000})
+    sizes = [b.num_rows for b in out.notes["batches"]()]
+    return spark.createDataFrame([(len(sizes), sum(sizes), max(sizes))], "batches long, rows long, largest long")
