@@ -9,7 +9,8 @@ about WINDOW / 4 times fewer anchors than suffixes.
 Documents are packed into blocks of about BLOCK_BYTES, stored once and bucketed by block, so that
 later passes read them without a shuffle. A suffix's keys are its leading bytes, LEAD of them as one
 word, and then a hash of the bytes it is compared on, which orders suffixes of equal leading bytes.
-Splitters sampled from the blocks range-partition the suffixes by these words among owners, who sort
+Splitters sampled from the blocks (for the last question from the strings that it is about, which
+are no even share of the text) range-partition the suffixes by these words among owners, who sort
 what they get by multikey quicksort (leading bytes first, then the next word within runs of equal
 ones) and answer each block with bits in the order asked:
   1. anchors: does the anchor's suffix occur elsewhere?
@@ -167,6 +168,8 @@ def multikey_sort(words: list[np.ndarray]) -> np.ndarray:
 
 
 # --- questions and answers ---------------------------------------------------------------------
+#: The owner that stands for a sample, and blocks that sample their strings.
+SAMPLED, SAMPLE_BLOCKS = -1, 2000
 ASKED = "owner int, block long, data binary"
 ANSWERED = "block long, step int, owner int, bits binary"
 
@@ -199,6 +202,9 @@ def _answer(asked: DataFrame, step: int, kinds: tuple[str, ...], judge: Callable
     returns boolean columns; they come back as bits, column after column."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        n = len(table)
+        if key[0].as_py() == SAMPLED:  # of a bounded number of blocks
+            return pa.table({"block": table["block"], "step": pa.array([step] * n, pa.int32()), "owner": table["owner"], "bits": table["data"]})
         table = table.sort_by([("block", "ascending")])
         blocks = table["block"].to_pylist()
         parts = [_read(x, kinds) for x in table["data"].to_pylist()]
@@ -267,8 +273,8 @@ def _judge_strings(lead: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.
 class _Steps:
     """What a block asks at each step, given the answers so far; each pass recomputes it."""
 
-    def __init__(self, block: Block, splitters: np.ndarray):
-        self.block, self.splitters = block, splitters
+    def __init__(self, block: Block, splitters: np.ndarray, last: np.ndarray | None = None):
+        self.block, self.splitters, self.last = block, splitters, last
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         b = self.block
@@ -290,6 +296,12 @@ class _Steps:
         self.repeats = [self.shared[order[~new]]]
         return (b.lead[self.heads], b.key[self.heads], b.context[self.heads], *b.origin(b.place[self.heads]))
 
+    def sample(self) -> bytes:
+        """Keys of a few strings around the shared anchors."""
+        b, some = self.block, self.shared[:: max(1, len(self.shared) // SAMPLE_KEYS)]
+        lead, key, _ = b.strings(np.sort(b.first[some] + (b.last[some] - b.first[some]) // 2))
+        return np.stack([lead, key], axis=1).astype(">u8").tobytes()
+
     def strings(self, answers: pa.Table) -> tuple[np.ndarray, ...]:
         asked = self.contexts(answers)
         repeat, open_ = _told(answers, 2, asked, self.splitters, 2)
@@ -307,7 +319,7 @@ class _Steps:
     def covered(self, answers: pa.Table) -> np.ndarray:
         """Which bytes of the buffer go."""
         asked = self.strings(answers)
-        repeat = _told(answers, 3, asked, self.splitters, 1)[0]
+        repeat = _told(answers, 3, asked, self.last, 1)[0]
         b, anchors = self.block, np.concatenate(self.repeats)
         places = np.concatenate([self.again, self.heads[repeat]])
         edge = np.zeros(int(b.sizes.sum()) + 1, np.int32)
@@ -328,44 +340,60 @@ def _solve(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], sch
     blocks, name = store_blocks(docs, block_bytes, _sample)
     n = blocks.count()
     sampled = [r[0] for r in bounded_sample(blocks.select(F.explode("sample").alias("key")), ["key"], MAX_SAMPLE, n * SAMPLE_KEYS).collect()]
-    keys, owners = sorted(map(bytes, sampled)), max(1, n)
-    chosen = sorted({keys[i * len(keys) // owners] for i in range(1, owners)}) if keys else []
-    splitters = np.frombuffer(b"".join(chosen), ">u8").astype(np.uint64).reshape(-1, 2)
+    splitters = _splitters([bytes(k) for k in sampled], n)
     blocks = blocks.select("block", "blob")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from _ask(number, _Steps(Block(from_blob(blob)), splitters).anchors(), splitters).to_batches()
-
-    def later(ask: Callable[[_Steps, pa.Table], tuple]) -> Callable:
-        def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-            out = [_ask(number, ask(_Steps(Block(from_blob(blob)), splitters), answers), splitters) for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist())]
-            return pa.concat_tables(out) if out else _ask(0, (np.zeros(0, np.uint64),) * 2, np.zeros((0, 2), np.uint64))
-
-        return run
-
-    def last(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [finish(b := Block(from_blob(blob)), _Steps(b, splitters).covered(answers)) for blob in own["blob"].to_pylist()]
-        return pa.concat_tables(out) if out else pa.table({})
-
     try:
-        return _rounds(blocks, first, later, last, schema)
+        return _rounds(blocks, n, splitters, finish, schema)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _rounds(blocks: DataFrame, first: Callable, later: Callable, last: Callable, schema) -> DataFrame:
+def _splitters(keys: list[bytes], n: int) -> np.ndarray:
+    """At most n - 1 of the keys, evenly apart, as pairs of words."""
+    keys = sorted(keys)
+    chosen = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+    return np.frombuffer(b"".join(chosen), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _rounds(blocks: DataFrame, n: int, splitters: np.ndarray, finish: Callable[[Block, np.ndarray], pa.Table], schema) -> DataFrame:
     """The three rounds of questions, and what is left of each text."""
+    stride = np.uint64(max(1, n // SAMPLE_BLOCKS))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from _ask(number, _Steps(Block(from_blob(blob)), splitters).anchors(), splitters).to_batches()
+
+    def second(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [_ask(0, (np.zeros(0, np.uint64),) * 2, np.zeros((0, 2), np.uint64))]
+        for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist()):
+            steps = _Steps(Block(from_blob(blob)), splitters)
+            out.append(_ask(number, steps.contexts(answers), splitters))
+            if len(steps.shared) and mix64(np.array([number], np.uint64))[0] % stride == 0:
+                out.append(pa.table({"owner": pa.array([SAMPLED], pa.int32()), "block": pa.array([number], pa.int64()), "data": pa.array([steps.sample()], pa.binary())}))
+        return pa.concat_tables(out)
 
     def meet(answers: DataFrame, f: Callable, out) -> DataFrame:
-        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(released(f), out)
+        return blocks.groupBy("block").cogroup(answers.where(F.col("owner") != SAMPLED).groupBy("block")).applyInArrow(released(f), out)
 
     a = materialize(_answer(blocks.mapInArrow(released(first), ASKED), 1, ("<u8", "<u8", "u1"), _judge_anchors), "anchors")
-    b = materialize(_answer(meet(a, later(_Steps.contexts), ASKED), 2, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_contexts), "contexts")
+    b = materialize(_answer(meet(a, second, ASKED), 2, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_contexts), "contexts")
+    sampled = [bytes(r[0]) for r in b.where(F.col("owner") == SAMPLED).select("bits").collect()]
+    last = _splitters([x[i : i + 16] for x in sampled for i in range(0, len(x), 16)], n) if sampled else splitters
+
+    def third(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [_ask(0, (np.zeros(0, np.uint64),) * 2, np.zeros((0, 2), np.uint64))]
+        for number, blob in zip(own["block"].to_pylist(), own["blob"].to_pylist()):
+            out.append(_ask(number, _Steps(Block(from_blob(blob)), splitters, last).strings(answers), last))
+        return pa.concat_tables(out)
+
+    def end(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [finish(b := Block(from_blob(blob)), _Steps(b, splitters, last).covered(answers)) for blob in own["blob"].to_pylist()]
+        return pa.concat_tables(out) if out else pa.table({})
+
     ab = a.unionByName(b)
-    c = materialize(_answer(meet(ab, later(_Steps.strings), ASKED), 3, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")
-    result = materialize(meet(ab.unionByName(c), last, schema), "kept")
+    c = materialize(_answer(meet(ab, third, ASKED), 3, ("<u8", "<u8", "<u8", "<i8", "<i8"), _judge_strings), "strings")
+    result = materialize(meet(ab.unionByName(c), end, schema), "kept")
     discard(a, b, c)
     return result
 
