@@ -47,3 +47,22 @@ def test_bounds_follow_the_threshold(threshold, least, agree):
     assert minhash.least_shingles(threshold) == least
     assert 100 * least >= threshold * (least + 1) and 100 * (least - 1) < threshold * least
     assert minhash.min_agree(threshold) == agree
+
+
+def test_planted_pairs_near_the_threshold_are_all_found(spark):
+    """Recall on 300 pairs whose Jaccard similarity lies between 0.85 and 0.90."""
+    import numpy as np
+
+    rng, rows, want = random.Random(21), [], 0
+    for g in range(300):
+        base = [f"p{g}w{i}" for i in range(240)]
+        w = list(base)
+        for k in range(1, 1 + rng.choice((2, 3, 3))):
+            w[56 * k - rng.randrange(40)] = f"n{rng.randrange(10**9)}"
+        x, y = brute.shingles(" ".join(base)), brute.shingles(" ".join(w))
+        if not 0.85 <= len(x & y) / len(x | y) <= 0.95:
+            continue
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+        want += 1
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want > 150 and np.mean([got[i] == i - i % 2 for i, _ in rows]) == 1.0
