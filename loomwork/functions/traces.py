@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,25 +127,38 @@ def parent_mean(df: DataFrame, groups: list[str], parent: str, value: str) -> Da
     return inner.groupBy(*groups).agg(F.avg("__m").alias("mean"), F.count(F.lit(1)).alias("parents"))
 
 
+def _drawn(seed: int, *parts: Column | str) -> Column:
+    """A whole number from 0 to 2^32 - 1 that follows from the seed and the parts alone."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def bootstrap(df: DataFrame, groups: list[str], parent: str, value: str, draws: int = 4000, seed: int = 1, cluster: str | None = None) -> DataFrame:
     """(groups, mean, low, high): percentile interval over resampled parents, or over clusters and
-    then parents. Parents are averaged first, so a group in memory is its parents, not its rows."""
-    means = df.groupBy(*groups, *([cluster] if cluster else []), parent).agg(F.avg(value).alias("m"))
-    schema = ", ".join([*(f"`{g}` {means.schema[g].dataType.simpleString()}" for g in groups), "mean double", "low double", "high double"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        pdf = pdf.sort_values([*([cluster] if cluster else []), parent])
-        m = pdf["m"].to_numpy()
-        if cluster:
-            sets = [g.to_numpy() for _, g in pdf.groupby(cluster)["m"]]
-            stats = np.array([np.mean(np.concatenate([rng.choice(s, len(s)) for s in (sets[i] for i in rng.integers(len(sets), size=len(sets)))])) for _ in range(draws)])
-        else:
-            stats = np.concatenate([rng.choice(m, (min(256, draws - k), len(m))).mean(axis=1) for k in range(0, draws, 256)])
-        low, high = np.quantile(stats, [0.025, 0.975])
-        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in groups}, "mean": [m.mean()], "low": [low], "high": [high]})
-
-    return means.groupBy(*groups).applyInPandas(one, schema)
+    then parents. Parents are averaged first; each draw is a set of rows that say which parent to
+    take, from digests of the draw and the place, so all draws run at once and any executor that is
+    lost draws the same again. NULL is no group."""
+    means = df.groupBy(*groups, *([cluster] if cluster else []), parent).agg(F.avg(value).alias("__m"))
+    if cluster:
+        names = means.groupBy(*groups, cluster).agg(F.count(F.lit(1)).alias("__n"))
+        names = names.withColumn("__c", F.row_number().over(Window.partitionBy(*groups).orderBy(cluster)) - 1)
+        own = means.join(names.drop("__n"), [*groups, cluster])
+        place = Window.partitionBy(*groups, "__c").orderBy(parent)
+        clusters = names.groupBy(*groups).agg(F.count(F.lit(1)).alias("__k"))
+        picks = clusters.select(*groups, "__k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__b"))
+        picks = picks.select(*groups, "__k", "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)).alias("__j"))
+        picks = picks.select(*groups, "__b", "__j", (_drawn(seed, "c", F.col("__b"), F.col("__j")) % F.col("__k")).alias("__c")).join(names.drop(cluster), [*groups, "__c"])
+        key = ["__c", "__i"]
+        slot = [F.col("__b"), F.col("__j"), F.col("__s")]
+    else:
+        own, place = means, Window.partitionBy(*groups).orderBy(parent)
+        picks = means.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).select(*groups, "__n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__b"))
+        key, slot = ["__i"], [F.col("__b"), F.col("__s")]
+    picks = picks.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).withColumn("__i", _drawn(seed, *slot) % F.col("__n"))
+    own = own.withColumn("__i", F.row_number().over(place) - 1)
+    stats = picks.join(own.select(*groups, *key, "__m"), [*groups, *key]).groupBy(*groups, "__b").agg(F.avg("__m").alias("__x"))
+    limits = stats.groupBy(*groups).agg(F.percentile("__x", 0.025).alias("low"), F.percentile("__x", 0.975).alias("high"))
+    return means.groupBy(*groups).agg(F.avg("__m").alias("mean")).join(limits, groups)
 
 
 def leave_one_out(df: DataFrame, groups: list[str], cluster: str, value: str) -> DataFrame:

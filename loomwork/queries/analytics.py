@@ -96,8 +96,37 @@ query("q_savings", f"{_PAIRS}, z AS ({_SAVE}) SELECT cell, model_a, model_b, rou
 query("q_outcome_counts", f"{_PAIRS}, z AS ({_SAVE}) SELECT count(*) FILTER (tsv <= 0) AS none, count(*) FILTER (tsv > 0 AND tsv < ws) AS attenuated, count(*) FILTER (tsv > 0 AND tsv >= ws) AS proportional FROM z")(lambda s, d: _savings(s, d).groupBy().pivot("outcome", ["none", "attenuated", "proportional"]).count())
 query("q_parent_mean", f"SELECT model, round(avg(m), 6) AS mean, count(*) AS parents FROM (SELECT model, cell % 7 AS parent, avg(secs) AS m FROM ({RUNS}) GROUP BY ALL) GROUP BY model")(lambda s, d: T.parent_mean(runs(s, d).withColumn("parent", F.col("cell") % 7), ["model"], "parent", "secs").withColumn("mean", F.round("mean", 6)))
 query("q_leave_one_out", f"WITH p AS (SELECT model, cell % 7 AS c, sum(secs) AS s, count(*) AS n FROM ({RUNS}) GROUP BY ALL) SELECT model, c AS left_out, round((sum(s) OVER w - s) / (sum(n) OVER w - n), 6) AS mean FROM p WINDOW w AS (PARTITION BY model)")(lambda s, d: T.leave_one_out(runs(s, d).withColumn("c", F.col("cell") % 7), ["model"], "c", "secs").withColumn("mean", F.round("mean", 6)))
-query("q_bootstrap")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97), ["model"], "parent", "secs", draws=4000))
-query("q_bootstrap_clustered")(lambda s, d: T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97).withColumn("c", F.col("cell") % 97 % 7), ["model"], "parent", "secs", draws=2000, cluster="c"))
+_HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+def _interval_sql(means: str, draws: int, group: str = "model") -> str:
+    """The percentile interval of means (group, parent, m), drawn as T.bootstrap draws."""
+    pick = _HASH.format("'1:' || b || ':' || s")
+    return f"WITH m AS ({means}), k AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY parent) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS n FROM m), p AS (SELECT {group}, b, {pick} % n AS i FROM (SELECT {group}, n, b, unnest(range(n)) AS s FROM (SELECT DISTINCT {group}, n FROM k), range(1, {draws + 1}) r(b))), x AS (SELECT p.{group}, b, avg(m) AS x FROM p JOIN k ON p.{group} = k.{group} AND p.i = k.i GROUP BY ALL) SELECT x.{group}, round(any_value(y.mean), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x JOIN (SELECT {group}, avg(m) AS mean FROM m GROUP BY {group}) y USING ({group}) GROUP BY x.{group}"
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("mean", "low", "high") else c for c in df.columns])
+
+
+query("q_bootstrap", _interval_sql(f"SELECT model, cell % 97 AS parent, avg(secs) AS m FROM ({RUNS}) GROUP BY ALL", 4000))(lambda s, d: _rounded(T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97), ["model"], "parent", "secs", draws=4000)))
+_CLUSTERED = f"""
+WITH m AS (SELECT model, cell % 97 % 7 AS q, cell % 97 AS parent, avg(secs) AS m FROM ({RUNS}) GROUP BY ALL),
+g AS (SELECT model, q, count(*) AS n, row_number() OVER (PARTITION BY model ORDER BY q) - 1 AS c, count(*) OVER (PARTITION BY model) AS k FROM m GROUP BY model, q),
+o AS (SELECT model, c, n, m, row_number() OVER (PARTITION BY model, c ORDER BY parent) - 1 AS i FROM m JOIN g USING (model, q)),
+p AS (SELECT model, b, j, {_HASH.format("'1:c:' || b || ':' || j")} % k AS c FROM (SELECT model, k, b, unnest(range(k)) AS j FROM (SELECT DISTINCT model, k FROM g), range(1, 2001) r(b))),
+s AS (SELECT model, b, c, {_HASH.format("'1:' || b || ':' || j || ':' || s")} % n AS i FROM (SELECT model, b, j, c, n, unnest(range(n)) AS s FROM p JOIN g USING (model, c))),
+x AS (SELECT model, b, avg(m) AS x FROM s JOIN o USING (model, c, i) GROUP BY ALL)
+SELECT model, round(any_value(y.mean), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x JOIN (SELECT model, avg(m) AS mean FROM m GROUP BY model) y USING (model) GROUP BY model"""
+query("q_bootstrap_clustered", _CLUSTERED)(lambda s, d: _rounded(T.bootstrap(runs(s, d).withColumn("parent", F.col("cell") % 97).withColumn("c", F.col("cell") % 97 % 7), ["model"], "parent", "secs", draws=2000, cluster="c")))
+query("q_attenuation_interval", _interval_sql(f"{_PAIRS}, z AS ({_SAVE}) SELECT model_a, cell % 37 AS parent, avg(ws - tsv) AS m FROM z GROUP BY ALL", 4000, "model_a"))(lambda s, d: _rounded(T.bootstrap(_savings(s, d).withColumn("parent", F.col("cell") % 37), ["model_a"], "parent", "gap")))
+query("q_delta_interval", _interval_sql(f"WITH r AS ({RUNS}) SELECT a.model || '-' || b.model AS pair, a.cell % 41 AS parent, avg(CAST(a.valid AS INT) - CAST(b.valid AS INT)) AS m FROM r a JOIN r b ON a.cell = b.cell AND a.model < b.model GROUP BY ALL", 4000, "pair"))(lambda s, d: _delta_interval(s, d))
+
+
+def _delta_interval(spark, sf_dir):
+    p = T.run_pairs(runs(spark, sf_dir), ["cell"]).select(F.concat_ws("-", "model_a", "model_b").alias("pair"), (F.col("cell") % 41).alias("parent"), (F.col("valid_a").cast("int") - F.col("valid_b").cast("int")).alias("d"))
+    return _rounded(T.bootstrap(p, ["pair"], "parent", "d"))
+
 
 # --- adaptation ------------------------------------------------------------------------------
 #: Stages: each order is a parent; its lines are the conditions, the part decides the validity.
