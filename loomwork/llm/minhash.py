@@ -8,14 +8,19 @@ of them is one contiguous slice.
 
 Documents with equal sets form a class, stood for by one of them; only representatives go on, so
 copies cost nothing beyond being counted. Representatives that agree in a band share a bucket, and
-a bucket ties its members to one of them; what is tied together is a group, and all candidate pairs
-lie within groups. A group is cut into blocks of at most BLOCK_MEMBERS members and BLOCK_SHINGLES
-shingles, and a task compares two blocks (or many small groups): first their sketches, the
-signatures' low bytes, in matrices, which leaves members with a partner that agrees in min_agree of
-the coordinates (five standard deviations below the threshold); then, for those alone, texts are
-fetched, full sets built, and plausible pairs compared, best first, unless already connected. A
-task returns a label per member, so no list of pairs ever grows with the square of a group. Groups
-of over MAX_GROUP members are compared bucket by bucket instead, by the same tasks.
+a bucket ties its members to the smallest of them; what is tied together is a group, and all
+candidate pairs lie within groups. Comparison has two steps. First each member is compared with the
+few it is tied to (spokes, a number linear in the members): sketches, the signatures' low bytes, must
+agree in min_agree of the coordinates (five standard deviations below the threshold), and then full
+sets are built from the texts and compared. That joins most groups, however large, into one
+component, and such groups are done. In the others only pairs of different components are left: a
+group is cut into blocks of at most BLOCK_MEMBERS members and BLOCK_SHINGLES shingles, and a task
+compares two blocks (or many small groups), first their sketches, in matrices, which leaves members
+with a partner that agrees enough; then, for those alone, texts are fetched, full sets built, and
+plausible pairs compared, best first, unless already connected. A task returns a label per member,
+so no list of pairs ever grows with the square of a group. Groups of over MAX_GROUP members are
+compared bucket by bucket instead, by the same tasks: all candidate pairs lie in buckets as well, and
+a bucket is smaller than what buckets tie together.
 
 Defined cases: null and empty texts and texts without words have an empty set, link with nothing
 and are kept; fewer words than a shingle count as one shingle; rows with a null doc_id are
@@ -139,7 +144,7 @@ def _agreeing(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, thre
 
 def _pairs_of(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Plausible pairs (row numbers and agreement) of each group in a task's table."""
-    group, block = table["grp"].to_numpy(), table["blk"].to_numpy()
+    group, block, joined = table["grp"].to_numpy(), table["blk"].to_numpy(), table["c"].to_numpy()
     n = table["n"].to_numpy()
     sketch = np.frombuffer(b"".join(table["s"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
     order = np.argsort(group, kind="stable")
@@ -149,8 +154,10 @@ def _pairs_of(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.
         within = not len(high)
         other = low if within else high
         i, j, share = _agreeing(sketch[low], sketch[other], n[low], n[other], threshold)
+        apart = joined[low[i]] != joined[other[j]]
         if within:
-            i, j, share = i[i < j], j[i < j], share[i < j]
+            apart &= i < j
+        i, j, share = i[apart], j[apart], share[apart]
         if len(i):
             yield low[i], other[j], share
 
@@ -187,7 +194,7 @@ def _verify(table: pa.Table, threshold: int) -> pa.Table:
 
 
 def _tasks(members: DataFrame, *extra: str) -> DataFrame:
-    """Deal (grp, rep, n, s, ...) to tasks t1, t2, t3: a large group's pairs of blocks, or a pack of
+    """Deal (grp, rep, c, n, s, ...) to tasks t1, t2, t3: a large group's pairs of blocks, or a pack of
     small groups. A member goes to as many tasks as its group has blocks."""
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
     sizes = sizes.select("grp", F.ceil(F.greatest(F.col("m") / float(BLOCK_MEMBERS), F.col("w") / float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
@@ -197,7 +204,41 @@ def _tasks(members: DataFrame, *extra: str) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = F.col("blocks") > 1
     place = [F.when(large, F.col("grp")).otherwise(packs).alias("t1"), F.when(large, F.least("blk", "other")).otherwise(-1).alias("t2"), F.when(large, F.greatest("blk", "other")).otherwise(-1).alias("t3")]
-    return rows.select(*place, "grp", "blk", "rep", "n", "s", *extra)
+    return rows.select(*place, "grp", "blk", "rep", "c", "n", "s", *extra)
+
+
+def _alike(b: pa.RecordBatch, threshold: int) -> pa.RecordBatch | None:
+    """The spokes whose sketches agree enough and whose sizes allow the threshold."""
+    x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("s", "s2"))
+    n, m = b.column("n").to_numpy(), b.column("n2").to_numpy()
+    good = (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((x == y).mean(axis=1) >= min_agree(threshold))
+    return b.filter(pa.array(good)).select(["rep", "tie", "digest", "digest2"])
+
+
+def _confirmed(b: pa.RecordBatch, threshold: int) -> pa.RecordBatch:
+    """The spokes that are links by their full sets. Rows that share a doc_id: only the texts of the
+    classes' sets count. A set is built once per batch."""
+    texts, digests = b.column("text").to_pylist() + b.column("text2").to_pylist(), b.column("digest").to_pylist() + b.column("digest2").to_pylist()
+    distinct = list(dict.fromkeys(texts))
+    sets = dict(zip(distinct, (x for k in range(0, len(distinct), 64) for x in shingle_sets(distinct[k : k + 64]))))
+    own = {t: hashlib.blake2b(x.tobytes(), digest_size=16).digest() for t, x in sets.items()}
+    half = b.num_rows
+    good = [own[texts[i]] == digests[i] and own[texts[half + i]] == digests[half + i] and similar(sets[texts[i]], sets[texts[half + i]], threshold) for i in range(half)]
+    return pa.RecordBatch.from_arrays([b.column("rep"), b.column("tie")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _spoke_links(buckets: DataFrame, facts: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links between members and the smallest members of their buckets."""
+    spokes = buckets.where("rep <> tie").select("rep", "tie").distinct()
+    there = facts.toDF("tie", "n2", "s2", "digest2")
+    likely = map_batches(spokes.join(facts, "rep").join(there, "tie").select("rep", "tie", "n", "n2", "s", "s2", "digest", "digest2"), lambda b: _alike(b, threshold), "rep long, tie long, digest binary, digest2 binary", rows=4000)
+    likely = materialize(likely, "spokes")
+    wanted = likely.select(F.col("rep").alias("doc_id")).union(likely.select("tie")).distinct()
+    needed = materialize(texts.join(wanted, "doc_id", "left_semi"), "spoke_texts")
+    both = likely.join(needed.toDF("rep", "text"), "rep").join(needed.toDF("tie", "text2"), "tie")
+    links = materialize(map_batches(both.select("rep", "tie", "digest", "digest2", "text", "text2"), lambda b: _confirmed(b, threshold), "a long, b long", rows=200), "spoke_links")
+    discard(likely, needed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -217,15 +258,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     huge = groups.groupBy("root").count().where(F.col("count") > MAX_GROUP).select("root")
     usual = groups.join(huge, "root", "left_anti").select(F.col("root").alias("grp"), F.col("id").alias("rep"))
     by_bucket = buckets.join(groups.join(huge, "root", "left_semi"), F.col("rep") == F.col("id"), "left_semi").select(F.col("key").alias("grp"), "rep")
-    grouped = materialize(usual.unionByName(by_bucket), "groups")
-    facts = reps.select("rep", "n", "s", "digest")
-    likely = _tasks(grouped.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _screen(t, threshold)), "rep long").distinct()
+    grouped = usual.unionByName(by_bucket)
+    facts, texts = reps.select("rep", "n", "s", "digest"), keep_id(docs, "doc_id", "text")
+    first = _spoke_links(buckets, facts, texts, threshold)
+    joined = connected_components(first)
+    # groups whose members are not all connected yet
+    members = materialize(grouped.join(joined, F.col("rep") == F.col("id"), "left").select("grp", "rep", F.coalesce("root", "rep").alias("c")), "groups")
+    apart = members.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("grp")
+    open_ = materialize(members.join(apart, "grp", "left_semi"), "open")
+    likely = _tasks(open_.join(facts, "rep")).groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _screen(t, threshold)), "rep long").distinct()
     likely = materialize(likely, "likely")
-    chosen = grouped.join(likely, "rep", "left_semi").join(facts, "rep")
-    texts = keep_id(docs, "doc_id", "text").join(likely, F.col("doc_id") == F.col("rep")).select("rep", "text")
-    ready = _tasks(chosen, "digest").join(texts, "rep")
-    links = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _verify(t, threshold)), "a long, b long"), "links")
-    discard(buckets, likely, grouped)
+    chosen = open_.join(likely, "rep", "left_semi").join(facts, "rep")
+    found = texts.join(likely, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    ready = _tasks(chosen, "digest").join(found, "rep")
+    second = materialize(ready.groupBy("t1", "t2", "t3").applyInArrow(released(lambda t: _verify(t, threshold)), "a long, b long"), "links")
+    discard(buckets, members, open_, likely)
+    links = first.unionByName(second)
     comps = connected_components(links)
     roots = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     slim = feats.select("doc_id", "n_shingles", "digest")
