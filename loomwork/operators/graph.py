@@ -135,7 +135,8 @@ def shortest_path(inputs: dict, params: dict, name: str) -> dict:
                 raise TypeFault("WEIGHT_DOMAIN_CHECK")
     ids = _ids(seeds.df)
     found = shortest_paths(arcs(g, edges, params.get("direction", "out"), weight), ids, list(dict.fromkeys(targets)))
-    wanted = F.explode(F.array(*map(F.lit, dict.fromkeys(targets)))).alias("target")  # the plan's own list
+    kind = ids.schema["id"].dataType
+    wanted = F.explode(F.array(*[F.lit(x).cast(kind) for x in dict.fromkeys(targets)])).alias("target")  # the plan's own list
     asked = ids.select(F.col("id").alias("source"), wanted)
     df = asked.join(found, ["source", "target"], "left")
     return {"paths": Value(df, Type("PathSet", item=seeds.type.item, domain=graph.type.domain, revision=graph.type.revision))}
