@@ -95,22 +95,24 @@ def shortest_paths(steps: DataFrame, seeds: DataFrame, targets: list | None = No
     by the lexicographically smallest path. Each round extends only what became cheaper and, once
     all targets of a source have a path, what is no dearer than the dearest of those: weights are
     not negative, so nothing else can improve them."""
-    best = store(seeds.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("cost"), F.array("id").alias("path")), "paths")
-    front = best
+    start = [F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("cost"), F.array("id").alias("path"), F.lit(True).alias("changed")]
+    best = store(seeds.select(*start), "paths")
     steps = store(steps.groupBy("a", "b").agg(F.min("w").alias("w")), "steps")
-    label = F.struct("cost", "path")
+    label, fresh, known = F.struct("cost", "path"), F.col("new"), F.col("old")
     for _ in range(max_rounds):
-        longer = front.join(steps, front["target"] == steps["a"]).where(~F.array_contains("path", F.col("b")))
-        longer = longer.select("source", F.col("b").alias("target"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
-        offers = longer.groupBy("source", "target").agg(F.min(label).alias("new"))
-        old = best.select("source", "target", label.alias("old"))
-        front = store(offers.join(old, ["source", "target"], "left").where("old is null or new < old").select("source", "target", "new.*"), "front")
-        if front.isEmpty():
-            return best
-        best = store(best.join(front.select("source", "target"), ["source", "target"], "left_anti").unionByName(front), "paths")
+        front = best.where("changed")
         if targets:
             found = best.where(F.col("target").isin(targets)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound"))
             front = front.join(found.where(F.col("n") == len(set(targets))), "source", "left").where("bound is null or cost <= bound").drop("n", "bound")
+        longer = front.join(steps, front["target"] == steps["a"]).where(~F.array_contains("path", F.col("b")))
+        longer = longer.select("source", F.col("b").alias("target"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
+        offers = longer.groupBy("source", "target").agg(F.min(label).alias("new"))
+        both = best.select("source", "target", label.alias("old")).join(offers, ["source", "target"], "full")
+        better = known.isNull() | F.coalesce(fresh < known, F.lit(False))
+        merged = both.select("source", "target", F.when(better, fresh).otherwise(known).alias("l"), better.alias("changed"))
+        best = store(merged.select("source", "target", "l.*", "changed"), "paths")
+        if best.where("changed").isEmpty():
+            return best.drop("changed")
     raise RuntimeError("paths have not settled")
 
 
