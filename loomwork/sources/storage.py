@@ -14,7 +14,7 @@ def folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomwork-"))
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
