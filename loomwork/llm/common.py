@@ -40,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] == "local":
         app = spark.sparkContext.applicationId
         return _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomwork-"))
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -80,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
     """Python workers of other machines need this package: send it, once per application."""
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or sc.master.startswith("local["):
+    if sc.applicationId in _SHIPPED or sc.master.split("[")[0] == "local":
         return
     archive = Path(tempfile.mkdtemp(prefix="loomwork-")) / "loomwork.zip"
     with zipfile.ZipFile(archive, "w") as z:
