@@ -607,3 +607,32 @@ def stream_batches(spark, sf_dir):
     out = op("stream_read", "arrow_batches", {"artifact": rows}, {"batch_size": 1000})
     sizes = [b.num_rows for b in out.notes["batches"]()]
     return spark.createDataFrame([(len(sizes), sum(sizes), max(sizes))], "batches long, rows long, largest long")
+
+
+# --- applications ------------------------------------------------------------------------------
+def _apps(spark, sf_dir):
+    from loomwork.operators.apps import Applications, ledger
+
+    requests = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("member"), F.col("o_totalprice").alias("amount"))
+    return Applications(spark, {"name": "member 7", "member": "7"}, {"ledger": ledger(requests)})
+
+
+query("q_profile", _values("('member', '7'), ('name', 'member 7')", "name, value"))(lambda s, d: _apps(s, d).profile())
+query("q_list_apps", "SELECT 'ledger' AS app, unnest(['create_payment_request', 'show_payment_requests', 'totals']) AS call")(lambda s, d: _apps(s, d).list_apps().select("app", F.explode("calls").alias("call")))
+query("q_api_doc", "SELECT 'create_payment_request' AS call, unnest(['member', 'amount']) AS parameter, true AS changes")(lambda s, d: _apps(s, d).api_doc("ledger", "create_payment_request").select("call", F.explode("parameters").alias("parameter"), "changes"))
+query("q_app_read", "SELECT o_custkey AS member, o_totalprice AS amount FROM orders WHERE o_custkey = 7")(lambda s, d: _apps(s, d).app_call("ledger", "show_payment_requests", {"member": 7}))
+
+
+@query("q_app_change", "SELECT o_custkey AS member, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) + CASE WHEN o_custkey = 7 THEN 12.50 ELSE 0 END AS DOUBLE) AS amount FROM orders GROUP BY o_custkey")
+def app_change(spark, sf_dir):
+    """A request whose reply is lost is made once: the same key again changes nothing."""
+    from loomwork.operators.apps import ReplyLost
+
+    apps = _apps(spark, sf_dir)
+    apps.lose_replies = 1
+    for _ in range(3):
+        try:
+            apps.app_call("ledger", "create_payment_request", {"member": 7, "amount": 12.5}, key="k1")
+        except ReplyLost:
+            continue
+    return apps.app_call("ledger", "totals", {})
