@@ -201,14 +201,6 @@ query("q_metric_precision", "SELECT 'M05' AS metric, count(*) FILTER (o_ordersta
 query("q_metric_not_applicable", "SELECT 'M05' AS metric, CAST(0 AS BIGINT) AS numerator, CAST(0 AS BIGINT) AS denominator, CAST(NULL AS DOUBLE) AS value, 'NOT_APPLICABLE' AS status")(lambda s, d: M.precision(t(s, d, "orders").select(F.col("o_orderkey").alias("id")), t(s, d, "orders").where("false").select(F.col("o_orderkey").alias("id"))))
 
 
-@query("q_metric_registry")
-def metric_registry(spark, sf_dir):
-    """All 48 metrics of an episode made of documents: required are all, returned the labelled."""
-    docs, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
-    fields = labels.select(F.col("doc_id").cast("string").alias("field"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") == 1).alias("changed"), F.lit(False).alias("stale"), (F.col("quality") == 1).alias("support"), F.lit(False).alias("unsupported"), F.lit(True).alias("answered"))
-    return M.registry({"fields": fields, "expected": docs.select(F.col("doc_id").alias("id")), "returned": labels.select(F.col("doc_id").alias("id"))})
-
-
 # --- streaming -----------------------------------------------------------------------------------
 @query("q_streaming_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streaming_counts(spark, sf_dir):

@@ -91,3 +91,28 @@ def _split(columns: str) -> list[str]:
             out.append(columns[at:i].strip())
             at = i + 1
     return [*out, columns[at:].strip()]
+
+
+_EPISODE = """WITH fields AS (SELECT CAST(doc_id AS VARCHAR) AS field, quality = 1 AS ok, toxic = 1 AS changed, false AS stale, quality = 1 AS support, false AS unsupported, true AS answered FROM labels),
+expected AS (SELECT doc_id AS id FROM documents), returned AS (SELECT doc_id AS id FROM labels)"""
+
+
+def _registry_sql() -> str:
+    rows = []
+    for m, (needs, _) in M.DEFINITIONS.items():
+        head = f"SELECT '{m}' AS metric, '{M.NAMES[m]}' AS name, "
+        if set(needs) <= {"fields", "expected", "returned"}:
+            rows.append(f"{head} CAST(n AS BIGINT) AS numerator, CAST(d AS BIGINT) AS denominator, round(CASE WHEN d > 0 THEN n / d END, 6) AS value, CASE WHEN d > 0 THEN 'MEASURED' ELSE 'NOT_APPLICABLE' END AS status FROM ({_RATES[m]})")
+        else:
+            rows.append(f"{head} CAST(NULL AS BIGINT) AS numerator, CAST(NULL AS BIGINT) AS denominator, CAST(NULL AS DOUBLE) AS value, 'NOT_OBSERVED' AS status")
+    return f"{_EPISODE} " + " UNION ALL ".join(rows)
+
+
+@query("q_metric_registry", _registry_sql())
+def metric_registry(spark, sf_dir):
+    """All 48 metrics of an episode made of documents: required are all, returned the labelled. What
+    needs tables that the episode does not have is not observed."""
+    docs, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
+    fields = labels.select(F.col("doc_id").cast("string").alias("field"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") == 1).alias("changed"), F.lit(False).alias("stale"), (F.col("quality") == 1).alias("support"), F.lit(False).alias("unsupported"), F.lit(True).alias("answered"))
+    out = M.registry({"fields": fields, "expected": docs.select(F.col("doc_id").alias("id")), "returned": labels.select(F.col("doc_id").alias("id"))})
+    return out.withColumn("value", F.round("value", 6))
