@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import bounded_batches, released
 
+#: Blocks in a bucket, on average and at most where there are many, and buckets of a table.
+BUCKET_BLOCKS, MAX_BUCKETS = 16, 100_000
+
 
 def to_blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
@@ -60,8 +63,8 @@ def store_blocks(docs: DataFrame, block_bytes: int, sample: Callable[[pa.Table],
     spark = docs.sparkSession
     bounded_batches(spark)
     name = f"loomwork_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.coalesce(max(1, ceil(size / (2 * block_bytes))))
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / (BUCKET_BLOCKS * block_bytes))))
     pack_blocks(docs, block_bytes, sample).repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     return spark.table(name), name

@@ -695,3 +695,16 @@ def test_encoding_of_empty_tables_and_repeated_rows(spark, empty):
     assert len({tuple(r) for r in byte_bpe.round_trip_digest(df, BYTES).collect()}) == 1 and byte_bpe.round_trip_digest(df, BYTES).count() == 3
     packed = packing.pack_documents(df, WORDS, 16, 1).collect()
     assert len(packed) == 3 and len({r["sequence_id"] for r in packed}) == 1 and sorted(r["offset"] for r in packed) == [0, 3, 6]
+
+
+def test_many_buckets(spark, small, monkeypatch):
+    """More buckets than shuffle partitions: blocks still meet their answers."""
+    from loomwork.llm import blocks
+
+    rows, df = small
+    monkeypatch.setattr(blocks, "BUCKET_BLOCKS", 1)
+    want = brute.repeats([(i, t) for i, t in rows if i is not None])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digest(df, 20_000).collect()}
+    assert {i: x for i, x in got.items() if i is not None} == want
+    plain = sorted(map(tuple, lm_scoring.score_texts(df, block_bytes=1 << 23).select("doc_id", F.round("score", 6)).collect()), key=repr)
+    assert sorted(map(tuple, lm_scoring.score_texts(df, block_bytes=20_000).select("doc_id", F.round("score", 6)).collect()), key=repr) == plain
