@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from loomwork.plans.types import Type, TypeFault, scalar
 from loomwork.sources.storage import store
 
 MAX_HOPS = 4096
+PATIENCE = 8  # rounds of a path search before its targets are looked at from their end
 
 
 def _check_ids(graph: Value, ids: Value) -> None:
@@ -90,20 +92,78 @@ def reachability(inputs: dict, params: dict, name: str) -> dict:
     return {"nodes": Value(found.select("id"), replace(seeds.type, kind="NodeSet"))}
 
 
-def shortest_paths(steps: DataFrame, seeds: DataFrame, targets: list | None = None, max_rounds: int = 512) -> DataFrame:
+def chains(steps: DataFrame, keep: DataFrame) -> DataFrame:
+    """(id, up, done) of the nodes that one other node alone leads to and that are not to be kept:
+    every path to them comes through up. By pointer doubling up is the nearest node above that is
+    no such node; where done is false there is none, and the chain comes out of a closed cycle."""
+    single = steps.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("up")).where("n = 1").drop("n")
+    ways = store(single.join(keep, "id", "left_anti"), "ways")
+    tops = ways.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
+    ways, open_before = store(ways.join(tops, "up", "left").select("id", "up", F.col("inner").isNull().alias("done")), "ways"), None
+    while (still := ways.where("not done").count()) and still != open_before:
+        # a chain has a node at every distance from its top: when no node between the distance
+        # reached and twice that ends, none further away does
+        above = ways.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("done").alias("ends"))
+        moved = ways.where("not done").join(above, "up").select("id", F.col("further").alias("up"), F.col("ends").alias("done"))
+        ways, open_before = store(ways.where("done").unionByName(moved), "ways"), still
+    return ways
+
+
+def reachable_targets(steps: DataFrame, seeds: DataFrame, missing: list):
+    """Searches back from the missing targets, a hop for each next(): None while there is more to
+    see, at last (source, reach), how many of them each seed leads to. Chains are one hop."""
+    ways = chains(steps, seeds)
+
+    def lifted(df: DataFrame, column: str) -> DataFrame:
+        tops = ways.select(F.col("id").alias(column), "up", "done")
+        return df.join(tops, column, "left").where("done is null or done").withColumn(column, F.coalesce("up", column)).drop("up", "done")
+
+    back = store(lifted(steps.select("a", "b").join(ways, F.col("b") == F.col("id"), "left_anti"), "a").distinct(), "back")
+    wanted = F.explode(F.array(*[F.lit(x).cast(seeds.schema["id"].dataType) for x in missing]))  # the plan's own list
+    level = store(lifted(seeds.limit(1).select(wanted.alias("id")).withColumn("target", F.col("id")), "id").select("target", "id"), "level")
+    seen, levels, held = level, 1, 1
+    while not level.isEmpty():
+        yield None
+        after = level.join(back, level["id"] == back["b"]).select("target", F.col("a").alias("id")).distinct()
+        level = store(after.join(seen, ["target", "id"], "left_anti"), "level")
+        seen, levels = seen.unionByName(level), levels + 1
+        if levels >= 2 * held:  # as in reach
+            seen, held = store(seen, "seen"), levels
+    yield store(seeds.join(seen, "id").groupBy(F.col("id").alias("source")).agg(F.count(F.lit(1)).alias("reach")), "reach")
+
+
+def shortest_paths(steps: DataFrame, seeds: DataFrame, targets: list | None = None, max_rounds: int | None = None) -> DataFrame:
     """(source, target, cost, path): the cheapest path from each seed to each node it reaches, ties
     by the lexicographically smallest path. Each round extends only what became cheaper and, once
-    all targets of a source have a path, what is no dearer than the dearest of those: weights are
-    not negative, so nothing else can improve them."""
+    all targets that a source reaches have a path, what is no dearer than the dearest of those:
+    weights are not negative, so nothing else can improve them. Targets that are far or out of
+    reach are also searched from their end, in step, which ends first where few nodes or chains
+    alone lead to them. Paths hold no node twice, so the rounds end by themselves."""
     start = [F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("cost"), F.array("id").alias("path"), F.lit(True).alias("changed")]
     best = store(seeds.select(*start), "paths")
-    steps = store(steps.groupBy("a", "b").agg(F.min("w").alias("w")), "steps")
+    seeds = best.select(F.col("source").alias("id"))
+    steps = store(steps.where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")), "steps")
     label, fresh, known = F.struct("cost", "path"), F.col("new"), F.col("old")
-    for _ in range(max_rounds):
+    targets = list(dict.fromkeys(targets or []))
+    back, known_reach, missing = None, None, []
+    for turn in count() if max_rounds is None else range(max_rounds):
         front = best.where("changed")
         if targets:
-            found = best.where(F.col("target").isin(targets)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound"))
-            front = front.join(found.where(F.col("n") == len(set(targets))), "source", "left").where("bound is null or cost <= bound").drop("n", "bound")
+            at = best.where(F.col("target").isin(targets))
+            if turn == PATIENCE:
+                sources, have = seeds.count(), {r["target"]: r["count"] for r in at.groupBy("target").count().collect()}
+                missing = [x for x in targets if have.get(x, 0) < sources]
+                back = reachable_targets(steps, seeds, missing) if missing else None
+            if back and known_reach is None:
+                known_reach = next(back)
+            found = at.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("bound"))
+            goal = seeds.select(F.col("id").alias("source")).join(found, "source", "left")
+            if known_reach is None:
+                goal = goal.withColumn("wanted", F.lit(len(targets)))
+            else:
+                goal = goal.join(known_reach, "source", "left").withColumn("wanted", len(targets) - len(missing) + F.coalesce("reach", F.lit(0))).drop("reach")
+            goal = goal.where(F.coalesce("n", F.lit(0)) >= F.col("wanted")).select("source", F.when(F.col("n").isNull(), -1.0).otherwise(F.col("bound")).alias("bound"))
+            front = front.join(goal, "source", "left").where("bound is null or cost <= bound").drop("bound")
         longer = front.join(steps, front["target"] == steps["a"]).where(~F.array_contains("path", F.col("b")))
         longer = longer.select("source", F.col("b").alias("target"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
         offers = longer.groupBy("source", "target").agg(F.min(label).alias("new"))

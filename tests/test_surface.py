@@ -105,6 +105,14 @@ def test_shortest_paths_stop_at_their_targets(spark):
     assert {r["target"]: r["cost"] for r in found.collect()}[3] == 3.0
 
 
+def test_shortest_paths_end_when_a_target_is_out_of_reach(spark):
+    """A long chain leads away from the seed, another one and a cycle to the targets."""
+    chain, cycle = [(i, i + 1) for i in range(400)], [(500 + i, 500 + (i + 1) % 90) for i in range(90)]
+    steps = spark.createDataFrame([(a, b, 1.0) for a, b in chain + cycle + [(540, 700), (0, 800)] + [(600 + i, 601 + i) for i in range(60)]], "a long, b long, w double")
+    found = graph.shortest_paths(steps, spark.createDataFrame([(0,)], "id long"), [800, 530, 700, 655, 900], max_rounds=14)
+    assert {r["target"]: r["path"] for r in found.where("target >= 500").collect()} == {800: [0, 800]}
+
+
 def test_intervals_of_one_key_in_many_parts(spark):
     rows = [(k, float(s), float(s + 1 + s * 7 % 5)) for k in ("a", None) for s in range(0, 900, 2)] + [("one", 5.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, start double, end double")
