@@ -1,8 +1,10 @@
 """What the SQL guard refuses, what reaches a scan, and rules that are easy to get wrong."""
 
 import json
+import random
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,39 @@ def test_shortest_paths_end_when_a_target_is_out_of_reach(spark):
     assert {r["target"]: r["path"] for r in found.where("target >= 500").collect()} == {800: [0, 800]}
 
 
+def test_cheapest_paths_of_a_graph_deeper_than_512_levels(spark):
+    """Weighted, through the operator: 600 levels lead away from the seed, one target is in a cycle."""
+    rows = [(i, i + 1, 2.0) for i in range(600)] + [(0, 700, 5.0), (0, 1, 1.0), (1, 700, 3.5), (800, 801, 1.0), (801, 800, 1.0)]
+    edges = spark.createDataFrame(rows, "source long, target long, weight double")
+    t = Type("Graph", schema=(("source", scalar("Int64")), ("target", scalar("Int64")), ("weight", scalar("Float64"))), domain="d", revision="1", metadata={"weight_nonnegative": True})
+    g, seeds = Value(GraphData(spark.range(900).select("id"), edges), t), Value(spark.range(1), Type("NodeSet", item=scalar("Int64"), domain="d", revision="1"))
+    found = op("graph_shortest_path", "dijkstra", {"graph": g, "seeds": seeds}, {"target": [700, 800], "weight_field": "weight"}).df
+    assert {r["target"]: (r["cost"], r["path"]) for r in found.collect()} == {700: (4.5, [0, 1, 700]), 800: (None, None)}
+
+
+@pytest.mark.parametrize("patience", [0, 2])
+def test_cheapest_paths_from_several_seeds(spark, monkeypatch, patience):
+    """Sparse random graphs of few arcs and many chains, held against relaxation in plain Python."""
+    monkeypatch.setattr(graph, "PATIENCE", patience)
+    draw = random.Random(patience)
+    arcs = [(draw.randrange(60), draw.randrange(60), float(draw.randrange(3))) for _ in range(66)]
+    seeds, targets = [0, 1, 2], list(range(0, 60, 3))
+    want = {}
+    for s in seeds:
+        best = {s: (0.0, [s])}
+        for _ in range(60):
+            for a, b, w in arcs:
+                if a in best and b not in best[a][1]:
+                    offer = (best[a][0] + w, best[a][1] + [b])
+                    best[b] = min(best.get(b, offer), offer)
+        want.update({(s, t): best[t] for t in targets if t in best})
+    steps = spark.createDataFrame(arcs, "a long, b long, w double")
+    found = graph.shortest_paths(steps, spark.createDataFrame([(s,) for s in seeds], "id long"), targets).where(F.col("target").isin(targets))
+    assert {(r["source"], r["target"]): (r["cost"], r["path"]) for r in found.collect()} == want
+    pairs = [r for part in graph.reachable_targets(steps, spark.createDataFrame([(s,) for s in seeds], "id long"), targets) if part for r in part.collect()]
+    assert {r["source"]: r["reach"] for r in pairs} == Counter(s for s, _ in want)
+
+
 def test_intervals_of_one_key_in_many_parts(spark):
     rows = [(k, float(s), float(s + 1 + s * 7 % 5)) for k in ("a", None) for s in range(0, 900, 2)] + [("one", 5.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, start double, end double")
