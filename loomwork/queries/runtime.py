@@ -329,22 +329,26 @@ def expr_count(spark, sf_dir):
     return rows.where(analyze(call("gt", call("count", field("keys")), lit(12)), row).column()).select("o_custkey", count.column().alias("n"))
 
 
-_HALVE = {
-    "bindings": {"now": "$state", "edges": "$input.edges"},
-    "nodes": [
-        {"id": "step", "operator": "join", "implementation": "hash", "inputs": {"left": "$bound.now", "right": "$bound.edges"}, "params": {"keys": [{"left": "id", "right": "child"}], "join_type": "inner"}, "outputs": {"rows": "Table[Record]"}},
-        {"id": "one", "operator": "aggregate", "implementation": "hash_group", "inputs": {"rows": "step.rows"}, "params": {"aggregates": [{"function": "max", "field": "parent", "as": "id"}]}, "outputs": {"rows": "Table[Record]"}},
-    ],
-    "yield": {"state": "one.rows"},
-}
+def _halve(now: str, k: int) -> list[dict]:
+    """One step along the edges, from the rows that now names."""
+    return [
+        {"id": f"step{k}", "operator": "join", "implementation": "hash", "inputs": {"left": now, "right": "$bound.edges"}, "params": {"keys": [{"left": "id", "right": "child"}], "join_type": "inner"}, "outputs": {"rows": "Table[Record]"}},
+        {"id": f"one{k}", "operator": "aggregate", "implementation": "hash_group", "inputs": {"rows": f"step{k}.rows"}, "params": {"aggregates": [{"function": "max", "field": "parent", "as": "id"}]}, "outputs": {"rows": "Table[Record]"}},
+    ]
+
+
+#: Four steps a turn: a loop has 16 turns at most, and a 64-bit key takes up to 62 steps.
+_HALVE = {"bindings": {"now": "$state", "edges": "$input.edges"}, "nodes": [n for k in range(4) for n in _halve(f"one{k - 1}.rows" if k else "$bound.now", k)], "yield": {"state": "one3.rows"}}
 
 
 @query("q_loop_plan", "WITH RECURSIVE r(id) AS (SELECT max(c_custkey) FROM customer UNION ALL SELECT CAST(floor(id / 2) AS BIGINT) FROM r WHERE id > 3) SELECT min(id) AS id FROM r")
 def loop_plan(spark, sf_dir):
-    """A plan's loop: from the last customer go to half the key while it is above three."""
+    """A plan's loop: from the last customer go to half the key while it is above three. A key of
+    three or less leads to itself, and keys on the way need not be customers."""
     c = t(spark, sf_dir, "customer")
-    edges = c.select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 2).alias("parent"))
     start = c.agg(F.max("c_custkey").alias("id"))
+    way = start.select(F.explode(F.expr("transform(sequence(1, 62), k -> floor(id / pow(2, k)))")))
+    edges = c.select(F.col("c_custkey").alias("child")).union(way).select("child", F.when(F.col("child") > 3, F.floor(F.col("child") / 2)).otherwise(F.col("child")).alias("parent"))
     inputs = {"edges": registry.plain_table(edges), "start": registry.plain_table(start)}
     nodes = [{"id": "turn", "operator": "loop", "implementation": "bounded_loop", "inputs": {"state": "$input.start"}, "params": {"condition": call("gt", field("id"), lit(3)), "max_iterations": 16}, "outputs": {"state": "Table[Record]"}, "regions": {"body": _HALVE}}]
     plan = {"ir_version": "1.0", "task_id": "loop", "external_inputs": {k: k for k in inputs}, "nodes": nodes, "result": "turn.state"}

@@ -10,6 +10,7 @@ from loomwork.functions import traces as A
 from loomwork.functions.canonical import canonical_json, table_digest
 from loomwork.plans.types import TypeFault, record, scalar
 from loomwork.plans.workflow import CANCELLED, COMPLETED, FAILED, PENDING, Node, Workflow, replay
+from loomwork.queries import QUERIES
 from loomwork.sources import sql_surface
 from loomwork.sources.registry import read_json_lines, read_tree
 from tests.conftest import SF
@@ -152,3 +153,13 @@ def test_equal_results(spark):
     a = spark.range(5).selectExpr("id as Customer_ID", "id * 2 as total")
     assert Y.equal_results(a, a.selectExpr("total", "Customer_ID as customerid"))
     assert not Y.equal_results(a, a.limit(4).selectExpr("total", "Customer_ID as customerid"))
+
+
+@pytest.mark.parametrize("keys", [[300_000 >> i for i in range(19)], [1, 2, 5, 900_001], [7, 2**40 + 12_345], [3], [-4, 0]])
+def test_loop_plan_of_any_key(spark, tmp_path, keys):
+    """More than 16 halvings, keys between which no customer has one, and none to halve."""
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = max(keys)
+    while want > 3:
+        want //= 2
+    assert [tuple(r) for r in QUERIES["q_loop_plan"](spark, str(tmp_path)).collect()] == [(want,)]
