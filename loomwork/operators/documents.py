@@ -235,6 +235,7 @@ def covered(witnesses: DataFrame, available: DataFrame) -> DataFrame:
     return sets.groupBy("fact").agg(F.bool_or("whole").alias("covered"))
 
 
-def read_probe_inputs(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, text) of the files that a probe names; a path that is not there gives no row."""
-    return files.join(wanted.select("path").distinct(), "path", "left_semi").select("path", "text")
+def read_probe_inputs(files: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
+    """(path, text) of the files that a probe names; a name that is not there gives no row. Files
+    are told apart by key: where several have one path, by another column than that."""
+    return files.join(wanted.select(quoted(key)).distinct(), key, "left_semi").select("path", "text")

@@ -81,9 +81,10 @@ def source_tree(spark, sf_dir):
 
 @query("q_probe_inputs", "SELECT url AS path, html AS text FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def probe_inputs(spark, sf_dir):
+    """The pages that a label calls toxic; a url may be that of several pages."""
     files = t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"), "page_id")
-    wanted = files.join(t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select("path")
-    return documents.read_probe_inputs(files.select("path", "text"), wanted)
+    wanted = t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return documents.read_probe_inputs(files, wanted, "page_id")
 
 
 query("q_text_digest", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(lambda s, d: t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")))

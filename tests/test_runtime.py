@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 
 from loomwork.functions import compare as C
@@ -10,10 +11,11 @@ from loomwork.functions import traces as A
 from loomwork.functions.canonical import canonical_json, table_digest
 from loomwork.plans.types import TypeFault, record, scalar
 from loomwork.plans.workflow import CANCELLED, COMPLETED, FAILED, PENDING, Node, Workflow, replay
-from loomwork.queries import QUERIES
+from loomwork.queries import ORACLE_SQL, QUERIES
 from loomwork.sources import sql_surface
 from loomwork.sources.registry import read_json_lines, read_tree
 from tests.conftest import SF
+from tests.oracle import same_rows
 
 
 def tools(spark):
@@ -163,3 +165,16 @@ def test_loop_plan_of_any_key(spark, tmp_path, keys):
     while want > 3:
         want //= 2
     assert [tuple(r) for r in QUERIES["q_loop_plan"](spark, str(tmp_path)).collect()] == [(want,)]
+
+
+def test_probe_inputs_of_pages_that_share_a_url(spark, tmp_path):
+    """Only the labelled page of two with one url is read, each of two labelled ones is, and a
+    page without a url is one too."""
+    pages = [(1, "u", "a"), (2, "u", "b"), (3, "v", "c"), (4, "v", "c"), (5, None, "d"), (6, "w", "e")]
+    labels = [(1, 1), (1, 1), (2, 0), (3, 1), (4, 1), (5, 1), (6, None), (None, 1)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    same_rows(QUERIES["q_probe_inputs"](spark, str(tmp_path)), con.sql(ORACLE_SQL["q_probe_inputs"]))
